@@ -7,12 +7,33 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, line_dedup, rule_ledger, tokens, url_filter
+from . import chat, decontaminate, html_main, line_dedup, mixing, rule_ledger, tokens, url_filter
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination_digest(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
+OP1_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+w AS (SELECT item_id, array_to_string(ws[i:i + 9], ' ') AS s, least(10, len(ws)) AS n
+      FROM (SELECT item_id, ws, unnest(range(1, greatest(1, len(ws) - 9) + 1)) AS i FROM b WHERE len(ws) > 0)),
+u AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM d),
+l AS (SELECT doc_id, i, n, array_to_string(list(word) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING), ' ') AS s10 FROM u CROSS JOIN (SELECT 10 AS n)),
+h AS (SELECT DISTINCT l.doc_id, l.i, w.n, w.item_id FROM l JOIN w ON w.n = 10 AND w.s = l.s10
+      UNION SELECT DISTINCT l.doc_id, l.i, w.n, w.item_id FROM l JOIN w ON w.n < 10 AND starts_with(l.s10 || ' ', w.s || ' ')),
+c AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS j FROM h) GROUP BY doc_id),
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS x FROM h) GROUP BY doc_id)
+SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)
+"""
+
+
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
@@ -41,6 +62,10 @@ FROM e GROUP BY conv_id
 """
 
 
+def op4_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_main.extract_main(table(spark, sf_dir, "pages"))
+
+
 def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_to_files(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -59,8 +84,10 @@ OP8_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws,
              list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
-p AS (SELECT r, ws, unnest(range(1, len(ws) - 3)) AS i FROM w WHERE len(ws) >= 5),
-g AS (SELECT r, i, count(*) OVER (PARTITION BY r, array_to_string(ws[i:i+4], ' ')) AS c FROM p),
+u AS (SELECT r, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM w),
+p AS (SELECT r, i, word || ' ' || lead(word) OVER x || ' ' || lead(word, 2) OVER x || ' ' || lead(word, 3) OVER x || ' ' || lead(word, 4) OVER x AS s
+      FROM u WINDOW x AS (PARTITION BY r ORDER BY i)),
+g AS (SELECT r, i, count(*) OVER (PARTITION BY r, s) AS c FROM p WHERE s IS NOT NULL),
 c AS (SELECT r, count(DISTINCT j) AS n FROM (SELECT r, unnest(range(i, i + 5)) AS j FROM g WHERE c > 1) GROUP BY r),
 m AS (SELECT w.doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
              length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, len(ls)::BIGINT AS n_lines,
@@ -77,6 +104,10 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fai
 """
 
 
+def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_digest(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
@@ -92,10 +123,13 @@ FROM k LEFT JOIN h USING (key) GROUP BY doc_id
 """
 
 QUERIES: dict[str, Query] = {
+    "op1_decontaminate": op1_decontaminate,
     "op3_chat_format": op3_chat_format,
+    "op4_html_main_text": op4_html_main_text,
     "op6_token_ids": op6_token_ids,
     "op7_url_filter": op7_url_filter,
     "op8_quality_rules": op8_quality_rules,
+    "op9_mix_sources": op9_mix_sources,
     "op10_line_dedup": op10_line_dedup,
 }
-ORACLES: dict[str, str] = {"op3_chat_format": OP3_SQL, "op8_quality_rules": OP8_SQL, "op10_line_dedup": OP10_SQL}
+ORACLES: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op3_chat_format": OP3_SQL, "op8_quality_rules": OP8_SQL, "op10_line_dedup": OP10_SQL}
