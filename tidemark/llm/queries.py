@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, html_main, line_dedup, mixing, rule_ledger, tokens, url_filter
+from . import chat, decontaminate, html_main, line_dedup, mixing, quality, rule_ledger, tokens, url_filter
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -66,6 +66,12 @@ def op4_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_main.extract_main(table(spark, sf_dir, "pages"))
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, quality.grade_ratings(table(spark, sf_dir, "labels")))
+    return quality.score(docs, model).drop("row")
+
+
 def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_to_files(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -126,6 +132,7 @@ QUERIES: dict[str, Query] = {
     "op1_decontaminate": op1_decontaminate,
     "op3_chat_format": op3_chat_format,
     "op4_html_main_text": op4_html_main_text,
+    "op5_quality_classifier": op5_quality_classifier,
     "op6_token_ids": op6_token_ids,
     "op7_url_filter": op7_url_filter,
     "op8_quality_rules": op8_quality_rules,
