@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, html_main, line_dedup, mixing, quality, rule_ledger, tokens, url_filter
+from . import chat, decontaminate, html_main, line_dedup, mixing, neardup, quality, rule_ledger, tokens, url_filter
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +34,11 @@ FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)
 """
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neardup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "class_id", "n_links")
+
+
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
@@ -130,6 +135,7 @@ FROM k LEFT JOIN h USING (key) GROUP BY doc_id
 
 QUERIES: dict[str, Query] = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_near_dedup": op2_near_dedup,
     "op3_chat_format": op3_chat_format,
     "op4_html_main_text": op4_html_main_text,
     "op5_quality_classifier": op5_quality_classifier,
