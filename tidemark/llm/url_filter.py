@@ -48,7 +48,7 @@ RULES = (
 
 # The labelled URL table, built from these parts.
 BAD_NAMES = ("cheap-pills", "casino-win", "spam-farm", "free-bets", "adult-x", "ads-track", "click-ads", "pills-shop", "win-casino", "bets-online", "xxx-adult", "seo-spam", "track-ads", "free-pills", "poker-win", "spam-links", "adult-chat", "cheap-loans", "farm-spam", "track-click")
-GOOD_NAMES = ("daily-news", "city-library", "river-blog", "science-notes", "garden", "weather", "history", "theatre", "open-data", "cooking", "university", "museum", "travel", "music-school")
+GOOD_NAMES = ("daily-news", "city-library", "river-blog", "science-notes", "garden", "weather", "history", "theatre", "open-data", "cooking", "university", "museum", "travel", "music-school", "local-paper", "book-club", "open-air", "news-desk", "town-hall", "gardens", "baking-blog")
 #: Further harmless names: each stem with each ending.
 STEMS, ENDINGS = ("ther", "thth", "thon", "tion"), ("an", "at", "ble", "ea", "ed", "en", "er", "es", "ha", "he", "in", "ing", "ly", "nd", "nt", "on", "or", "ou", "re", "sh", "st", "th", "ti", "tion", "wh")
 PREFIXES = ("", "www.", "blog.", "m.")
