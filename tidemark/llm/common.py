@@ -1,43 +1,15 @@
-"""Shared plumbing of the corpus operators: tables, the shared folder, written intermediates."""
+"""Shared plumbing of the corpus operators."""
 
 from __future__ import annotations
 
-import os
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import prepare, table
+from ..runtime import broadcast_if_small, materialize, new_path, prepare, shared_dir, table
 
 __all__ = ["broadcast_if_small", "materialize", "new_path", "null_safe", "prepare", "shared_dir", "table", "text_key"]
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``, which the driver and all executors share.
-
-    A session without that setting (unit tests, local runs) gets a folder of its own under /tmp/checkpoints.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = f"file:///tmp/checkpoints/tidemark-{os.getpid()}"
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/tidemark/{tag}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends there, and a lost executor loses nothing."""
-    spark = df.sparkSession
-    path = new_path(spark, tag)
-    schema = df.schema
-    df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
-
-
 def text_key(text: Column | str) -> Column:
     """64-bit hash of a text; with doc_id it tells rows of one repeated id apart (equal rows share all results)."""
     return F.xxhash64(text)
@@ -51,8 +23,3 @@ def null_safe(left: DataFrame, right: DataFrame, cols: list[str], how: str) -> D
         test = left[c].eqNullSafe(marked[f"__r_{c}"])
         on = test if on is None else on & test
     return left.join(marked, on, how).drop(*[f"__r_{c}" for c in cols])
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
-    """Hint a broadcast only after counting: at most ``max_rows`` rows. Beyond that Spark shuffles both sides."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

@@ -77,6 +77,7 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     names = [id_col, *(x.split()[0] for x in MEASURES.split(", "))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tk.trim()
         for batch in batches:
             for a, b in tk.pieces(batch[1]):
                 cols = _measure(batch[1].slice(a, b - a))

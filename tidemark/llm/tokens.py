@@ -25,6 +25,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import textkit as tk
 from .common import materialize, new_path
 
 MAGIC = b"TMTOK1\0\0"
@@ -74,6 +75,9 @@ def encoder(path: str) -> _Encoder:
     return _Encoder(path)
 
 
+tk.KEPT.append(encoder.cache_clear)
+
+
 def encode(texts: list[str | None], path: str) -> list[bytes]:
     """Ids of each text as packed integers.
 
