@@ -1,10 +1,13 @@
-"""What every session needs before Python functions of this package can run on its executors."""
+"""Session plumbing: importable workers, tables, the shared folder, written intermediates."""
 
 from __future__ import annotations
 
+import os
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _ROOT = str(Path(__file__).resolve().parent.parent)
 
@@ -20,3 +23,33 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``, which the driver and all executors share.
+
+    A session without that setting (unit tests, local runs) gets a folder of its own under /tmp/checkpoints.
+    """
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        path = f"file:///tmp/checkpoints/tidemark-{os.getpid()}"
+        spark.conf.set("spark.checkpoint.dir", path)
+    return path.rstrip("/")
+
+
+def new_path(spark: SparkSession, tag: str) -> str:
+    return f"{shared_dir(spark)}/tidemark/{tag}-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame, tag: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: lineage ends there, and a lost executor loses nothing."""
+    spark = df.sparkSession
+    path = new_path(spark, tag)
+    schema = df.schema
+    df.write.parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
+    """Hint a broadcast only after counting: at most ``max_rows`` rows. Beyond that Spark shuffles both sides."""
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
