@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import NO_SOURCE_TITLE, col, collapse, looks_garbled, normalize_title, strip, unescape_basic
+from .text import NO_SOURCE_TITLE, col, collapse, looks_garbled, normalize_title, once, strip, unescape_basic
 from .urls import first_int, is_content_image, is_cover_url, resolve_img_src
 
 MAX_TEXT = 20_000
@@ -55,17 +55,23 @@ def block_text(html: Column | str, n: int = 25, cap: int = MAX_TEXT) -> Column:
 def page_title(html: Column | str, hit_title: Column | str, aggregator: str = "google news") -> Column:
     """Title element, else the hit's title, else a placeholder; the hit's title also for an aggregator's name or a garbled one."""
     own = strip(unescape_basic(F.regexp_extract(F.coalesce(col(html), F.lit("")), r"(?is)<title[^>]*>(.*?)</title>", 1)))
-    hit = strip(F.coalesce(col(hit_title), F.lit("")))
-    title = F.when(own != "", own).when(hit != "", hit).otherwise(NO_SOURCE_TITLE)
-    title = F.when((hit != "") & ((F.lower(title) == aggregator) | looks_garbled(title)), hit).otherwise(title)
-    return normalize_title(title)
+
+    def first(x: Column) -> Column:
+        title = F.when(x["own"] != "", x["own"]).when(x["hit"] != "", x["hit"]).otherwise(NO_SOURCE_TITLE)
+        return F.struct(title.alias("title"), x["hit"].alias("hit"))
+
+    def trusted(x: Column) -> Column:
+        return F.when((x["hit"] != "") & ((F.lower(x["title"]) == aggregator) | looks_garbled(x["title"])), x["hit"]).otherwise(x["title"])
+
+    both = F.struct(own.alias("own"), strip(F.coalesce(col(hit_title), F.lit(""))).alias("hit"))
+    return normalize_title(once(once(both, first), trusted))
 
 
 def page_text(text: Column | str, snippet: Column | str) -> Column:
     """The assembled text; the snippet if that is empty or garbled."""
-    t, s = F.coalesce(col(text), F.lit("")), F.coalesce(col(snippet), F.lit(""))
-    t = F.when(t == "", s).otherwise(t)
-    return F.when(looks_garbled(t) & (strip(s) != ""), strip(s)).otherwise(t)
+    both = F.struct(F.coalesce(col(text), F.lit("")).alias("t"), F.coalesce(col(snippet), F.lit("")).alias("s"))
+    full = once(both, lambda x: F.struct(F.when(x["t"] == "", x["s"]).otherwise(x["t"]).alias("t"), strip(x["s"]).alias("s")))
+    return once(full, lambda x: F.when(looks_garbled(x["t"]) & (x["s"] != ""), x["s"]).otherwise(x["t"]))
 
 
 class _Images(HTMLParser):
@@ -137,9 +143,13 @@ _CJK, _CJK_COMPAT = re.compile("[一-鿿]"), re.compile(r"[\\u4e00-\\u9fff]")
 _BAD = re.compile("[�Ãâ¤ï¿½]")
 
 
-def decode_bytes(body: Column | str, encoding: Column | str, content_type: Column | str, compat: bool = False) -> Column:
-    """Text of raw bytes: of the declared, the header's and the usual charsets, the one with most Chinese and least garbled
-    characters; ties to the first."""
+def decode_bytes(body: Column | str, encoding: Column | str, content_type: Column | str, compat: bool = True) -> Column:
+    """Text of raw bytes: of the declared, the header's and the usual charsets, the one with the best score; ties to the first.
+
+    The score is the count of characters of a class less three times the garbled ones. ``compat``: the class as written in the
+    source of these semantics, nearly the same for all charsets, so that the first one without garbled characters wins.
+    Otherwise Chinese characters are counted, which prefers a wrong GB decoding of UTF-8 bytes, as that has more of them.
+    """
 
     @F.pandas_udf("string")
     def decode(body: pd.Series, encoding: pd.Series, content_type: pd.Series) -> pd.Series:

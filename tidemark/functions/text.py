@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -25,6 +26,11 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with ``value`` written out, and computed, one time however often ``then`` uses it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def strip(c: Column | str) -> Column:
     return F.regexp_replace(col(c), f"^{WS}+|{WS}+$", "")
 
@@ -62,19 +68,17 @@ def normalize_title(c: Column | str, max_tail: int = 16) -> Column:
     title = collapse(F.coalesce(col(c), F.lit("")))
     for _ in range(3):
         title = _cut_tail(title, max_tail)
-    return F.when(title == "", UNTITLED).otherwise(title)
+    return once(title, lambda t: F.when(t == "", UNTITLED).otherwise(t))
 
 
 def _cut_tail(title: Column, max_tail: int) -> Column:
-    # One array element per level keeps the nested expression small: it is computed once and then looked at.
     def cut(p: Column) -> Column:
         tail = F.replace(strip(F.element_at(p["parts"], -1)), F.lit(" "), F.lit(""))
         rest = strip(F.array_join(F.slice(p["parts"], F.lit(1), F.size(p["parts"]) - 1), " - "))
-        goes = (tail == "") | (F.length(tail) <= max_tail) | tail.rlike(f"(?i)({SOURCE_ENDINGS})$")
+        goes = once(tail, lambda x: (x == "") | (F.length(x) <= max_tail) | x.rlike(f"(?i)({SOURCE_ENDINGS})$"))
         return F.when((F.size(p["parts"]) >= 2) & goes, rest).otherwise(p["whole"])
 
-    one = F.array(F.struct(title.alias("whole"), F.split(title, r" *[-|—_]+ *", -1).alias("parts")))
-    return F.get(F.transform(one, cut), F.lit(0))
+    return once(once(title, lambda t: F.struct(t.alias("whole"), F.split(t, r" *[-|—_]+ *", -1).alias("parts"))), cut)
 
 
 def unescape_basic(c: Column | str) -> Column:
@@ -100,12 +104,17 @@ def normalize_snippet(c: Column | str, full: bool = False) -> Column:
 
 def feed_title(title: Column | str, description: Column | str, aggregator: str = "google news") -> Column:
     """A feed item's title; if it is empty or the aggregator's own name, the first link text of the description."""
-    t = strip(F.coalesce(col(title), F.lit("")))
-    link = F.regexp_extract(F.coalesce(col(description), F.lit("")), r"(?is)<a[^>]*>(.*?)</a>", 1)
-    found = F.coalesce(col(description), F.lit("")).rlike(r"(?is)<a[^>]*>.*?</a>")
+    said = F.coalesce(col(description), F.lit(""))
+    link = F.regexp_extract(said, r"(?is)<a[^>]*>(.*?)</a>", 1)
     text = strip(unescape_basic(F.regexp_replace(link, "<[^>]+>", "")))
-    own = F.when(t == "", UNTITLED).otherwise(t)
-    return F.when((t != "") & (F.lower(t) != aggregator), normalize_title(t)).when(~found, own).otherwise(normalize_title(F.when(text == "", own).otherwise(text)))
+
+    def choose(x: Column) -> Column:
+        own = F.when(x["title"] == "", UNTITLED).otherwise(x["title"])
+        good = (x["title"] != "") & (F.lower(x["title"]) != aggregator)
+        return F.struct(F.when(good, x["title"]).when(x["text"] != "", x["text"]).otherwise(own).alias("title"), (good | x["linked"]).alias("clean"))
+
+    picked = once(F.struct(strip(F.coalesce(col(title), F.lit(""))).alias("title"), text.alias("text"), said.rlike(r"(?is)<a[^>]*>.*?</a>").alias("linked")), choose)
+    return once(picked, lambda x: F.when(x["clean"], normalize_title(x["title"])).otherwise(x["title"]))
 
 
 def sanitize_summary(c: Column | str) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import col, strip
+from .text import col, once, strip
 
 _SPLIT = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?"
 # Fixed values.
@@ -47,7 +47,6 @@ def query_params(query: Column) -> Column:
 def canonical_url(url: Column | str, host: str = AGGREGATOR_HOST, path_start: str = AGGREGATOR_PATH) -> Column:
     """Key of a URL: scheme and host lower-cased (default https), no path end slash, ``;params``, fragment, blank or
     ``utm_`` parameters; parameters sorted and encoded anew. A blank URL gives ``""``."""
-    # One-element arrays carry each level's parts, so that no part is written out, or computed, more than once.
     def split(raw: Column) -> Column:
         scheme = F.lower(_part(raw, 1))
         return F.struct(
@@ -70,8 +69,7 @@ def canonical_url(url: Column | str, host: str = AGGREGATOR_HOST, path_start: st
         full = F.concat(x["base"], F.when(x["query"] == "", "").otherwise(F.concat(F.lit("?"), x["query"])))
         return F.when(x["raw"] == "", "").when(x["by_path"], x["base"]).otherwise(F.regexp_replace(full, "/+$", ""))
 
-    raw = F.array(strip(F.coalesce(col(url), F.lit(""))))
-    return F.get(F.transform(F.transform(F.transform(raw, split), join), show), F.lit(0))
+    return once(once(once(strip(F.coalesce(col(url), F.lit(""))), split), join), show)
 
 
 def norm_url(url: Column | str) -> Column:

@@ -659,7 +659,7 @@ def _(spark, d):
     item = F.concat(F.lit("<item><title>Page "), F.col("page_id").cast("string"), F.lit(" of the crawl as it was</title><link>"), esc(F.col("url")), F.lit("#"), F.col("page_id").cast("string"), F.lit("</link><description>d</description><pubDate>Mon, 15 Jan 2024 00:00:00 GMT</pubDate></item>"))
     p = _pages(spark, d).select((F.col("page_id") % 50).alias("g"), F.struct("page_id", item.alias("x")).alias("i"))
     feeds = p.groupBy("g").agg(F.array_join(F.transform(F.sort_array(F.collect_list("i")), lambda i: i["x"]), "").alias("items"))
-    feeds.select(F.concat(F.lit("<rss><channel>"), F.col("items"), F.lit("</channel></rss>")).alias("value")).repartition(4).write.text(path)
+    feeds.select("g", F.concat(F.lit("<rss><channel>"), F.col("items"), F.lit("</channel></rss>")).alias("value")).write.partitionBy("g").text(path)
     read = store.read_feed(spark, path, 10**6)
     n = F.regexp_extract("url", r"#(\d+)$", 1)
     return read.select(n.cast("int").alias("pos"), F.regexp_replace("url", r"#\d+$", "").alias("url"))
