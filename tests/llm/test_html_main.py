@@ -20,6 +20,7 @@ CASES = {
     ),
     "comment articles": (f'<article><p>{P}</p><div class="ad">x</div><p>y</p></article><article class="comment"><p>{P * 8}</p></article>', [P1, "y"]),
     "no names": (f"<div><ul><li><a href=1>One</a></li><li><a href=2>Two</a></li></ul></div><div><div><p>{P * 3}</p><p>x</p><p>{P * 3}</p></div></div><div><p>Contact us</p></div>", [(P * 3).strip(), "x", (P * 3).strip()]),
+    "layout marks": (f'<div class="page has-sidebar"><div class="nav-layout"><article><p>{P}</p><p>z</p></article></div><div class="comments"><article><p>{P}</p></article></div></div>', [P1, "z"]),
     "unclosed": (f"<article><p>{P}<p>two<script>x</script><p>three", [P1, "two", "three"]),
     "text": ("just  text", ["just text"]),
     "markup only": ("<p></p><br>", []),

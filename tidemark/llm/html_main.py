@@ -50,6 +50,10 @@ MARK = re.compile(
     r"|comments?|commentlist|respond|replies|reply|disqus|discussion|cookies?\w*|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login"
     r"|share|sharing|social\w*|related|recommend\w*|trending|popular|widget\w*|pagination|pager|search\w*|skip|complementary|contentinfo|navigation|disclaimer|copyright|tags|tagcloud)(?:[^a-z]|$)"
 )
+#: Marks of reader comments.
+_REPLIES = re.compile(r"comment|respond|repl(?:y|ies)|disqus|discussion")
+#: Words that say what a page has, not what an element is.
+_HAS = re.compile(r"\b(?:has|no|with|without|is|js)[-_][a-z0-9_-]+")
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 SIGMA = 1.0
 SHARE = 0.6
@@ -63,7 +67,7 @@ class _Lines(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.lines: list[tuple[str, int, int, tuple[int, ...]]] = []
         self.kinds: list[str] = []  # element of each region
-        self.stack: list[tuple[str, bool, int]] = []  # element, skipped, region it opened or -1
+        self.stack: list[tuple[str, int, int]] = []  # element, how it is skipped (see _marked), region it opened or -1
         self.path: tuple[int, ...] = ()
         self.skipping = 0
         self.links = 0
@@ -81,18 +85,21 @@ class _Lines(HTMLParser):
             self.text.clear()
         self.tags = self.linked = 0
 
-    def _marked(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+    def _marked(self, tag: str, attrs: list[tuple[str, str | None]]) -> int:
+        """0: shown; 1: skipped for what it is; 2: for a mark; 3: for a mark of reader comments."""
         if tag in SKIP:
-            return True
+            return 1
         if tag in ("body", "html", "main", "article"):
             # a comment is often an article of its own
-            attrs = [(k, v) for k, v in attrs if k == "class" and v and "comment" in v.lower()] if tag == "article" else []
+            return 3 if tag == "article" and any(k == "class" and v and "comment" in v.lower() for k, v in attrs) else 0
         for k, v in attrs:
             if k in ("hidden",) or (k == "aria-hidden" and v == "true") or (k == "style" and v and "display:none" in v.replace(" ", "").lower()):
-                return True
-            if k in ("class", "id", "role", "aria-label") and v and MARK.search(_CAMEL.sub(r"\1-\2", v).lower()):
-                return True
-        return False
+                return 1
+            if k in ("class", "id", "role", "aria-label") and v:
+                said = _HAS.sub("", _CAMEL.sub(r"\1-\2", v).lower())
+                if MARK.search(said):
+                    return 3 if _REPLIES.search(said) else 2
+        return 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         block = tag in BLOCK
@@ -113,14 +120,19 @@ class _Lines(HTMLParser):
             return
         skip = self._marked(tag, attrs)
         if tag == "header" and not skip and not any(self.kinds[r] in ("article", "main") for r in self.path):
-            skip = True
+            skip = 1
+        if tag in ("article", "main") and not skip and self.skipping and not {"article", "main"}.intersection(self.kinds):
+            # the page's first article inside a marked element: the mark was about the layout
+            if all(x[1] in (0, 2) for x in self.stack):
+                self.stack = [(t, 0, r) for t, _, r in self.stack]
+                self.skipping = 0
         region = -1
         if tag in REGION:
             region = len(self.kinds)
             self.kinds.append(tag)
             self.path = (*self.path, region)
         self.stack.append((tag, skip, region))
-        self.skipping += skip
+        self.skipping += skip > 0
         self.links += tag == "a"
         self.header += tag == "header"
         self.heading += tag in HEADINGS
@@ -133,7 +145,7 @@ class _Lines(HTMLParser):
             self.flush()
         while len(self.stack) > at:
             tag, skip, region = self.stack.pop()
-            self.skipping -= skip
+            self.skipping -= skip > 0
             self.links -= tag == "a"
             self.header -= tag == "header"
             self.heading -= tag in HEADINGS
