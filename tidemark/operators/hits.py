@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import col, strip
 from ..functions.urls import canonical_url, norm_url, url_host
-from ..runtime import broadcast_if_small
+from ..runtime import broadcast_if_small, in_blocks
 
 # Fixed values.
 BLOCKED_HOSTS = ("baike.baidu.com", "wikipedia.org", "zh.wikipedia.org", "en.wikipedia.org", "hudong.com", "baike.com")
@@ -37,11 +37,13 @@ def is_blocked(url: Column | str, domains: Sequence[str] = BLOCKED_HOSTS, suffix
 
 
 def host_blocklist(df: DataFrame, url: str = "url", domains: Sequence[str] | DataFrame = BLOCKED_HOSTS) -> DataFrame:
-    """Rows that are not blocked. A list of domains becomes an expression; a table ``(value)`` an anti join with its broadcast rows."""
+    """Rows that are not blocked. A list of domains becomes an expression; a table ``(value)`` an anti join with its rows, broadcast in blocks of ``MAX_LIST``."""
     if not isinstance(domains, DataFrame):
         return df.filter(~is_blocked(url, domains))
     hosted = df.withColumn("__host", url_host(url)).filter(strip(F.coalesce(F.col(url), F.lit(""))) != "")
-    return hosted.join(broadcast_if_small(domains.select(F.col("value").alias("__domain")), MAX_LIST), F.contains("__host", "__domain"), "left_anti").drop("__host")
+    for block in in_blocks(domains.select(F.col("value").alias("__domain")), "__domain", MAX_LIST):
+        hosted = hosted.join(F.broadcast(block), F.contains("__host", "__domain"), "left_anti")
+    return hosted.drop("__host")
 
 
 def filter_by_age(df: DataFrame, ts: str, max_hours: int, as_of: Column) -> DataFrame:
@@ -143,8 +145,8 @@ def keyword_hits(queries: DataFrame, corpus: DataFrame, text: str = "text") -> D
     """``corpus`` rows that hold all space-separated terms of a query ``(ord, value)``, case-insensitively."""
     q = queries.select(F.col("ord").alias("query_ord"), F.col("value").alias("query"), F.filter(F.split(F.lower("value"), " "), lambda t: t != "").alias("__terms"))
     low = corpus.withColumn("__low", F.lower(F.coalesce(F.col(text), F.lit(""))))
-    met = low.join(F.broadcast(q.limit(MAX_LIST)) if q.limit(MAX_LIST + 1).count() <= MAX_LIST else q, F.forall("__terms", lambda t: F.contains("__low", t)) & (F.size("__terms") > 0))
-    return met.drop("__low", "__terms")
+    holds = F.forall("__terms", lambda t: F.contains("__low", t)) & (F.size("__terms") > 0)
+    return reduce(DataFrame.unionByName, [low.join(F.broadcast(b), holds) for b in in_blocks(q, "query", MAX_LIST)]).drop("__low", "__terms")
 
 
 def resolve_alias(hits: DataFrame, alias: DataFrame, host: str = "news.google.com", url: str = "url") -> DataFrame:

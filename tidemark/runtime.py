@@ -53,3 +53,12 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
 def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     """Hint a broadcast only after counting: at most ``max_rows`` rows. Beyond that Spark shuffles both sides."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
+def in_blocks(df: DataFrame, column: str, max_rows: int) -> list[DataFrame]:
+    """``df`` in parts of about ``max_rows`` rows at most, dealt by the hash of ``column``: for joins that no key can shuffle."""
+    n = -(-df.count() // max_rows)
+    if n <= 1:
+        return [df]
+    parts = 2 * n  # room for uneven hashes
+    return [df.filter(F.pmod(F.xxhash64(column), F.lit(parts)) == i) for i in range(parts)]
