@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, null_safe, text_key
+from .common import broadcast_if_small, materialize, null_safe, text_key
 
 #: Everything that separates words.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -29,6 +29,8 @@ GAP_ANY_CASE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Shingle keys in one broadcast: 16 bytes each before hashing overhead.
 MAX_KEYS = 1_000_000
+#: Contaminated rows (16 bytes each) that are broadcast to drop them; with more, the documents are shuffled.
+MAX_BAD = 1_000_000
 
 
 def words_of(text: Column) -> Column:
@@ -133,5 +135,6 @@ def contamination_digest(docs: DataFrame, benchmark: DataFrame, window: int = 10
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """``docs`` without the rows in which any window occurs."""
-    bad = find_hits(docs, benchmark, window).select("doc_id", F.col("row").alias("__row")).distinct()
-    return null_safe(docs.withColumn("__row", text_key("text")), bad, ["doc_id", "__row"], "left_anti").select(*docs.columns)
+    bad = materialize(find_hits(docs, benchmark, window).select("doc_id", F.col("row").alias("__row")).distinct(), "contaminated")
+    marked = docs.withColumn("__row", text_key("text"))
+    return null_safe(marked, broadcast_if_small(bad, MAX_BAD), ["doc_id", "__row"], "left_anti").select(*docs.columns)

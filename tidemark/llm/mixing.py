@@ -25,6 +25,8 @@ MAX_COPIES = 3
 SEED = 20_11
 #: Sources whose table is broadcast (at most about 100 bytes each); more are joined by a shuffle.
 MAX_SOURCES = 200_000
+#: Rows of a plan (about 40 bytes each) that are broadcast to repeat documents; with more, the documents are shuffled.
+MAX_PLAN = 1_000_000
 
 _OPEN = "struct<d:bigint,r:bigint,u:double,p:double>"
 _DONE = "array<struct<d:bigint,r:bigint,t:int>>"
@@ -146,5 +148,6 @@ def mix_digest(docs: DataFrame) -> DataFrame:
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_copies: int = MAX_COPIES, seed: int = SEED) -> DataFrame:
     """``docs`` with each row repeated by its copies (none: it goes)."""
     plan = plan_mix(docs, weights, max_copies, seed).filter("copies > 0").select("doc_id", "source", F.col("row").alias("__row"), F.col("copies").alias("__copies"))
+    plan = broadcast_if_small(materialize(plan, "mix-plan"), MAX_PLAN)
     kept = null_safe(docs.withColumn("__row", text_key("text")), plan, ["doc_id", "source", "__row"], "inner")
     return kept.withColumn("__again", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*docs.columns)
