@@ -474,7 +474,8 @@ def _(spark, d):
 
 
 def _article_rows(spark: SparkSession, d: str) -> DataFrame:
-    return _docs(spark, d).select(F.col("doc_id").alias("id"), F.col("doc_id").alias("ord"), F.concat(F.lit("http://d.example/"), F.col("doc_id").cast("string")).alias("url"), F.split_part("text", F.lit("."), F.lit(1)).alias("title"), "text")
+    """Documents as articles; the title is the start of the first sentence, 40 characters at most."""
+    return _docs(spark, d).select(F.col("doc_id").alias("id"), F.col("doc_id").alias("ord"), F.concat(F.lit("http://d.example/"), F.col("doc_id").cast("string")).alias("url"), F.substring(F.split_part("text", F.lit("."), F.lit(1)), 1, 40).alias("title"), "text")
 
 
 @query("w4_resolve_greedy")
