@@ -12,8 +12,16 @@ from pyspark.sql import functions as F
 _ROOT = str(Path(__file__).resolve().parent.parent)
 
 
+#: Arrow batches are bounded by bytes, so that long texts do not make long batches; settings made by the user stay.
+_ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": (None, str(16 << 20))}
+
+
 def prepare(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package from where the driver has it; an installed copy also serves."""
+    """Let Python workers import this package from where the driver has it (an installed copy also serves), and bound Arrow batches."""
+    for key, (default, ours) in _ARROW.items():
+        now = spark.conf.get(key, None)
+        if now in (default, None) or (default is None and int("".join(c for c in now if c.isdigit()) or 0) >= 1 << 26):
+            spark.conf.set(key, ours)
     env = spark.sparkContext.environment
     paths = [x for x in env.get("PYTHONPATH", "").split(":") if x]
     if _ROOT not in paths:
