@@ -80,3 +80,12 @@ def test_defined_cases(spark):
     assert M.mix_digest(frame(spark, [], DOC)).count() == 0
     zero = M.mix_digest(frame(spark, [(1, None, "a"), (2, "", "b")])).collect()
     assert all(r["target"] == 0 and r["taken"] == 0 for r in zero)
+
+
+def test_beyond_broadcast_limits(spark, monkeypatch):
+    src = frame(spark, [(i, "w " * n, "ab"[i % 2]) for i, n in enumerate(sizes(60))])
+    small = sorted((r["doc_id"], r["taken"]) for r in M.mix_digest(src).collect())
+    monkeypatch.setattr(M, "MAX_SOURCES", 0)
+    monkeypatch.setattr(M, "MAX_PLAN", 0)
+    assert sorted((r["doc_id"], r["taken"]) for r in M.mix_digest(src).collect()) == small
+    assert M.mix(src).count() == sum(t // max(1, len(("w " * n).split())) for (_, t), n in zip(small, sizes(60), strict=True))
