@@ -85,3 +85,15 @@ def test_lookups(spark):
     rows = spark.createDataFrame([("a",), ("b",), ("c",), ("d",), (None,)], "x string")
     got = {r["x"]: r["v"] for r in H.with_default(rows, look, "x", "k", "v", F.lit("def"), "no").collect()}
     assert got == {"a": "1", "b": "def", "c": "def", "d": "def", None: "def"}
+
+
+def test_long_lists_go_in_blocks(spark, monkeypatch):
+    src = df(spark, [hit(0, 1, 0, i, f"http://h{i}.com/") for i in range(30)])
+    listed = spark.createDataFrame([(f"h{i}.com",) for i in range(0, 30, 2)], "value string")
+    corpus = spark.createDataFrame([(i, f"word{i} other") for i in range(20)], "id int, text string")
+    asked = spark.createDataFrame([(i, f"word{i}") for i in range(2, 9)], "ord int, value string")
+    keep = sorted(r["pos"] for r in H.host_blocklist(src, "url", listed).collect())
+    met = sorted((r["query_ord"], r["id"]) for r in H.keyword_hits(asked, corpus).collect())
+    monkeypatch.setattr(H, "MAX_LIST", 4)
+    assert sorted(r["pos"] for r in H.host_blocklist(src, "url", listed).collect()) == keep == [i for i in range(30) if not any(f"h{j}.com" in f"h{i}.com" for j in range(0, 30, 2))]
+    assert sorted((r["query_ord"], r["id"]) for r in H.keyword_hits(asked, corpus).collect()) == met
