@@ -616,7 +616,7 @@ def _(spark, d):
     """Events as arrivals, the user's page as URL, a delay longer than the table: each URL arrives once."""
     out, mark = new_path(spark, "x2-out"), new_path(spark, "x2-checkpoint")
     e = table(spark, d, "events")
-    stream = spark.readStream.schema(e.schema).parquet(f"{d}/events.parquet") if d.count("://") else spark.readStream.schema(e.schema).parquet(f"{d}/events.parquet*")
+    stream = spark.readStream.schema(e.schema).parquet(f"{d}/events.parquet*")  # a stream's path is a folder or a pattern
     hits_in = stream.select(F.concat(F.lit("http://u.example/"), F.col("user_id").cast("string"), F.lit("/?utm_source="), F.col("event_type")).alias("url"), F.col("ts").cast("timestamp").alias("published_at"))
     incremental.dedupe_stream(hits_in, delay="400 days").writeStream.format("parquet").option("path", out).option("checkpointLocation", mark).outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema("url string").parquet(out).agg(F.count("*").alias("n_kept"))
