@@ -34,6 +34,18 @@ def test_star_group_is_found_through_its_hub(spark):
     assert similar and all(got[i] == 0 for i in similar)
 
 
+def test_pairs_in_crowded_buckets(spark):
+    """Texts with a long passage in common fill the buckets without being similar; the pairs among them that are similar are found."""
+    passage = words(1, 340)
+    rows = []
+    for i in range(150):
+        own = words(1000 + i, 60)
+        rows += [(2 * i, f"{passage} {own}"), (2 * i + 1, f"{passage} {' '.join(own.split()[:40])} {words(5000 + i, 20)}")]
+    assert plain(rows[0][1], rows[2][1]) < 0.78 and plain(rows[0][1], rows[1][1]) > 0.83
+    got = {r["doc_id"]: r["class_id"] for r in N.near_duplicates(frame(spark, rows)).collect()}
+    assert got == {i: i - i % 2 for i in range(300)}
+
+
 def plain(a, b):
     x, y = ({tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in (a, b))
     return len(x & y) / len(x | y)

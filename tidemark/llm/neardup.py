@@ -10,6 +10,8 @@
    are verified only where the two texts are not yet connected. Links give classes by connected components.
 5. Then every bucket's members that are not connected to its hub (its text with most links, as a rule the original of a group) are paired with
    the hub and verified, until a round finds no new link.
+6. Members of buckets that still hold unconnected texts (many texts with a long passage in common, say) go through an exact weighted
+   prefix join: each such pair is verified, or a bound on its common weight shows that it is not similar.
 
 Equal texts are one node from the start, so copies cost nothing after the signatures.
 
@@ -252,6 +254,59 @@ def hub_pairs(members: DataFrame, roots: DataFrame, links: DataFrame) -> DataFra
     return met.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
 
 
+def open_nodes(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """``(node, root)`` of the members of all buckets whose members are not all connected."""
+    full = materialize(members.join(broadcast_if_small(roots, MAX_PICKED), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "bucket-roots")
+    mixed = full.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("key")
+    mixed = materialize(mixed, "mixed-buckets")
+    return materialize(full.join(broadcast_if_small(mixed, MAX_PICKED), "key").select("node", "root").distinct(), "open-nodes")
+
+
+def prefix_pairs(docs: DataFrame, nodes: DataFrame, opened: DataFrame, idf: np.ndarray, similarity: float = SIMILARITY, k: int = SHINGLE) -> DataFrame:
+    """Pairs ``(a, b)`` of ``opened`` in different components, without those whose similarity a bound keeps below ``similarity``.
+
+    All shingles have one order, the rarest first. What two texts have in common weighs no more than what either has from their first
+    common shingle on, and at ``similarity`` t it has to weigh t / (1 + t) of both texts together. So a text gives its shingles up to a rest of t
+    of its weight, and the lighter of a pair has a common one up to a rest of 2t / (1 + t) (``lead``); a passage that all have in common
+    comes after that unless it makes texts similar by itself. Texts of one component do not meet: a shingle's leads are
+    joined with its other components first, then with their texts.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(idf)
+    low = 1 - 1e-6
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tk.trim()
+        for batch in batches:
+            for i, j in tk.pieces(batch[2]):
+                part = batch.slice(i, j - i)
+                h, doc, count = _counted(*_shingles(part[2], k))
+                a, b = _cells(h)
+                rare = np.maximum(shared.value[0][a], shared.value[1][b])
+                order = np.lexsort((h, -rare, doc))
+                h, doc, w = h[order], doc[order], _weights(h, count, shared.value).astype(np.float64)[order]
+                total = np.bincount(doc, weights=w, minlength=j - i)
+                before = np.cumsum(w) - w
+                first = np.searchsorted(doc, np.arange(j - i))
+                rest = total[doc] - (before - before[first[doc]])
+                ok = np.flatnonzero(rest >= similarity * total[doc] * low)
+                at = pa.array(doc[ok])
+                whole = total[doc[ok]]
+                lead = rest[ok] >= 2 * similarity / (1 + similarity) * whole * low
+                yield pa.RecordBatch.from_arrays([pa.array(h[ok].view(np.int64)), part[0].take(at), part[1].take(at), pa.array(whole), pa.array(rest[ok]), pa.array(lead)], ["token", "node", "root", "weight", "rest", "lead"])
+
+    texts = picked_texts(docs, nodes, opened.select("node")).join(opened, "node").select("node", "root", "text")
+    each = materialize(texts.mapInArrow(run, "token long, node long, root long, weight double, rest double, lead boolean"), "prefixes")
+    mixed = each.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("lead").alias("led")).filter("led and lo != hi").select("token")
+    each = materialize(each.join(mixed, "token"), "prefixes-met")
+    need = similarity / (1 + similarity) * low
+    groups = each.groupBy("token", "root").agg(F.max("rest").alias("most"), F.min("weight").alias("light"), F.max("weight").alias("heavy")).withColumnRenamed("root", "root_b")
+    leads = each.filter("lead").select("token", F.col("node").alias("a"), F.col("root").alias("root_a"), F.col("weight").alias("wa"), F.col("rest").alias("ra"))
+    meet = leads.join(groups, "token").filter(F.col("root_a") != F.col("root_b")).filter("heavy >= wa").filter(F.least("ra", "most") >= need * (F.col("wa") + F.greatest("wa", "light")))
+    others = each.select("token", F.col("root").alias("root_b"), F.col("node").alias("b"), F.col("weight").alias("wb"), F.col("rest").alias("rb"))
+    met = meet.select("token", "root_b", "a", "wa", "ra").join(others, ["token", "root_b"]).filter("wb >= wa").filter(F.least("ra", "rb") >= need * (F.col("wa") + F.col("wb")))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def weighted_jaccard(left: pa.Array, right: pa.Array, idf: np.ndarray, k: int = SHINGLE) -> np.ndarray:
     """Weighted Jaccard similarity of two columns of texts, row by row; 0 if either has no words."""
     n = len(left)
@@ -268,13 +323,18 @@ def weighted_jaccard(left: pa.Array, right: pa.Array, idf: np.ndarray, k: int =
     return np.divide(both, total - both, out=np.zeros(n), where=total > both)
 
 
+def picked_texts(docs: DataFrame, nodes: DataFrame, ids: DataFrame) -> DataFrame:
+    """``(node, text)`` of the nodes ``ids``, one row each."""
+    picked = materialize(nodes.join(ids, "node"), "picked")
+    texts = docs.select("doc_id", text_key("text").alias("node"), "text").join(broadcast_if_small(picked, MAX_PICKED), "node").filter(F.col("doc_id").eqNullSafe(F.col("rep")))
+    return materialize(texts.groupBy("node").agg(F.max("text").alias("text")), "picked-texts")
+
+
 def verify(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, idf: np.ndarray, similarity: float = SIMILARITY, k: int = SHINGLE) -> DataFrame:
     """``(a, b, sim)``: the pairs whose whole texts reach ``similarity``. ``nodes`` is ``(node, rep)``, one row a node."""
     shared = docs.sparkSession.sparkContext.broadcast(idf)
     ids = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    picked = materialize(nodes.join(ids, "node"), "picked")
-    texts = docs.select("doc_id", text_key("text").alias("node"), "text").join(broadcast_if_small(picked, MAX_PICKED), "node").filter(F.col("doc_id").eqNullSafe(F.col("rep")))
-    texts = materialize(texts.groupBy("node").agg(F.max("text").alias("text")), "picked-texts")
+    texts = picked_texts(docs, nodes, ids)
     joined = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -313,6 +373,11 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, k: int = SH
             break
         fresh = materialize(hub_pairs(members, roots, links).join(tested, ["a", "b"], "left_anti"), "hub-pairs")
         rounds.append(fresh)
+    rest = materialize(prefix_pairs(src, nodes, open_nodes(members, roots), idf, similarity, k).join(tested, ["a", "b"], "left_anti"), "prefix-pairs")
+    more = materialize(verify(src, nodes, rest, idf, similarity, k), "links-prefix")
+    if more.limit(1).count():
+        links = links.unionByName(more)
+        roots = absorb(roots, more)
     degree = _degrees(links)
     member = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = member.groupBy("root").agg(F.min("rep").alias("class_id"))
