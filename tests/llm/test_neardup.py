@@ -66,6 +66,13 @@ def test_keep_one(spark):
     assert {r["doc_id"] for r in left.collect() if r["text"] is None} == {4}
 
 
+def test_repeated_and_null_ids_with_other_texts(spark):
+    rows = [(1, "a b c"), (1, "d e f"), (None, "g h i"), (None, "j k l"), (2, "m n o"), (2, "p q r"), (3, "m n o"), (3, "m n o"), (None, "d e f")]
+    left = N.keep_one(frame(spark, rows)).select("doc_id", "text").collect()
+    assert sorted((str(r["doc_id"]), r["text"]) for r in left) == [("1", "a b c"), ("1", "d e f"), ("2", "m n o"), ("2", "p q r"), ("None", "g h i"), ("None", "j k l")]
+    assert len({r["root"] for r in N.near_duplicates(frame(spark, rows)).collect()}) == 6
+
+
 def test_empty(spark):
     assert N.near_duplicates(frame(spark, [], DOC)).count() == 0
     assert N.keep_one(frame(spark, [], DOC)).count() == 0

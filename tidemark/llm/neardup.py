@@ -350,7 +350,8 @@ def verify(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, idf: np.ndarray,
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, k: int = SHINGLE) -> DataFrame:
-    """Per row of ``docs``: doc_id, node (its text's hash), class_id (the smallest doc_id of its class), n_links of its text."""
+    """Per row of ``docs``: doc_id, node (its text's hash), root (the smallest node of its class, which identifies the class), class_id (the
+    smallest doc_id of its class; classes may share one where a doc_id repeats or is null), n_links of its text."""
     src = docs.select("doc_id", "text")
     sketch = shingle_sketch(src, k)
     idf = idf_table(sketch, src.count())
@@ -381,19 +382,20 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, k: int = SH
     degree = _degrees(links)
     member = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = member.groupBy("root").agg(F.min("rep").alias("class_id"))
-    classes = materialize(member.join(least, "root").join(degree, "node", "left").select("node", "class_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")), "classes")
-    return signed.select("doc_id", "node").join(broadcast_if_small(classes, MAX_PICKED), "node").select("doc_id", "node", "class_id", "n_links")
+    classes = materialize(member.join(least, "root").join(degree, "node", "left").select("node", "root", "class_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")), "classes")
+    return signed.select("doc_id", "node").join(broadcast_if_small(classes, MAX_PICKED), "node").select("doc_id", "node", "root", "class_id", "n_links")
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY, k: int = SHINGLE) -> DataFrame:
     """``docs`` with one row of each class: that of the smallest doc_id (of equal rows, any one)."""
     found = materialize(near_duplicates(docs, similarity, k), "near-duplicates")
-    stay = found.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("doc_id").agg(F.min("node").alias("__node"), F.count("*").alias("__rows"))
-    stay = materialize(stay.withColumnRenamed("doc_id", "__id"), "stay")
+    rows = found.groupBy("root", "doc_id", "node").agg(F.count("*").alias("rows"))
+    stay = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node", "rows")).alias("r"))
+    stay = materialize(stay.select(F.col("r.doc_id").alias("__id"), F.col("r.node").alias("__keep"), F.col("r.rows").alias("__rows")), "stay")
     marked = docs.withColumn("__node", text_key("text"))
-    small = broadcast_if_small(stay.withColumnRenamed("__node", "__keep"), MAX_PICKED)
+    small = broadcast_if_small(stay, MAX_PICKED)
     kept = marked.join(small, marked["doc_id"].eqNullSafe(small["__id"]) & (marked["__node"] == small["__keep"]))
     out = kept.filter("__rows = 1").select(*docs.columns)
     if stay.filter("__rows > 1").limit(1).count():
-        out = out.unionByName(kept.filter("__rows > 1").dropDuplicates(["__id"]).select(*docs.columns))
+        out = out.unionByName(kept.filter("__rows > 1").dropDuplicates(["__id", "__keep"]).select(*docs.columns))
     return out

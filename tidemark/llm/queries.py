@@ -36,7 +36,7 @@ FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = neardup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.select("doc_id", "class_id", "n_links")
+    return found.select("doc_id", "class_id", "n_links", "root")
 
 
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
