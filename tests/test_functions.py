@@ -102,6 +102,12 @@ def test_page(spark):
     assert {r["page_id"]: r["cover_url"] for r in html.pick_cover(cands).collect()} == {1: "http://h.com/a/big.png"}
 
 
+def test_malformed_pages_have_candidates(spark):
+    page = '<![foo[ x><![ y]><div class="content"><img src="/a.jpg"><![if !IE]></span></div>' + "<b>" * 30_000 + "</i>" * 30_000
+    df = spark.createDataFrame([(1, "https://h.com/x", page)], "page_id long, url string, html string")
+    assert [(r["priority"], r["src"]) for r in html.image_candidates(df).collect()] == [(0, "https://h.com/a.jpg"), (3, "https://h.com/a.jpg")]
+
+
 def test_cover_order(spark):
     def cover(body):
         df = spark.createDataFrame([(1, "http://h.com/", body)], "page_id long, url string, html string")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -74,12 +75,23 @@ def page_text(text: Column | str, snippet: Column | str) -> Column:
     return once(full, lambda x: F.when(looks_garbled(x["t"]) & (x["s"] != ""), x["s"]).otherwise(x["t"]))
 
 
-class _Images(HTMLParser):
+class LenientParser(HTMLParser):
+    """The standard parser, for which a marked section that it does not know (``<![foo[``) is a comment, as in browsers, and no error."""
+
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        try:
+            return super().parse_marked_section(i, report)
+        except AssertionError:
+            return self.parse_bogus_comment(i, report)
+
+
+class _Images(LenientParser):
     """Image candidates of a page: (priority, src, class, alt, width, height) in page order."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, bool]] = []
+        self.n_open: Counter[str] = Counter()
         self.depth = 0
         self.meta: set[int] = set()
         self.found: list[tuple[int, str, str, str, str, str]] = []
@@ -100,14 +112,16 @@ class _Images(HTMLParser):
         if tag not in ("img", "meta", "br", "hr", "input", "link", "source", "wbr", "area", "base", "col", "embed", "track"):
             scope = tag in ("article", "main") or any(x in a.get(k, "") for k in ("class", "id") for x in ("content", "article"))
             self.open.append((tag, scope))
+            self.n_open[tag] += 1
             self.depth += scope
 
     handle_startendtag = handle_starttag
 
     def handle_endtag(self, tag: str) -> None:
-        if any(t == tag for t, _ in self.open):
+        if self.n_open[tag]:
             while True:
                 t, scope = self.open.pop()
+                self.n_open[t] -= 1
                 self.depth -= scope
                 if t == tag:
                     break
