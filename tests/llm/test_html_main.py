@@ -1,7 +1,13 @@
+import random
+import time
+
+import numpy as np
 import pytest
 
 from tidemark.llm import html_main as H
 
+from .util import words
+
 P = "Lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmod tempor incididunt ut labore. "
 P1 = P.strip()
 
@@ -22,6 +28,18 @@ CASES = {
     "no names": (f"<div><ul><li><a href=1>One</a></li><li><a href=2>Two</a></li></ul></div><div><div><p>{P * 3}</p><p>x</p><p>{P * 3}</p></div></div><div><p>Contact us</p></div>", [(P * 3).strip(), "x", (P * 3).strip()]),
     "layout marks": (f'<div class="page has-sidebar"><div class="nav-layout"><article><p>{P}</p><p>z</p></article></div><div class="comments"><article><p>{P}</p></article></div></div>', [P1, "z"]),
     "unclosed": (f"<article><p>{P}<p>two<script>x</script><p>three", [P1, "two", "three"]),
+    "article header": (f'<article><div class="entry-header"><h1>Title</h1></div><div class="entry-content"><p>{P}</p><p>x</p></div></article>', ["Title", P1, "x"]),
+    "sections that sound alike": (
+        f'<body><div id="page"><h1>T</h1><section class="related-work"><p>{P * 2}</p></section><section id="social-history"><p>{P * 3}</p></section><div class="search-results-study"><p>{P}</p></div></div></body>',
+        ["T", (P * 2).strip(), (P * 3).strip(), P1],
+    ),
+    "split body": (f"<div id=content><h1>Head</h1><p>{P}</p><div class=text><p>{P * 3}</p><p>end</p><p>{P * 3}</p></div></div>", ["Head", P1, (P * 3).strip(), "end", (P * 3).strip()]),
+    "two parts": (f"<div><div><p>{P * 3}</p><p>{P * 3}</p></div><div><p>{P * 2}</p><p>{P}</p></div></div><div>Imprint</div>", [(P * 3).strip()] * 2 + [(P * 2).strip(), P1]),
+    "title above": (f"<div><h1>Head</h1><div><p>{P * 3}</p><p>{P * 3}</p></div></div><ul><li><a href=/>Home</a></li><li><a href=/n>News</a></li></ul>", ["Head"] + [(P * 3).strip()] * 2),
+    "comments are longer": (f'<div class="post"><h1>T</h1><p>{P}</p><p>{P}</p></div><div class="post-comments"><p>{P * 9}</p><p>{P * 9}</p></div>', ["T", P1, P1]),
+    "page header": (f'<div class="site-header"><h2>Site</h2><p>{P}</p></div><div id="main"><h1>T</h1><p>{P}</p><p>{P}</p></div>', ["T", P1, P1]),
+    "standfirst": (f"<article><header><h1>T</h1><p>{P * 2}</p><p>By X</p></header><p>{P * 2}</p></article>", ["T", (P * 2).strip(), (P * 2).strip()]),
+    "unknown declarations": (f"<![foo[ x><p>{P}</p><![ x]><!x><!><p>{P}</p><![if !IE]><p>{P}</p><![endif]>", [P1] * 3),
     "text": ("just  text", ["just text"]),
     "markup only": ("<p></p><br>", []),
 }
@@ -38,6 +56,32 @@ def test_long_page_is_whole():
     assert H.main_text("<article>" + "".join(f"<p>{x}</p>" for x in paras) + "</article>") == "\n\n".join(paras)
 
 
+def unnamed(seed):
+    """A page without article, nav, footer or class: a menu and a footer of short lines, an advert, and the article's lines straight in the body."""
+    rnd = random.Random(seed)
+    blocks = [words(seed, 7), *(words(seed * 100 + i, rnd.randrange(15, 120)) for i in range(rnd.randrange(3, 15)))]
+    menu = "".join(f"<p>{words(i, 1)}</p>" for i in range(rnd.randrange(3, 8)))
+    return f"<body><div>{menu}</div><div>{words(seed + 1, 6)}</div><h1>{blocks[0]}</h1>" + "".join(f"<p>{x}</p>" for x in blocks[1:]) + "<div><p>(c) x</p><p>Imprint</p><p>Contact us</p></div>", "\n\n".join(blocks)
+
+
+def test_the_clusters_decide(monkeypatch):
+    pages = [unnamed(i) for i in range(100)]
+    assert sum(H.main_text(h) == want for h, want in pages) >= 95
+    with monkeypatch.context() as m:
+        m.setattr(H, "threshold", lambda x: float(x.min()) - 1)
+        assert sum(H.main_text(h) == want for h, want in pages) <= 5
+    # Short lines among long ones belong to them: smoothing carries them over the threshold.
+    ratio = np.array([0, 0, 0, 5, 5, 1, 5, 5, 0, 0, 0], float)
+    assert H.smooth(ratio)[5] > H.threshold(H.smooth(ratio)) and ratio[5] < H.threshold(ratio)
+
+
+@pytest.mark.parametrize("html", ["<div>" * 60_000 + "x" + "</div>" * 60_000, "<p><b>" * 30_000, "<div>" * 30_000 + "</span></p>" * 30_000, "".join(f"<div><p>part {i}</p>" for i in range(20_000))])
+def test_deep_and_malformed_pages_take_linear_time(html):
+    began = time.time()
+    H.main_text(html)
+    assert time.time() - began < 10
+
+
 def test_frame(spark):
     rows = [(1, "u", None, "c", 1), (1, "u", None, "c", 1), (None, None, CASES["named"][0], "c", 1), (2, "v", "", "c", 1)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int")

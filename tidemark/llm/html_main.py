@@ -1,116 +1,154 @@
 """Main text of HTML pages: parser events to lines, text-to-tag ratios, Gaussian smoothing, threshold clustering.
 
-The standard library's streaming parser turns a page into lines (one a block of text), each with its characters, its tags, its linked
-characters and the containers it stands in. The ratio of characters to tags, less its linked share, is smoothed
-over neighbouring lines; lines above a threshold between the two clusters of ratios are content. The content region
-is the smallest container that holds most of the content; of it all lines are kept but those that the page itself marks as
-something else (menus, forms, sidebars, adverts, comments) and unmarked link lists.
+1. The standard library's streaming parser turns a page into lines (one a block of text), each with its characters, its tags, its linked
+   characters and the container it stands in.
+2. The ratio of unlinked characters to tags is smoothed over neighbouring lines; lines above a threshold between the two clusters of
+   ratios are content.
+3. Content characters are added up along the container tree, and the region is found from the top: a container gives way to
+   the one inside it that holds nearly all of its content, unless it has content lines of its own.
+4. Of the region, lines go that stand before or after all content in a container without content, and containers that are link lists.
+
+What a page says about itself is a hint on top: elements such as ``nav`` or ``form`` and hidden ones are never read, an ``article``
+counts more in step 3 and is not trimmed in step 4, and containers whose class, id or role consists of boilerplate words only count nothing and go,
+unless they hold the content of the page. Parsing and choosing take time in proportion to the page, however deep it nests.
 
 Defined cases: null and empty html give an empty text; text outside any element counts; unclosed elements end with their
-parent; white space (that of ``str.split``, no-break space too) becomes one space; every row is judged by itself, so
-repeated rows and null ids keep their rows; an empty table gives no rows; columns other than id, url and html are
-ignored.
+parent; unknown declarations and marked sections are comments; white space (that of ``str.split``, no-break space too) becomes one space; every row is
+judged by itself, so repeated rows and null ids keep their rows; an empty table gives no rows; columns other than id, url and html are ignored.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
-from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ..functions.html import LenientParser
+
 #: Elements whose text is never shown, or is no text of an article.
 SKIP = frozenset("script style noscript template head title svg math iframe object canvas audio video map select option button textarea input label nav footer aside form menu dialog datalist fieldset".split())
 #: Elements without an end tag.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that start and end a line.
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
-#: Elements a region can be.
-REGION = frozenset("html body main article section div td center table".split())
+#: Elements that are containers of lines.
+REGION = frozenset("html body main article section div td center table ul ol dl header".split())
+#: Containers that step 4 trims; lists and tables are part of the text around them.
+PLAIN = frozenset("html body section div td center header".split())
+LISTS = frozenset("ul ol dl table div section".split())
+NAMED = frozenset(("article", "main"))
 #: An open element of these is closed by the start of a key element.
 CLOSES = {
-    **{x: frozenset(["p"]) for x in "address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split()},
-    "li": frozenset(["li", "p"]),
-    "dd": frozenset(["dd", "dt", "p"]),
-    "dt": frozenset(["dd", "dt", "p"]),
-    "td": frozenset(["td", "th", "p"]),
-    "th": frozenset(["td", "th", "p"]),
-    "tr": frozenset(["tr", "td", "th", "p"]),
-    "option": frozenset(["option"]),
+    **{x: ("p",) for x in "address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split()},
+    "li": ("li", "p"),
+    "dd": ("dd", "dt", "p"),
+    "dt": ("dd", "dt", "p"),
+    "td": ("td", "th", "p"),
+    "th": ("td", "th", "p"),
+    "tr": ("tr", "td", "th", "p"),
+    "option": ("option",),
 }
 #: Elements that such implied ends do not reach through.
 WALLS = frozenset("html body main article section div aside nav footer header form ul ol dl table td th blockquote".split())
-#: Words in class, id, role or aria-label that mark something other than the article.
-MARK = re.compile(
-    r"(?:^|[^a-z])(?:ads?|advert\w*|adsense|adbox|banner|sponsor\w*|promo\w*|sidebar\w*|side|aside|menu\w*|nav\w*|topbar|toolbar|breadcrumbs?|footer|foot|masthead|header"
-    r"|comments?|commentlist|respond|replies|reply|disqus|discussion|cookies?\w*|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login"
-    r"|share|sharing|social\w*|related|recommend\w*|trending|popular|widget\w*|pagination|pager|search\w*|skip|complementary|contentinfo|navigation|disclaimer|copyright|tags|tagcloud)(?:[^a-z]|$)"
-)
-#: Marks of reader comments.
-_REPLIES = re.compile(r"comment|respond|repl(?:y|ies)|disqus|discussion")
-#: Words that say what a page has, not what an element is.
-_HAS = re.compile(r"\b(?:has|no|with|without|is|js)[-_][a-z0-9_-]+")
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+
+#: Words for what is no article. A class, id or role is a hint if it has one of them and otherwise words of layout only.
+BOILERPLATE = frozenset(
+    "ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead header topbar toolbar"
+    " comment comments commentlist respond replies reply disqus cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login"
+    " share sharing social related recommended recommendations trending popular widget widgets pagination pager search complementary contentinfo disclaimer copyright tags".split()
+)
+LAYOUT = frozenset(
+    "site page main top bottom left right side inner outer upper lower wrap wrapper container holder box bar area block section list group item items link links primary secondary global row col column"
+    " post posts article articles entry content body text thread author button buttons icon icons media form slot unit results user users reader readers policy message the of and".split()
+)
+#: Last words that settle it whatever stands before them.
+FINAL = frozenset("sidebar comments navbar breadcrumb breadcrumbs disqus".split())
+_REPLIES = frozenset("comment comments commentlist respond replies reply disqus".split())
+_HEADER = frozenset(("header", "masthead", "banner"))
+#: Words of the article's own header.
+_OWN = frozenset("post posts article articles entry content author".split())
+_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+NOTHING, BOILER, COMMENTS, HEADER = range(4)
+
 SIGMA = 1.0
-SHARE = 0.6
-_CAMEL = re.compile(r"([a-z0-9])([A-Z])")
+#: Share of its content at which a container gives way to one inside it.
+DOMINANT = 0.85
+#: Containers of one line each (adverts, credits) do not stand in the way of one of several lines with so much more text.
+LOOSE = 0.5
+#: How much more the content of an article or main element counts.
+FAVOUR = 3.0
+#: Share of a page's content from which a hint is taken to be about the layout.
+LAYOUT_SHARE = 0.9
 
 
-class _Lines(HTMLParser):
-    """Streams a page into lines ``(text, tags, linked characters, region path)``; skipped elements give none."""
+def hint(value: str) -> int:
+    """What one class, id or role says: nothing, boilerplate, reader comments or a header."""
+    words = [w.lower() for w in _WORD.findall(value)]
+    said = [w for w in words if w in BOILERPLATE]
+    if not said or not (words[-1] in FINAL or all(w in BOILERPLATE or w in LAYOUT for w in words)):
+        return NOTHING
+    if _REPLIES.intersection(said):
+        return COMMENTS
+    if _HEADER.intersection(said):
+        return NOTHING if _OWN.intersection(words) else HEADER
+    return BOILER
+
+
+#: Text, tags since the line before, linked characters, region, heading level (0: none), whether in a header.
+Line = tuple[str, int, int, int, int, bool]
+
+
+class _Lines(LenientParser):
+    """Streams a page into lines and a tree of regions."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, tuple[int, ...]]] = []
-        self.kinds: list[str] = []  # element of each region
-        self.stack: list[tuple[str, int, int]] = []  # element, how it is skipped (see _marked), region it opened or -1
-        self.path: tuple[int, ...] = ()
-        self.skipping = 0
-        self.links = 0
-        self.header = 0
-        self.heading = 0
+        self.lines: list[Line] = []
+        self.kind = [""]  # of each region: its element, its parent, its hint, whether it is inside an article; region 0 is the page
+        self.parent = [-1]
+        self.hints = [NOTHING]
+        self.named = [False]
+        self.stack: list[tuple[str, bool, int, bool]] = []  # element, skipped, the region around it (-1: it is none itself), header
+        self.region = 0
+        self.open: list[Counter[str]] = [Counter()]  # open elements since each wall
+        self.walls: Counter[str] = Counter()
+        self.skipping = self.links = self.headers = 0
+        self.levels: list[int] = []  # of the open headings
         self.text: list[str] = []
-        self.tags = 0
-        self.linked = 0
+        self.tags = self.linked = 0
 
     def flush(self) -> None:
         if self.text:
             text = " ".join("".join(self.text).split())
             if text:
-                self.lines.append((text, self.tags, min(self.linked, len(text)), self.path))
+                self.lines.append((text, self.tags, min(self.linked, len(text)), self.region, self.levels[-1] if self.levels else 0, self.headers > 0))
             self.text.clear()
         self.tags = self.linked = 0
 
-    def _marked(self, tag: str, attrs: list[tuple[str, str | None]]) -> int:
-        """0: shown; 1: skipped for what it is; 2: for a mark; 3: for a mark of reader comments."""
-        if tag in SKIP:
-            return 1
-        if tag in ("body", "html", "main", "article"):
-            # a comment is often an article of its own
-            return 3 if tag == "article" and any(k == "class" and v and "comment" in v.lower() for k, v in attrs) else 0
+    def _says(self, tag: str, attrs: list[tuple[str, str | None]]) -> tuple[bool, int]:
+        """Whether the element is hidden, and its hint."""
+        found = NOTHING
         for k, v in attrs:
-            if k in ("hidden",) or (k == "aria-hidden" and v == "true") or (k == "style" and v and "display:none" in v.replace(" ", "").lower()):
-                return 1
-            if k in ("class", "id", "role", "aria-label") and v:
-                said = _HAS.sub("", _CAMEL.sub(r"\1-\2", v).lower())
-                if MARK.search(said):
-                    return 3 if _REPLIES.search(said) else 2
-        return 0
+            if k == "hidden" or (k == "aria-hidden" and v == "true") or (k == "style" and v and "display:none" in v.replace(" ", "").lower()):
+                return tag not in ("html", "body"), NOTHING
+            if v and k in ("class", "id", "role", "aria-label"):
+                for x in (v.replace(" ", "-"),) if k == "aria-label" else v.split():
+                    found = found or hint(x)
+        if tag in ("html", "body", "main") or (tag == "article" and found != COMMENTS):
+            found = NOTHING
+        return False, found
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         block = tag in BLOCK
-        if block and tag in CLOSES:
-            for i in range(len(self.stack) - 1, -1, -1):
-                name = self.stack[i][0]
-                if name in CLOSES[tag]:
-                    self._close(i)
-                    break
-                if name in WALLS:
-                    break
+        for name in CLOSES.get(tag, ()):
+            if self.open[-1][name]:
+                self._close(name)
         if block:
             self.flush()
         elif tag == "br":
@@ -118,55 +156,58 @@ class _Lines(HTMLParser):
         self.tags += 1
         if tag in VOID:
             return
-        skip = self._marked(tag, attrs)
-        if tag == "header" and not skip and not any(self.kinds[r] in ("article", "main") for r in self.path):
-            skip = 1
-        if tag in ("article", "main") and not skip and self.skipping and not {"article", "main"}.intersection(self.kinds):
-            # the page's first article inside a marked element: the mark was about the layout
-            if all(x[1] in (0, 2) for x in self.stack):
-                self.stack = [(t, 0, r) for t, _, r in self.stack]
-                self.skipping = 0
-        region = -1
-        if tag in REGION:
-            region = len(self.kinds)
-            self.kinds.append(tag)
-            self.path = (*self.path, region)
-        self.stack.append((tag, skip, region))
-        self.skipping += skip > 0
+        skip, said = (True, NOTHING) if tag in SKIP else self._says(tag, attrs)
+        header = tag == "header" or said == HEADER
+        around = -1
+        if tag in REGION or said:
+            around, self.region = self.region, len(self.kind)
+            self.kind.append(tag)
+            self.parent.append(around)
+            self.hints.append(HEADER if header else said)
+            self.named.append(self.named[around] or (tag in NAMED and said != COMMENTS))
+        self.stack.append((tag, skip, around, header))
+        if tag in WALLS:
+            self.walls[tag] += 1
+            self.open.append(Counter())
+        else:
+            self.open[-1][tag] += 1
+        self.skipping += skip
         self.links += tag == "a"
-        self.header += tag == "header"
-        self.heading += tag in HEADINGS
+        self.headers += header
+        if tag in HEADINGS:
+            self.levels.append(int(tag[1]))
 
     handle_startendtag = handle_starttag
 
-    def _close(self, at: int) -> None:
-        """Close the element at ``at`` and all inside it."""
-        if any(x[0] in BLOCK for x in self.stack[at:]):
-            self.flush()
-        while len(self.stack) > at:
-            tag, skip, region = self.stack.pop()
-            self.skipping -= skip > 0
+    def _close(self, name: str) -> None:
+        """Close the innermost open ``name`` and all inside it."""
+        while True:
+            tag, skip, around, header = self.stack[-1]
+            if tag in BLOCK:
+                self.flush()
+            self.stack.pop()
+            if tag in WALLS:
+                self.walls[tag] -= 1
+                self.open.pop()
+            else:
+                self.open[-1][tag] -= 1
+            self.skipping -= skip
             self.links -= tag == "a"
-            self.header -= tag == "header"
-            self.heading -= tag in HEADINGS
-            if region >= 0:
-                self.path = self.path[:-1]
+            self.headers -= header
+            if tag in HEADINGS:
+                self.levels.pop()
+            if around >= 0:
+                self.region = around
+            if tag == name:
+                return
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
-        if tag in VOID:
-            return
-        wall = tag not in WALLS
-        for i in range(len(self.stack) - 1, -1, -1):
-            name = self.stack[i][0]
-            if name == tag:
-                self._close(i)
-                return
-            if wall and name in WALLS:
-                return
+        if (self.walls if tag in WALLS else self.open[-1])[tag]:
+            self._close(tag)
 
     def handle_data(self, data: str) -> None:
-        if self.skipping or (self.header and not self.heading):
+        if self.skipping:
             return
         self.text.append(data)
         if self.links:
@@ -196,49 +237,112 @@ def threshold(x: np.ndarray) -> float:
     return (lo + hi) / 2
 
 
-def main_text(html: str | None, sigma: float = SIGMA, share: float = SHARE) -> str:
+def _rolled(parent: list[int], own: np.ndarray) -> np.ndarray:
+    """Sums over each region and all inside it; a region's number is larger than its parent's."""
+    total = own.tolist()
+    for r in range(len(parent) - 1, 0, -1):
+        total[parent[r]] += total[r]
+    return np.array(total)
+
+
+def content_lines(lines: list[Line], named: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
+    """Whether each line's smoothed text-to-tag ratio is in the upper cluster; ``named``: lines of an article get a higher one, and those of its
+    header their own, as what is around them is of another kind."""
+    ratio = np.log1p(np.array([len(x[0]) - x[2] for x in lines], float) / np.array([1 + x[1] for x in lines], float))
+    level = np.where([x[5] for x in lines], ratio, smooth(ratio, sigma)) + named * math.log(FAVOUR)
+    content = level > threshold(level)
+    return content if content.any() else level >= level.max()
+
+
+def main_text(html: str | None, sigma: float = SIGMA) -> str:
     """The article of a page, blocks joined by two newlines."""
     if not html:
         return ""
-    parser = _Lines()
-    parser.feed(html)
-    parser.close()
-    parser.flush()
-    lines = parser.lines
+    page = _Lines()
+    page.feed(html)
+    page.close()
+    page.flush()
+    # Of an article's header the headings and what is content by its ratio stay; of the page's header nothing.
+    lines = [x for x in page.lines if not x[5] or page.named[x[3]]]
     if not lines:
         return ""
+    in_article = np.array(page.named)
+    content = content_lines(lines, in_article[[x[3] for x in lines]], sigma)
+    some = [i for i, x in enumerate(lines) if content[i] or x[4] or not x[5]]
+    lines, content = [lines[i] for i in some], content[some]
+    chosen = choose(page, lines, content)
+    return "\n\n".join(lines[i][0] for i in np.flatnonzero(chosen))
+
+
+def choose(page: _Lines, lines: list[Line], content: np.ndarray) -> np.ndarray:
+    """Which lines are the article's, given those that are content."""
+    n_regions, parent, kind = len(page.kind), page.parent, page.kind
+    at = np.array([x[3] for x in lines], int)
     chars = np.array([len(x[0]) for x in lines], float)
     linked = np.array([x[2] for x in lines], float)
-    ratio = (chars - linked) / np.array([1 + x[1] for x in lines], float)
-    level = smooth(np.log1p(ratio), sigma)
-    content = level >= min(threshold(level), float(np.log1p(ratio).max()))
-    if not content.any():
-        content = level >= level.max()
-    # The smallest region with most of the content; an article or main element goes before a plain one of it.
-    weight: dict[int, float] = {}
-    for (_, _, _, path), c, n in zip(lines, content, chars - linked, strict=True):
-        for r in path:
-            weight[r] = weight.get(r, 0.0) + (n if c else 0.0)
-    total = float(((chars - linked) * content).sum())
-    full = [r for r, w in weight.items() if w >= share * total]
-    named = [r for r in full if parser.kinds[r] in ("article", "main")]
-    root = max(named) if named else max(full, default=-1)
-    chosen = [i for i, x in enumerate(lines) if root < 0 or root in x[3]]
-    if not named:
-        # Without an element that says article, link lists inside the region go, and so do lines before or after all
-        # content that stand in a container without any.
-        inner: dict[int, list[float]] = {}
-        for i in chosen:
-            for r in lines[i][3]:
-                t = inner.setdefault(r, [0.0, 0.0])
-                t[0] += chars[i]
-                t[1] += linked[i]
-        links = {r for r, (n, k) in inner.items() if r != root and k > 0.5 * n}
-        chosen = [i for i in chosen if not links.intersection(lines[i][3]) and linked[i] <= 0.5 * chars[i]]
-        at = [i for i in chosen if content[i]]
-        near = {lines[i][3][-1:] for i in at}
-        chosen = [i for i in chosen if not at or at[0] <= i <= at[-1] or lines[i][3][-1:] in near]
-    return "\n\n".join(lines[i][0] for i in chosen)
+    level = np.array([x[4] for x in lines], int)
+    named = np.array(page.named)[at]
+
+    def own(values: np.ndarray) -> np.ndarray:
+        return np.bincount(at, weights=values, minlength=n_regions)
+
+    def rolled(values: np.ndarray) -> np.ndarray:
+        return _rolled(parent, own(values))
+
+    # Hints hold, unless all articles of the page stand inside what they mark, or it has no article and nearly all its text is there.
+    free = chars - linked
+    text = rolled(free)
+    articles = _rolled(parent, np.array([k in NAMED and h == NOTHING for k, h in zip(kind, page.hints, strict=True)], float))
+    out = [False] * n_regions
+    for r in range(1, n_regions):
+        said = page.hints[r] if page.hints[r] in (BOILER, COMMENTS) else NOTHING
+        layout = articles[r] == articles[0] if articles[0] else said == BOILER and text[r] >= LAYOUT_SHARE * text[0]
+        out[r] = out[parent[r]] or (said != NOTHING and not layout)
+    shown = ~np.array(out)[at]
+    if not shown.any():
+        return shown
+    # From the top to the container that holds the content. What a line weighs grows with its logarithm, so that lines count more than their lengths.
+    weight = np.log1p(free) * content * shown * np.where(named, FAVOUR, 1.0)
+    whole, direct = rolled(weight), own(weight)
+    n_lines, size = rolled(shown * 1.0), rolled(free * shown)
+    single = (n_lines == 1)[at]
+    loose, loose_size = rolled(weight * single), rolled(free * shown * single)
+    titles = (level == 1) * (linked <= 0.5 * chars) * shown
+    n_titles = rolled(titles)
+    heaviest = [-1] * n_regions
+    for r in range(1, n_regions):
+        p = parent[r]
+        if heaviest[p] < 0 or whole[r] > whole[heaviest[p]]:
+            heaviest[p] = r
+    root = 0
+    while (r := heaviest[root]) >= 0 and whole[r] > 0 and direct[root] == 0:
+        if (n_titles[root] and not n_titles[r]) or (page.named[root] and not (kind[root] == "main" and articles[r])):
+            break  # a title stands beside, or an article would be cut
+        beside = whole[root] - whole[r]
+        few = n_lines[r] > 1 and loose_size[root] - loose_size[r] <= LOOSE * size[r]
+        if beside - (loose[root] - loose[r]) * few > (1 - DOMINANT) * whole[root]:
+            break
+        root = r
+    # Below it, link lists go, and plain containers at the edges that have no content, or little beside the region's own and at most half their lines.
+    under, menu, bare = [False] * n_regions, [False] * n_regions, [False] * n_regions
+    under[root] = True
+    n_linked, n_chars, filled = rolled(linked * shown), rolled(chars * shown), rolled(content * shown * 1.0)
+    mine = float((free * content * shown)[at == root].sum())
+    for r in range(root + 1, n_regions):
+        p = parent[r]
+        under[r] = under[p]
+        if under[r] and not page.named[r]:
+            menu[r] = menu[p] or (kind[r] in LISTS and n_lines[r] >= 2 and n_linked[r] > 0.5 * n_chars[r])
+            bare[r] = bare[p] or (kind[r] in PLAIN and (not filled[r] or (min(filled[r], n_lines[r] - 1) <= 0.5 * n_lines[r] and size[r] <= LOOSE * mine)))
+    chosen = shown & np.array(under)[at] & ~np.array(menu)[at]
+    bare_line = np.array(bare)[at] | (~named & (linked > 0.5 * chars))
+    spots = np.flatnonzero(content & chosen & ~bare_line)
+    if len(spots):
+        place = np.arange(len(lines))
+        top = min(level[chosen & (level > 0)], default=0)
+        title = (place < spots[0]) & (level > 0) & (level == top)
+        chosen &= ~(((place < spots[0]) | (place > spots[-1])) & bare_line & ~title)
+    return chosen
 
 
 def extract_main(pages: DataFrame) -> DataFrame:
