@@ -1,4 +1,7 @@
+import math
+
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import url_filter as U
 
@@ -12,7 +15,7 @@ def weights(spark):
 
 URLS = [
     ("http://Www.Example.ORG/es/1?x", "www.example.org", "/es/1", "example.org/es/", "block"),
-    ("https://example.org/en/1", "example.org", "/en/1", "example.org/en/1", "allow"),
+    ("https://example.org/en/1", "example.org", "/en/1", "example.org/en/1", "block"),
     ("https://notexample.org/es/", "notexample.org", "/es/", "org/", "allow"),
     ("x://com/fr/", "com", "/fr/", "com/fr/", "allow"),
     ("x://a.com/de/#y", "a.com", "/de/", "com/de/", "block"),
@@ -35,31 +38,53 @@ def test_parts_and_rules(spark, weights):
         assert got[i]["verdict"] == verdict if verdict else got[i]["verdict"] in ("allow", "block")
 
 
+def hosts(spark):
+    return {r["host"] for r in U.split_url(U.labelled_urls(spark)).select("host").distinct().collect()}
+
+
 def test_held_out_accuracy(spark, weights):
-    bad = [f"https://{p}{n}.example.net/{x}/{k}" for n in ("cheap-pills", "casino-win", "spam-farm", "adult-x", "free-bets", "ads-track", "casino-bets") for p in ("", "m.") for x, k in (("en", "1/"), ("es", "77.html"))]
-    good = [f"https://{p}{n}.example.net/{x}/{k}" for n in ("therald", "ththed", "tionre", "gardening", "local-news") for p in ("", "www.") for x, k in (("en", "1/"), ("es", "77.html"))]
+    """Names that are in no labelled host: bad words with other words beside them, and ordinary words that the table lacks."""
+    bad = [f"https://{p}{n}.example.net/{x}/{k}" for n in ("cheap-pills", "casino-win", "spam-farm", "adult-x", "free-bets", "ads-track", "megacasino", "xxxvideos", "pokerking", "quickloans") for p in ("", "m.") for x, k in (("en", "1/"), ("es", "77.html"))]
+    good = [f"https://{p}{n}.example.net/{x}/{k}" for n in ("ththed", "therald", "lanternlight", "cheese", "gymnastics", "veterinary", "town-hall", "wanderung", "fotografia", "boulangerie", "news-desk", "ththti") for p in ("", "www.") for x, k in (("en", "1/"), ("es", "77.html"))]
+    seen = hosts(spark)
+    assert not any(u.split("/")[2] in seen for u in bad + good)
     df = spark.createDataFrame([(i, u, "c", "c", 1) for i, u in enumerate(bad + good)], SCHEMA)
     got = {r["page_id"]: r["verdict"] for r in U.filter_urls(df, weights, ()).collect()}
-    assert sum(got[i] == "block" for i in range(len(bad))) >= 0.95 * len(bad)
+    assert sum(got[i] == "block" for i in range(len(bad))) >= 0.9 * len(bad)
     assert sum(got[i + len(bad)] == "allow" for i in range(len(good))) >= 0.9 * len(good)
 
 
+def test_labelled_hosts_are_not_those_of_the_pages(spark):
+    pages = U.split_url(spark.read.parquet("/root/testdata/sf0.01/pages.parquet")).select("host").distinct().collect()
+    assert not {r["host"] for r in pages} & hosts(spark)
+
+
+def test_grams_are_all_substrings(spark):
+    got = spark.range(1).select(U.grams(F.lit("^abc$"), 1 << 30).alias("x"), F.array(*[F.pmod(F.xxhash64(*map(F.lit, g)), F.lit(1 << 30)).cast("int") for g in ("^ab", "abc", "bc$", "^abc", "abc$", "^abc$")]).alias("want")).first()
+    assert sorted(got["x"]) == sorted(got["want"])
+
+
 def test_fit_is_gradient_descent(spark):
-    """The SQL fold equals the same steps in plain Python."""
+    """The SQL fold equals the same steps in plain Python, and frequent buckets only are fitted."""
     rows = spark.createDataFrame([("http://aaa.com/b", 1), ("http://abc.org/", 0), ("http://aab.net/q?x", 1)], "url string, bad int")
-    got = U.fit(rows, dim=64, steps=7)
     data = [(r["x"], r["bad"]) for r in U.split_url(rows).select(U.features(dim=64).alias("x"), "bad").collect()]
-    import math
-
-    w = [0.0] * 65
-    for _ in range(7):
-        res = [1 / (1 + math.exp(-(w[64] + sum(w[j] for j in x)))) - y for x, y in data]
-        grad = [0.0] * 65
-        for (x, _y), r in zip(data, res, strict=True):
-            for j in [*x, 64]:
-                grad[j] += r / len(data)
-        w = [v - U.RATE * (g + U.DECAY * v) for v, g in zip(w, grad, strict=True)]
-    assert max(abs(a - b) for a, b in zip(got, w, strict=True)) < 1e-9
+    for least in (1, 2):
+        got = U.fit(rows, dim=64, steps=7, min_urls=least)
+        n_with = [sum(j in x for x, _ in data) for j in range(64)] + [3]
+        used = [[*(j for j in x if n_with[j] >= least), 64] for x, _ in data]
+        w = [0.0] * 65
+        for _ in range(7):
+            res = [1 / (1 + math.exp(-sum(w[j] for j in x))) - y for x, (_, y) in zip(used, data, strict=True)]
+            grad = [sum(r for x, r in zip(used, res, strict=True) if j in x) / 3 for j in range(65)]
+            w = [v - (g + U.DECAY * v) / (n / 3 * max(map(len, used)) / 4 + U.DECAY) if n >= least else 0.0 for v, g, n in zip(w, grad, n_with, strict=True)]
+        assert max(abs(a - b) for a, b in zip(got, w, strict=True)) < 1e-9
+
+
+def test_ties_and_long_urls(spark, weights):
+    rules = (U.UrlRule("block", "h.net", "/a"), U.UrlRule("allow", "h.net", "/a/"), U.UrlRule("block", "a.h.net", "/"))
+    df = spark.createDataFrame([(1, "x://h.net/a/b", "c", "c", 1), (2, "x://a.h.net/a/", "c", "c", 1), (3, "x://h.net/" + "a/" * 100_000, "c", "c", 1)], SCHEMA)
+    got = {r["page_id"]: (r["rule"], r["verdict"], len(r["path"])) for r in U.filter_urls(df, weights, rules).collect()}
+    assert got == {1: ("h.net/a/", "allow", 4), 2: ("h.net/a/", "allow", 3), 3: ("h.net/a/", "allow", 200_001)}
 
 
 def test_bounds_and_empty(spark, weights):

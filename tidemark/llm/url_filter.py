@@ -13,15 +13,17 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-DIM = 8192
+from ..functions.text import once
+
+DIM = 1 << 15
 GRAMS = (3, 4, 5)
 MAX_LABELLED = 1000
 STEPS = 100
-RATE = 8.0
 DECAY = 1e-3
+MIN_URLS = 4
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -41,28 +43,40 @@ class UrlRule:
 RULES = (
     UrlRule("allow", "org", "/"),
     UrlRule("block", "example.org", "/es/"),
-    UrlRule("allow", "example.org", "/en/1"),
+    UrlRule("block", "example.org", "/en/1"),
     UrlRule("allow", "com", "/fr/"),
     UrlRule("block", "com", "/de/"),
 )
 
-# The labelled URL table, built from these parts.
-BAD_NAMES = ("cheap-pills", "casino-win", "spam-farm", "free-bets", "adult-x", "ads-track", "click-ads", "pills-shop", "win-casino", "bets-online", "xxx-adult", "seo-spam", "track-ads", "free-pills", "poker-win", "spam-links", "adult-chat", "cheap-loans", "farm-spam", "track-click")
-GOOD_NAMES = ("daily-news", "city-library", "river-blog", "science-notes", "garden", "weather", "history", "theatre", "open-data", "cooking", "university", "museum", "travel", "music-school", "local-paper", "book-club", "open-air", "news-desk", "town-hall", "gardens", "baking-blog")
-#: Further harmless names: each stem with each ending.
-STEMS, ENDINGS = ("ther", "thth", "thon", "tion"), ("an", "at", "ble", "ea", "ed", "en", "er", "es", "ha", "he", "in", "ing", "ly", "nd", "nt", "on", "or", "ou", "re", "sh", "st", "th", "ti", "tion", "wh")
+# The labelled URL table: host names of words that such sites like to carry, and of ordinary words in four languages. The second words, prefixes, suffixes
+# and paths are dealt to both classes alike, so that only the first words tell them apart.
+BAD_WORDS = (
+    "casino poker roulette jackpot slots betting bets wager lottery bingo pills pharma pharmacy tablets dieting payday loans lender adult xxx nude escort erotic webcam spam spammer spamming"
+    " ads adserver adclick clicks popunder track tracker tracking malware phishing warez cracked keygen replica fake"
+).split()
+GOOD_WORDS = (
+    "harbour valley mountain bakery kitchen painting chemistry physics poetry letters village council parish railway bicycle sailing orchard forest birds farming teachers school college archive journal"
+    " gazette herald tribune observer radio theory method station nation nutrition education fiction health earth north south youth thermal thread father mother brother weather feather leather theatre"
+    " theme thesis author rather gather other another anthem athens month length strength third thursday weight wealth mouth path tradition edition translation relation action motion section question"
+    " situation fashion cushion garden market gallery museum history science nature planet ocean river bridge castle tower street corner window candle silver copper winter summer autumn spring morning"
+    " evening reading writing drawing knitting cooking running walking hiking fishing gardening engineering learning building printing jardin musique lumiere librairie quartier montagne histoire fleuve"
+    " garten zeitung stadt schule bibliothek verein wetter kirche escuela ciudad cocina noticias puerto teatro playa montana"
+).split()
+SECOND = ("", "online", "shop", "club", "zone", "central", "house", "world")
 PREFIXES = ("", "www.", "blog.", "m.")
 SUFFIXES = ("example.com", "example.net", "example.org")
 PATHS = ("/en/728", "/fr/45.html", "/de/319/", "/es/6/", "/en/900.html", "/de/12", "/fr/533", "/es/88.html")
 
 
 def labelled_urls(spark: SparkSession) -> DataFrame:
-    """``(url, bad)``: every name with every suffix; prefixes and paths are dealt alike to both classes."""
+    """``(url, bad)``: eight urls of each bad word and four of each good one, at most ``MAX_LABELLED`` in all."""
     rows = []
-    for bad, names in ((1, BAD_NAMES), (0, (*GOOD_NAMES, *(a + b for a in STEMS for b in ENDINGS)))):
-        for i, name in enumerate(names):
-            for j in range(8 if bad or i < len(GOOD_NAMES) else 3):
-                rows.append((f"https://{PREFIXES[(i + j + j // 4) % 4]}{name}.{SUFFIXES[(i + j) % 3]}{PATHS[(3 * i + j) % 8]}", bad))
+    for bad, words in ((1, BAD_WORDS), (0, GOOD_WORDS)):
+        for i, word in enumerate(words):
+            for j in range(8 if bad else 4):
+                more = SECOND[(3 * i + j) % 8]
+                name = ("-", "")[(i // 2 + j) % 2].join(x for x in ((word, more) if (i + j) % 3 else (more, word)) if x)
+                rows.append((f"https://{PREFIXES[(i + j) % 4]}{name}.{SUFFIXES[(i + j + i // 3) % 3]}{PATHS[(3 * i + 5 * j + i // 8) % 8]}", bad))
     return spark.createDataFrame(rows, "url string, bad int")
 
 
@@ -79,48 +93,54 @@ def split_url(df: DataFrame, url: str = "url") -> DataFrame:
 
 def grams(text: Column, dim: int = DIM) -> Column:
     """Hashed buckets of the distinct character n-grams of a text."""
-    each = []
-    for n in GRAMS:
-        spots = F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - (n - 1))).otherwise(F.array().cast("array<int>"))
-        each.append(F.transform(spots, lambda i, n=n: F.pmod(F.xxhash64(F.substring(text, i, F.lit(n)), F.lit(n)), F.lit(dim)).cast("int")))
-    return F.array_distinct(F.flatten(F.array(*each)))
+    def of(cs: Column, n: int) -> Column:
+        spots = F.when(F.size(cs) >= n, F.sequence(F.lit(0), F.size(cs) - n)).otherwise(F.array().cast("array<int>"))
+        return F.transform(spots, lambda i: F.pmod(F.xxhash64(*[F.get(cs, i + k) for k in range(n)]), F.lit(dim)).cast("int"))
+
+    # Cut into characters once: a substring costs as much as its place in the text.
+    return once(F.regexp_extract_all(text, F.lit("(?s)."), 0), lambda cs: F.array_distinct(F.flatten(F.array(*[of(cs, n) for n in GRAMS]))))
 
 
 def features(host: str = "host", path: str = "path", dim: int = DIM) -> Column:
     return grams(F.concat(F.lit("^"), F.col(host), F.lit("$"), F.regexp_replace(F.col(path), "[0-9]+", "0")), dim)
 
 
-def fit(labelled: DataFrame, dim: int = DIM, steps: int = STEPS) -> list[float]:
-    """Weights (the last one is the intercept) from ``(url, bad)``; raises beyond ``MAX_LABELLED`` rows.
+def fit(labelled: DataFrame, dim: int = DIM, steps: int = STEPS, min_urls: int = MIN_URLS) -> list[float]:
+    """Weights (the last one is the intercept) from ``(url, bad)``; raises beyond ``MAX_LABELLED`` rows. Buckets of fewer than ``min_urls`` URLs weigh nothing.
 
-    One row holds the examples and, per bucket, the examples that contain it; each step of the fold computes all
-    residuals and moves all weights.
+    One row holds the examples with their buckets and, per bucket, the examples that contain it; each step of the fold computes all residuals and
+    moves all weights. A weight's step is the gradient over the bound on its curvature that its number of examples gives, so frequent buckets do
+    not swing and rare ones do not lag.
     """
     n = labelled.limit(MAX_LABELLED + 1).count()
     if not 0 < n <= MAX_LABELLED:
         raise ValueError(f"the labelled table has no rows or more than {MAX_LABELLED}")
-    rows = split_url(labelled).select(features(dim=dim).alias("x"), F.col("bad").cast("double").alias("y"))
-    one = rows.agg(F.sort_array(F.collect_list(F.struct("x", "y"))).alias("ex"))
-    one = one.withColumn(
-        "having",
-        F.transform(
-            F.sequence(F.lit(0), F.lit(dim)),
-            lambda j: F.when(j == dim, F.sequence(F.lit(0), F.size("ex") - 1)).otherwise(
-                F.filter(F.sequence(F.lit(0), F.size("ex") - 1), lambda i: F.array_contains(F.get(F.col("ex"), i)["x"], j))
-            ),
-        ),
-    ).repartition(1)  # the one row is exchanged so that the fold reads this column instead of computing it at each step
+    number = lambda *by: (F.row_number().over(Window.orderBy(*by)) - 1).alias
+    rows = split_url(labelled).select(features(dim=dim).alias("x"), F.col("bad").cast("double").alias("y"), number("url", "bad")("i"))
+    each = rows.select("i", F.explode("x").alias("b"))
+    known = each.groupBy("b").agg(F.sort_array(F.collect_list("i")).alias("having")).filter(F.size("having") >= min_urls).select("b", "having", number("b")("k"))
+    seen = each.join(F.broadcast(known.select("b", "k")), "b").groupBy("i").agg(F.collect_list("k").alias("x"))
+    examples = rows.select("i", "y").join(F.broadcast(seen), "i", "left").select(F.struct("i", F.coalesce("x", F.array().cast("array<int>")).alias("x"), "y").alias("e"), F.lit(None).cast("struct<k:int,b:int,having:array<int>>").alias("f"))
+    buckets = known.select(F.lit(None).cast("struct<i:int,x:array<int>,y:double>").alias("e"), F.struct("k", "b", "having").alias("f"))
+    one = examples.unionByName(buckets).agg(F.sort_array(F.collect_list("e")).alias("ex"), F.sort_array(F.collect_list("f")).alias("fs"))
+    one = one.withColumn("having", F.concat(F.transform("fs", lambda f: f["having"]), F.array(F.sequence(F.lit(0), F.lit(n - 1)))))
+    one = one.withColumn("buckets", F.transform("fs", lambda f: f["b"])).drop("fs")
+    most = F.array_max(F.transform("ex", lambda e: F.size(e["x"]))) + 1
+    one = one.withColumn("pace", F.transform("having", lambda h: 1 / (F.size(h) / n * most / 4 + DECAY))).repartition(1)  # exchanged, so that the fold reads these columns instead of computing them at each step
 
     def step(w: Column, _: Column) -> Column:
         def residual(e: Column) -> Column:
-            z = F.aggregate(e["x"], F.get(w, F.lit(dim)), lambda s, j: s + F.get(w, j))
+            z = F.aggregate(e["x"], F.element_at(w, -1), lambda s, j: s + F.get(w, j))
             return 1 / (1 + F.exp(-z)) - e["y"]
 
-        moved = F.transform(F.array(F.transform("ex", residual)), lambda r: F.transform(w, lambda v, j: v - RATE * (F.aggregate(F.get(F.col("having"), j), F.lit(0.0), lambda s, i: s + F.get(r, i)) / F.size("ex") + DECAY * v)))
+        moved = F.transform(F.array(F.transform("ex", residual)), lambda r: F.transform(w, lambda v, j: v - F.get(F.col("pace"), j) * (F.aggregate(F.get(F.col("having"), j), F.lit(0.0), lambda s, i: s + F.get(r, i)) / n + DECAY * v)))
         return F.get(moved, F.lit(0))
 
-    start = F.array_repeat(F.lit(0.0), dim + 1)
-    return list(one.select(F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step).alias("w")).first()["w"])
+    got = one.select("buckets", F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.transform("having", lambda _: F.lit(0.0)), step).alias("w")).first()
+    weights = [0.0] * dim + [got["w"][-1]]
+    for b, w in zip(got["buckets"], got["w"], strict=False):
+        weights[b] = w
+    return weights
 
 
 def score(weights: list[float], x: Column) -> Column:
@@ -142,7 +162,7 @@ def best_rule(rules: tuple[UrlRule, ...]) -> Column:
     return F.array_max(F.array(*fits)) if fits else F.lit(None).cast("struct<length:int,rule:string,verdict:string>")
 
 
-def filter_urls(pages: DataFrame, weights: list[float], rules: tuple[UrlRule, ...] = RULES, threshold: float = 0.4) -> DataFrame:
+def filter_urls(pages: DataFrame, weights: list[float], rules: tuple[UrlRule, ...] = RULES, threshold: float = 0.5) -> DataFrame:
     """``(page_id, host, path, rule, verdict, bad_probability)`` per row."""
     base = split_url(pages.select("page_id", "url")).withColumn("__r", best_rule(rules)).withColumn("__x", features())
     judged = base.withColumn("bad_probability", score(weights, F.col("__x")))
