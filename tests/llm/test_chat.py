@@ -1,4 +1,7 @@
 import hashlib
+import random
+
+from pyspark.sql import functions as F
 
 from tidemark.llm import chat as C
 
@@ -67,3 +70,29 @@ def test_digest(spark):
 
 def test_empty(spark):
     assert C.chat_digest(df(spark, [])).count() == 0
+
+
+def test_mask_alone_gives_the_trained_text(spark):
+    right = C.format_chats(df(spark, ROWS))
+    wrong = right.withColumn("mask_runs", F.transform("mask_runs", lambda r: F.struct(r["length"], r["bytes"], (~r["trained"]).alias("trained"))))
+    late = right.withColumn("mask_runs", F.concat(F.array(F.struct(F.lit(1).cast("long").alias("length"), F.lit(1).cast("long").alias("bytes"), F.lit(False).alias("trained"))), "mask_runs"))
+    a, b, c = ({r["conv_id"]: r["loss_sha256"] for r in C.digest(x).collect()} for x in (right, wrong, late))
+    assert all(a[k] != b[k] for k in a) and a[1] != c[1] and a[2] != c[2]
+    plan = C.chat_digest(df(spark, ROWS))._jdf.queryExecution().optimizedPlan().toString()
+    assert "mask_runs" in plan
+
+
+def test_fold_by_chunks(spark):
+    rnd = random.Random(5)
+    rows = [(c, i, rnd.choice(["user", "assistant"]) if c else "user", f"t{i}é") for c in range(4) for i in range(37 * c + 150)]
+    blocks = {}
+    for c, _, role, text in rows:
+        own = blocks.setdefault(c, [])
+        if own and own[-1][0] == role:
+            own[-1][1].append(text)
+        else:
+            own.append((role, [text]))
+    sorted_ = df(spark, rows).groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("ts"))
+    for chunk in (1, 7, 1000):
+        got = {r["conv_id"]: [(b["role"], b["texts"]) for b in r["bs"]] for r in sorted_.select("conv_id", C.merged(F.col("ts"), chunk).alias("bs")).collect()}
+        assert got == blocks
