@@ -86,6 +86,22 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), weights).drop("bad_probability")
 
 
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts of op7 that are no model: host, path, and the rule that fits with its verdict."""
+    base = url_filter.split_url(table(spark, sf_dir, "pages").select("page_id", "url"))
+    return base.withColumn("r", url_filter.best_rule(url_filter.RULES)).select("page_id", "host", "path", F.col("r.rule").alias("rule"), F.col("r.verdict").alias("rule_verdict"))
+
+
+URL_RULES_SQL = r"""
+WITH u AS (SELECT page_id, CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, translate(regexp_extract(rest, '(?s)^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '(?s)^[^/?#]*([^?#]*)', 1) AS path FROM u),
+r(host, path, verdict) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block'))
+SELECT p.page_id, p.host, p.path, r.host || r.path AS rule, r.verdict AS rule_verdict
+FROM p LEFT JOIN r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path)
+QUALIFY row_number() OVER (PARTITION BY p.page_id ORDER BY length(r.host || r.path) DESC NULLS LAST) = 1
+"""
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = rule_ledger.judge(table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits")
@@ -115,10 +131,50 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fai
 """
 
 
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the full policy rejects, rejects alone, and what would be kept without it."""
+    ledger = rule_ledger.ledger(rule_ledger.measure(table(spark, sf_dir, "documents")))
+    return rule_ledger.ablations(ledger, rule_ledger.STRICT)
+
+
+ABLATIONS_SQL = (
+    "WITH f AS ("
+    + OP8_SQL.strip()
+    + """),
+r(rule, bit) AS (VALUES ('few_words', 1), ('repeat_words', 2), ('symbols', 4), ('dup_lines', 8), ('long_words', 16), ('short_words', 32), ('upper_case', 64))
+SELECT rule, count(*) FILTER (fail_bits & bit > 0) AS n_fail, count(*) FILTER (fail_bits = bit) AS n_alone, count(*) FILTER (fail_bits & (127 - bit) = 0) AS n_kept_without
+FROM f CROSS JOIN r GROUP BY rule
+"""
+)
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_digest(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
 
 
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts of op9 that are not random: each source's size and target."""
+    sizes = table(spark, sf_dir, "documents").groupBy("source").agg(F.sum(mixing.size_of(F.col("text"))).alias("source_size"))
+    return mixing.source_targets(sizes).select("source", "source_size", F.round("target", 6).alias("target"))
+
+
+#: A source stays at its cap once it is above, so after as many rounds as there are sources nothing changes; each round shares what is left by weight.
+MIX_TARGETS_SQL = r"""
+WITH RECURSIVE s AS (
+  SELECT source, sum(len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')))::BIGINT AS n FROM documents GROUP BY source
+), w AS (
+  SELECT source, n, [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::BIGINT]::DOUBLE AS weight FROM s
+), t AS (
+  SELECT 0 AS k, source, n, weight, false AS cut, NULL::DOUBLE AS target FROM w
+  UNION ALL
+  SELECT k + 1, source, n, weight, cut OR share >= 3 * n, CASE WHEN cut OR share >= 3 * n THEN 3.0 * n ELSE share END
+  FROM (SELECT *, weight * (sum(n) OVER () - coalesce(sum(3.0 * n) FILTER (cut) OVER (), 0)) / nullif(sum(weight) FILTER (NOT cut) OVER (), 0) AS share FROM t)
+  WHERE k < (SELECT count(*) FROM s) + 1
+)
+SELECT source, n AS source_size, round(target, 6) AS target FROM t WHERE k = (SELECT max(k) FROM t)
+"""
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
@@ -144,5 +200,8 @@ QUERIES: dict[str, Query] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_mix_sources": op9_mix_sources,
     "op10_line_dedup": op10_line_dedup,
+    "url_rules": url_rules,
+    "quality_ablations": quality_ablations,
+    "mix_targets": mix_targets,
 }
-ORACLES: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op3_chat_format": OP3_SQL, "op8_quality_rules": OP8_SQL, "op10_line_dedup": OP10_SQL}
+ORACLES: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op3_chat_format": OP3_SQL, "op8_quality_rules": OP8_SQL, "op10_line_dedup": OP10_SQL, "url_rules": URL_RULES_SQL, "quality_ablations": ABLATIONS_SQL, "mix_targets": MIX_TARGETS_SQL}
