@@ -1,3 +1,7 @@
+import random
+from html import unescape
+from html.entities import html5
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -50,7 +54,7 @@ def test_small_functions(spark):
     assert one(spark, text.norm_text("x"), x="Hello, 世界! A_1") == "hello世界a_1"
     assert one(spark, text.title_key("x"), x="A b, C") == "ab,c"
     assert one(spark, text.normalize_snippet("x"), x="<b>x</b>&amp;**y**  z") == "x &y z"
-    assert one(spark, text.normalize_snippet("x", full=True), x="&eacute;&#x41;") == "éA"
+    assert one(spark, text.normalize_snippet("x"), x="&eacute;&#x41; &#8217;&mdash;") == "éA ’—"
     assert one(spark, text.normalize_site("x"), x=" HTTPS://www.Ex.com/news/ ") == "ex.com"
     assert one(spark, text.sanitize_summary("x"), x="**a** \r\nb") == "a\nb"
     assert one(spark, text.sanitize_summary("x"), x=" a \t\n\n b\r\rc ") == "a\n\n b\n\nc"
@@ -102,6 +106,15 @@ def test_page(spark):
     assert {r["page_id"]: r["cover_url"] for r in html.pick_cover(cands).collect()} == {1: "http://h.com/a/big.png"}
 
 
+def test_references_equal_the_standard_library(spark):
+    rnd, names = random.Random(3), list(html5)
+    texts = ["&amp;lt;", "&notit;", "&copyx &AMP &#x80; &#0; &#13; &#xD800; &#x110000; &#99999999999; &#x1F600;", "& a &; &# &#; &#x; &&amp;", "no", "", "&#38;#38;", "&#000065;&#x000041", "&#x1;&#xb;&#xFFFE;&#xFDD0;&#127;"]
+    some = lambda: rnd.choice(["&" + rnd.choice(names), "&" + rnd.choice(names).rstrip(";"), f"&#{rnd.randrange(0x11FFFF)};", f"&#x{rnd.randrange(0x3000):x}", " ", "a", "z;", "&", "#", "é"])
+    texts += ["".join(some() for _ in range(rnd.randrange(8))) for _ in range(500)]
+    got = spark.createDataFrame([(i, x) for i, x in enumerate([*texts, None])], "i int, x string").select("i", text.unescape_html("x").alias("y")).orderBy("i").collect()
+    assert [r["y"] for r in got] == [*map(unescape, texts), None]
+
+
 def test_malformed_pages_have_candidates(spark):
     page = '<![foo[ x><![ y]><div class="content"><img src="/a.jpg"><![if !IE]></span></div>' + "<b>" * 30_000 + "</i>" * 30_000
     df = spark.createDataFrame([(1, "https://h.com/x", page)], "page_id long, url string, html string")

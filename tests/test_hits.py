@@ -27,6 +27,23 @@ def test_required_and_blocked(spark):
     assert sorted(r["pos"] for r in src.filter(~H.is_blocked("url", suffix=True)).collect()) == [1, 2, 4, 9]
 
 
+def test_urls_that_cannot_be_parsed_match_as_a_whole(spark):
+    urls = ["http://[baike.com/x", "http://x]/baike.com", "http://[zz]/Wikipedia.org", "http://[::1]:80/wikipedia.org", "http://u@[::1%e]/wikipedia.org", "http://[x/"]
+    src = df(spark, [hit(0, 1, 0, i, u) for i, u in enumerate(urls)])
+    assert sorted(r["pos"] for r in H.host_blocklist(src).collect()) == [3, 4, 5]
+
+
+def test_sites_then_global(spark):
+    g = H.GLOBAL
+    rows = [hit(0, 1, 0, i, f"http://s{i}/") for i in range(6)] + [hit(0, 1, 1, 10, "http://s1"), hit(0, 1, 1, 11, "http://t/"), hit(0, 1, g, 20, "http://baike.com/"), hit(0, 1, g, 21, "http://t/"), hit(0, 1, g, 22, "http://g/"), hit(0, 2, 0, 30, "http://z/")]
+    got = H.site_then_global(df(spark, rows), 4).orderBy("tool_rank", "scope_rank", "pos").collect()
+    # A site gives max(3, min(4, 10)) = 4, the whole list 4.
+    assert [r["url"] for r in got] == ["http://s0/", "http://s1/", "http://s2/", "http://s3/", "http://z/"]
+    got = H.site_then_global(df(spark, rows), 7).orderBy("tool_rank", "scope_rank", "pos").collect()
+    assert [r["url"] for r in got] == [f"http://s{i}/" for i in range(6)] + ["http://t/", "http://z/"]
+    assert H.site_then_global(df(spark, rows), None).count() == 9
+
+
 def test_age(spark):
     at = [datetime(2024, 1, 14, 10), datetime(2024, 1, 14, 9, 59, 59), None]
     src = df(spark, [hit(0, 1, 0, i, "u", t) for i, t in enumerate(at)])

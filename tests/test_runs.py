@@ -29,6 +29,8 @@ def test_records(spark):
     assert one(spark, D.resolve_summary("a", "t", "x"), a=" ", t="T", x="text") == "【摘要】T\ntext"
     assert one(spark, D.resolve_summary("a", "t", "x"), a="z", t="T", x="") == "【摘要】T\n原文正文不足，暂不生成摘要。"
     audit = one(spark, D.summary_audit("s", "x"), s="重磅 3.5 and 7 **a** **b** **c** http://x", x="7")
+    assert not one(spark, D.summary_audit("s", "x"), s="震撼", x="")["marketing"]
+    assert [one(spark, D.summary_audit("s", "x"), s=v, x="")["dashes"] for v in ("a—b", "a——b", "a--b", "a-b")] == [True, True, True, False]
     assert (audit["marketing"], audit["too_bold"], audit["link"], audit["new_numbers"]) == (True, True, True, ["3.5"])
 
 
@@ -100,6 +102,32 @@ def test_feed(spark, tmp_path):
     assert got[0]["published_at"] == AS_OF
 
 
+def test_items_outside_the_channel(spark, tmp_path):
+    (tmp_path / "f.xml").write_text('<rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#"><channel><title>C</title></channel><item><title>One long enough title</title><link>http://a/1</link><description>&amp;#8217;</description></item><item><title>Two long enough title</title><link>http://a/2</link></item></rdf:RDF>')
+    assert [(r["pos"], r["url"], r["snippet"]) for r in S.read_feed(spark, f"file://{tmp_path}/f.xml", 9).orderBy("pos").collect()] == [(0, "http://a/1", "’"), (1, "http://a/2", "")]
+
+
+def test_failed_drafts_make_no_duplicates(spark, world):
+    pages, hits, rules = world
+    fails = lambda made: made.filter("url = 'http://a.com/1/' OR url = 'http://a.com/3'").select("id")
+    none = spark.createDataFrame([], S.ARTICLES)
+    out = P.run_batch(hits, pages, none, rules, P.Params(as_of=F.lit(AS_OF)), fails=lambda made: fails(made).filter("id LIKE '%/1'"))
+    assert {r["id"][-1]: r["status"] for r in out.outcomes.collect() if "a.com" in r["id"]} == {"1": "failed", "2": "published", "3": "published", "4": "too_short", "g": "failed"}
+    both = P.run_batch(hits, pages, none, rules, P.Params(as_of=F.lit(AS_OF)), fails=fails)
+    assert both.stats.first()["failed"] == 3 and sorted(r["source_url"] for r in both.records.collect()) == ["http://a.com/2"]
+
+
+def test_candidates_and_bytes(spark):
+    rows = [hit(0, 1, 0, 0, "http://zh.wikipedia.org/x", AS_OF), hit(0, 1, 0, 1, "https://news.google.com/rss/articles/abc", AS_OF), hit(0, 1, 0, 2, "http://a/1", AS_OF), hit(0, 2, 0, 0, "http://a/9", AS_OF)]
+    alias = spark.createDataFrame([("https://news.google.com/rss/articles/abc", " http://a/1/ ")], "url string, target string")
+    found = P.collect_candidates(spark.createDataFrame(rows, HIT), None, P.Params(as_of=F.lit(AS_OF)), alias)
+    assert [(r["pos"], r["url"]) for r in found.collect()] == [(1, "http://a/1/")]
+    body = "<title>一个足够长的中文标题在这里出现</title><p>" + "中文正文" * 30 + "&#8217;</p>"
+    raw = spark.createDataFrame([(1, "http://a/1", body.encode("gb18030"), "gb18030", "text/html")], "page_id long, url string, body binary, encoding string, content_type string")
+    got = P.extract_articles(raw, found).first()
+    assert got["title"] == "一个足够长的中文标题在这里出现" and got["text"] == "中文正文" * 30 + "’" and not got["page_missing"]
+
+
 def test_results(spark):
     df = spark.createDataFrame([(1, "A - Site", " http://a/ ", "<i>b</i>"), (2, "x", "", "b"), (3, "y", "http://baike.com/", "b")], "n int, title string, href string, body string")
     assert [(r["n"], r["title"], r["url"], r["snippet"]) for r in S.read_results(df, F.lit(AS_OF)).collect()] == [(1, "A", "http://a/", "b")]

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import NO_SOURCE_TITLE, col, collapse, looks_garbled, normalize_title, once, strip, unescape_basic
+from .text import NO_SOURCE_TITLE, col, collapse, looks_garbled, normalize_title, once, strip, unescape_html
 from .urls import first_int, is_content_image, is_cover_url, resolve_img_src
 
 MAX_TEXT = 20_000
@@ -29,7 +29,7 @@ def page_blocks(html: Column | str) -> Column:
     marked = F.regexp_replace(marked, r"(?i)</(?:p|li|h2|h3)\s*>", "\x02")
     parts = F.split(marked, "\x01", -1)
     inner = F.transform(F.slice(parts, F.lit(2), F.size(parts)), lambda x: F.substring_index(x, "\x02", 1))
-    return F.transform(inner, lambda x: collapse(unescape_basic(F.regexp_replace(x, r"<[^>]*>", " "))))
+    return F.transform(inner, lambda x: collapse(unescape_html(F.regexp_replace(x, r"<[^>]*>", " "))))
 
 
 def explode_blocks(pages: DataFrame, html: str = "html") -> DataFrame:
@@ -55,7 +55,7 @@ def block_text(html: Column | str, n: int = 25, cap: int = MAX_TEXT) -> Column:
 
 def page_title(html: Column | str, hit_title: Column | str, aggregator: str = "google news") -> Column:
     """Title element, else the hit's title, else a placeholder; the hit's title also for an aggregator's name or a garbled one."""
-    own = strip(unescape_basic(F.regexp_extract(F.coalesce(col(html), F.lit("")), r"(?is)<title[^>]*>(.*?)</title>", 1)))
+    own = strip(unescape_html(F.regexp_extract(F.coalesce(col(html), F.lit("")), r"(?is)<title[^>]*>(.*?)</title>", 1)))
 
     def first(x: Column) -> Column:
         title = F.when(x["own"] != "", x["own"]).when(x["hit"] != "", x["hit"]).otherwise(NO_SOURCE_TITLE)

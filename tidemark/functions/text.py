@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import html
+import json
 from collections.abc import Callable
+from html.entities import html5
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # Fixed values.
 #: White space as Python's str.split and str.strip know it.
@@ -81,24 +80,75 @@ def _cut_tail(title: Column, max_tail: int) -> Column:
     return once(once(title, lambda t: F.struct(t.alias("whole"), F.split(t, r" *[-|—_]+ *", -1).alias("parts"))), cut)
 
 
-def unescape_basic(c: Column | str) -> Column:
-    """The entities that make up nearly all of real text, natively; ``&amp;`` last."""
-    out = col(c)
-    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&middot;", "·"), ("&copy;", "©"), ("&amp;", "&")):
-        out = F.replace(out, F.lit(name), F.lit(char))
-    return out
+def _entity_tables() -> tuple[dict[str, str], dict[str, str]]:
+    """Names that end in ``;`` and those that need none (the standard library's table); the usual ones first, as look-ups go in order."""
+    usual = ("amp;", "quot;", "lt;", "gt;", "nbsp;", "apos;", "copy;", "middot;", "mdash;", "ndash;", "hellip;", "lsquo;", "rsquo;", "ldquo;", "rdquo;", "eacute;")
+    closed = {k[:-1]: html5[k] for k in (*usual, *html5) if k.endswith(";")}
+    return closed, {k: v for k, v in html5.items() if not k.endswith(";")}
 
 
-@F.pandas_udf(T.StringType())
-def unescape_html(s: pd.Series) -> pd.Series:
-    """All named and numeric entities (the full table is the standard library's)."""
-    return s.map(html.unescape, na_action="ignore")
+_CLOSED, _LEGACY = _entity_tables()
+_LEGACY_NAME = "^(?:" + "|".join(sorted(_LEGACY, key=lambda k: (-len(k), k))) + ")"
 
 
-def normalize_snippet(c: Column | str, full: bool = False) -> Column:
-    """Tags to spaces, entities decoded, ``**`` removed, white space collapsed. ``full``: with the whole entity table."""
-    plain = F.regexp_replace(F.coalesce(col(c), F.lit("")), "<[^>]+>", " ")
-    plain = unescape_html(plain) if full else unescape_basic(plain)
+def _windows_1252(code: int) -> str:
+    try:
+        return bytes([code]).decode("cp1252")
+    except UnicodeDecodeError:
+        return chr(code)
+
+
+#: What numeric references to 0, 13 and the range 128-159 stand for.
+_ODD_CODES = {"0": "\ufffd", "13": "\r"} | {str(i): _windows_1252(i) for i in range(0x80, 0xA0)}
+
+
+def _table(entries: dict[str, str]) -> Column:
+    """A constant map; the optimizer folds it once."""
+    return F.from_json(F.lit(json.dumps(entries)), F.lit("map<string,string>"))
+
+
+def _reference(p: Column) -> Column:
+    """A piece of text that followed an ``&``, with the reference that it starts with replaced."""
+    number = F.regexp_extract(p, "^#(?:0*[0-9]+|[xX]0*[0-9a-fA-F]+);?", 0)
+    name = F.regexp_extract(p, "^[A-Za-z][A-Za-z0-9]{0,30};", 0)
+    bare = F.regexp_extract(p, _LEGACY_NAME, 0)
+
+    def numeric(m: Column) -> Column:
+        is_hex = m.rlike("^#[xX]")
+        digits = F.regexp_replace(m, "^#[xX]?0*|;$", "")
+        code = F.when(F.length(digits) > F.when(is_hex, 6).otherwise(7), 0x110000).when(digits == "", 0).when(is_hex, F.try_to_number(F.conv(digits, 16, 10), F.lit("99999999")).cast("int")).otherwise(digits.try_cast("int"))
+        return once(code, char)
+
+    def char(c: Column) -> Column:
+        nothing = (c < 9) | (c == 11) | c.between(14, 31) | (c == 127) | c.between(0xFDD0, 0xFDEF) | (F.pmod(c, F.lit(0x10000)) >= 0xFFFE)
+        own = F.decode(F.unhex(F.lpad(F.hex(c), 8, "0")), "UTF-32")
+        return F.coalesce(F.try_element_at(_table(_ODD_CODES), c.cast("string")), F.when(c.between(0xD800, 0xDFFF) | (c > 0x10FFFF), "\ufffd").when(nothing, "").otherwise(own))
+
+    found = F.struct(number.alias("number"), name.alias("name"), F.when(name != "", F.try_element_at(_table(_CLOSED), F.rtrim(name, F.lit(";")))).alias("closed"), bare.alias("bare"))
+
+    def replaced(m: Column) -> Column:
+        rest = lambda x: F.substring(p, F.length(x) + 1, F.length(p))
+        return (
+            F.when(m["number"] != "", F.concat(once(m["number"], numeric), rest(m["number"])))
+            .when(m["closed"].isNotNull(), F.concat(m["closed"], rest(m["name"])))
+            .when(m["bare"] != "", F.concat(F.try_element_at(_table(_LEGACY), m["bare"]), rest(m["bare"])))
+            .otherwise(F.concat(F.lit("&"), p))
+        )
+
+    return once(found, replaced)
+
+
+def unescape_html(c: Column | str) -> Column:
+    """All named and numeric character references to characters, by the rules of browsers: unknown ones stay, some names need no ``;``."""
+    text = col(c)
+    parts = lambda t: F.split(t, "&", -1)
+    whole = once(F.struct(text.alias("t")), lambda x: once(parts(x["t"]), lambda ps: F.concat(F.get(ps, F.lit(0)), F.array_join(F.transform(F.slice(ps, F.lit(2), F.size(ps)), _reference), ""))))
+    return F.when(F.contains(text, F.lit("&")), whole).otherwise(text)
+
+
+def normalize_snippet(c: Column | str) -> Column:
+    """Tags to spaces, entities decoded, ``**`` removed, white space collapsed."""
+    plain = once(F.regexp_replace(F.coalesce(col(c), F.lit("")), "<[^>]+>", " "), unescape_html)
     return collapse(F.replace(plain, F.lit("**"), F.lit("")))
 
 
@@ -106,7 +156,7 @@ def feed_title(title: Column | str, description: Column | str, aggregator: str =
     """A feed item's title; if it is empty or the aggregator's own name, the first link text of the description."""
     said = F.coalesce(col(description), F.lit(""))
     link = F.regexp_extract(said, r"(?is)<a[^>]*>(.*?)</a>", 1)
-    text = strip(unescape_basic(F.regexp_replace(link, "<[^>]+>", "")))
+    text = strip(unescape_html(F.regexp_replace(link, "<[^>]+>", "")))
 
     def choose(x: Column) -> Column:
         own = F.when(x["title"] == "", UNTITLED).otherwise(x["title"])

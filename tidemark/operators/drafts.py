@@ -14,6 +14,8 @@ GUIDE = "你是中文公众号编辑。只基于原文写摘要，不要扩写
 EDITOR = "你是严谨的中文编辑。"
 SHORT_NOTICE = "原文正文不足，暂不生成摘要。"
 CITATION = "<p><br/></p><p><strong>引用说明</strong>：本文为基于公开网页内容的摘要整理，仅供信息参考，不构成任何投资或决策建议。</p>"
+MARKETING = ("惊喜", "重磅", "里程碑", "引领", "突破性", "赋能")
+DASHES = ("—", "--")  # a doubled long dash holds a single one
 MAX_CHARS = 2_200
 SOURCE_CHARS = 12_000
 
@@ -60,14 +62,14 @@ def draft_record(title: Column | str, summary: Column | str, url: Column | str,
     return F.struct(F.array(article).alias("articles"))
 
 
-def summary_audit(summary: Column | str, text: Column | str, n: int = MAX_CHARS, words: tuple[str, ...] = ("震撼", "颠覆", "重磅", "炸裂", "史诗级")) -> Column:
+def summary_audit(summary: Column | str, text: Column | str, n: int = MAX_CHARS, words: tuple[str, ...] = MARKETING, dashes: tuple[str, ...] = DASHES) -> Column:
     """Struct of checks that the style guide allows a machine: length, dashes, marketing words, bold marks, links, numbers not in the source."""
     s, t = F.coalesce(col(summary), F.lit("")), F.coalesce(col(text), F.lit(""))
     bold = lambda x: F.regexp_count(x, F.lit(r"\*\*[^*]+\*\*"))
     numbers = lambda x: F.array_distinct(F.regexp_extract_all(x, F.lit(r"[0-9]+(?:\.[0-9]+)?"), F.lit(0)))
     return F.struct(
         (F.length(s) > n).alias("too_long"),
-        F.contains(s, F.lit("——")).alias("dashes"),
+        F.exists(F.array(*[F.lit(d) for d in dashes]), lambda d: F.contains(s, d)).alias("dashes"),
         F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(s, w)).alias("marketing"),
         ((bold(s) > 8) | F.exists(F.split(s, "\n"), lambda p: bold(p) > 2)).alias("too_bold"),
         s.rlike(r"(?i)https?://|\]\(").alias("link"),

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import col, strip
+from ..functions.text import col, once, strip
 from ..functions.urls import canonical_url, norm_url, url_host
 from ..runtime import broadcast_if_small, in_blocks
 
@@ -21,6 +21,8 @@ BLOCKED_HOSTS = ("baike.baidu.com", "wikipedia.org", "zh.wikipedia.org", "en.wik
 #: Rows of a list table (sites, keywords, aliases) that are broadcast.
 MAX_LIST = 100_000
 HIT_ORDER = ("query_ord", "scope_rank", "pos")
+#: ``scope_rank`` of hits that no site list limits; those of a site have the site's place.
+GLOBAL = 1 << 20
 
 
 def require(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -28,9 +30,16 @@ def require(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.filter(reduce(lambda a, b: a & b, [F.length(strip(F.coalesce(F.col(c), F.lit("")))) > 0 for c in cols]))
 
 
+def block_text(url: Column | str) -> Column:
+    """What a blocklist looks at: the host, or the whole URL in lower case if its brackets hold no address, so that it cannot be parsed."""
+    netloc = F.regexp_extract(strip(F.coalesce(col(url), F.lit(""))), r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//([^/?#]*)", 1)
+    odd = once(netloc, lambda n: n.rlike(r"[\[\]]") & ~n.rlike(r"^[^\[\]]*\[(?:[0-9A-Fa-f:.]+(?:%[^\[\]]*)?|[vV][0-9A-Fa-f]+\.[^\[\]]+)\](?::[^\[\]]*)?$"))
+    return F.when(odd, F.lower(strip(col(url)))).otherwise(url_host(url))
+
+
 def is_blocked(url: Column | str, domains: Sequence[str] = BLOCKED_HOSTS, suffix: bool = False) -> Column:
     """Blank URL, or the host contains a listed domain (``suffix``: is it or is below it)."""
-    host = url_host(url)
+    host = block_text(url)
     match = lambda d: (host == d) | F.endswith(host, F.lit("." + d)) if suffix else F.contains(host, F.lit(d))
     hit = reduce(lambda a, b: a | b, [match(d) for d in domains], F.lit(False))
     return (strip(F.coalesce(col(url), F.lit(""))) == "") | hit
@@ -40,7 +49,7 @@ def host_blocklist(df: DataFrame, url: str = "url", domains: Sequence[str] | Dat
     """Rows that are not blocked. A list of domains becomes an expression; a table ``(value)`` an anti join with its rows, broadcast in blocks of ``MAX_LIST``."""
     if not isinstance(domains, DataFrame):
         return df.filter(~is_blocked(url, domains))
-    hosted = df.withColumn("__host", url_host(url)).filter(strip(F.coalesce(F.col(url), F.lit(""))) != "")
+    hosted = df.withColumn("__host", block_text(url)).filter(strip(F.coalesce(F.col(url), F.lit(""))) != "")
     for block in in_blocks(domains.select(F.col("value").alias("__domain")), "__domain", MAX_LIST):
         hosted = hosted.join(F.broadcast(block), F.contains("__host", "__domain"), "left_anti")
     return hosted.drop("__host")
@@ -66,11 +75,11 @@ def rank_first(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]
     return df.withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") <= n).drop("__rn")
 
 
-def dedupe_hits(df: DataFrame, partition: Sequence[str], order: Sequence[str], n: int, url: str = "url", domains: Sequence[str] = BLOCKED_HOSTS) -> DataFrame:
-    """In order: blank, blocked and seen URLs go, then the first ``n`` of each partition stay."""
+def dedupe_hits(df: DataFrame, partition: Sequence[str], order: Sequence[str], n: int | None, url: str = "url", domains: Sequence[str] = BLOCKED_HOSTS) -> DataFrame:
+    """In order: blank, blocked and seen URLs go, then the first ``n`` (None: all) of each partition stay."""
     keyed = host_blocklist(df, url, domains).withColumn("__key", norm_url(url)).filter("__key != ''")
     first = rank_first(keyed, [*partition, "__key"], order)
-    return rank_first(first, partition, order, n).drop("__key")
+    return (first if n is None else rank_first(first, partition, order, n)).drop("__key")
 
 
 def site_cap(max_results: int) -> int:
@@ -88,7 +97,16 @@ def top_candidates(df: DataFrame, n: int | None = 20, order: Sequence[str] = HIT
 
 def priority_union(scoped: DataFrame, everywhere: DataFrame) -> DataFrame:
     """Site-scoped hits (their ``scope_rank`` is the site's place, from 0) before the global ones."""
-    return scoped.unionByName(everywhere.withColumn("scope_rank", F.lit(1 << 20)))
+    return scoped.unionByName(everywhere.withColumn("scope_rank", F.lit(GLOBAL)))
+
+
+def site_then_global(df: DataFrame, max_results: int | None, domains: Sequence[str] = BLOCKED_HOSTS) -> DataFrame:
+    """Each tool's hits of each query as one list: sites in their order, then global hits, every call deduped and capped, then the whole."""
+    of, call = ["query", "tool_rank"], ["query", "tool_rank", "scope_rank"]
+    if max_results is not None:
+        sites = dedupe_hits(df.filter(F.col("scope_rank") < GLOBAL), call, ["pos"], site_cap(max_results), domains=domains)
+        df = sites.unionByName(dedupe_hits(df.filter(F.col("scope_rank") >= GLOBAL), call, ["pos"], max_results, domains=domains))
+    return dedupe_hits(df, of, ["scope_rank", "pos"], max_results, domains=domains)
 
 
 def union_queries(frames: Sequence[DataFrame]) -> DataFrame:

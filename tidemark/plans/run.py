@@ -8,11 +8,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.html import block_text, image_candidates, page_text, page_title, pick_cover
+from ..functions.html import block_text, decode_bytes, image_candidates, page_text, page_title, pick_cover
 from ..functions.text import is_too_short
 from ..functions.urls import canonical_url
 from ..operators.drafts import article_record, settle_drafts
-from ..operators.hits import assert_covered, filter_by_age, from_first_source, require, top_candidates, unique_candidates
+from ..operators.hits import BLOCKED_HOSTS, assert_covered, filter_by_age, from_first_source, require, resolve_alias, site_then_global, top_candidates, unique_candidates
 from ..operators.resolve import classify, run_stats
 from ..operators.rules import rule_filter
 from ..operators.similar import append_new, duplicate_keys, exists_duplicate
@@ -25,14 +25,19 @@ class Params:
     as_of: Column
     max_hours: int = 14
     max_candidates: int | None = 20
+    max_results: int | None = 20
+    blocked: tuple[str, ...] = BLOCKED_HOSTS
     author: str = "16"
     default_cover: str = ""
     batch_id: int = 0
 
 
-def collect_candidates(hits: DataFrame, queries: DataFrame | None, params: Params) -> DataFrame:
-    """Hits to the run's candidates: first source with rows per query, every query covered, first hit per canonical URL, age, cap."""
-    chosen = from_first_source(require(hits, ["title", "url"]))
+def collect_candidates(hits: DataFrame, queries: DataFrame | None, params: Params, alias: DataFrame | None = None) -> DataFrame:
+    """Hits to the run's candidates: aliases resolved, each tool's list of sites and global hits without blocked hosts and repeats and capped, the first
+    source with rows per query, every query covered, first hit per canonical URL, age, cap."""
+    full = require(hits, ["title", "url"])
+    known = full if alias is None else resolve_alias(full, alias)
+    chosen = from_first_source(site_then_global(known, params.max_results, params.blocked))
     if queries is not None:
         assert_covered(queries, chosen)
     fresh = filter_by_age(unique_candidates(chosen), "published_at", params.max_hours, params.as_of)
@@ -40,7 +45,12 @@ def collect_candidates(hits: DataFrame, queries: DataFrame | None, params: Param
 
 
 def extract_articles(pages: DataFrame, hits: DataFrame, covers: bool = True) -> DataFrame:
-    """Pages of the hits as ``(id, ord, url, title, text, published_at, cover_url, page_missing)``, joined by canonical URL."""
+    """Pages of the hits as ``(id, ord, url, title, text, published_at, cover_url, page_missing)``, joined by canonical URL.
+
+    ``pages`` has html, or instead of it the bytes as they came: body, encoding, content_type.
+    """
+    if "html" not in pages.columns:
+        pages = pages.withColumn("html", decode_bytes("body", "encoding", "content_type"))
     keyed = hits.withColumn("id", canonical_url("url"))
     found = pages.select(canonical_url("url").alias("id"), "page_id", F.col("url").alias("page_url"), "html").join(keyed.select("id"), "id", "left_semi")
     one = found.groupBy("id").agg(F.min_by(F.struct("page_id", "page_url", "html"), "page_id").alias("p"))
@@ -57,16 +67,29 @@ def extract_articles(pages: DataFrame, hits: DataFrame, covers: bool = True) ->
     return out.withColumn("ord", order).drop("query_ord", "scope_rank", "pos")
 
 
-def outcomes(articles: DataFrame, history: DataFrame, rules: DataFrame, draft_failed: Column | None = None) -> DataFrame:
-    """``(id, status)`` of articles against the history and each other."""
+def outcomes(articles: DataFrame, history: DataFrame, rules: DataFrame, fails: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """``(id, status)`` of articles against the history and each other.
+
+    ``fails`` gives ``(id)`` of those published articles whose draft fails. These suppress nothing, so the others are resolved again without
+    them, until no further draft fails; what the rows are compared by is computed once.
+    """
     flags = rule_filter(articles, rules).withColumn("too_short", is_too_short("text"))
     present = articles.filter("NOT page_missing")
     dup = exists_duplicate(present.select("id", "url", "title", "text"), history)
     rows = flags.join(dup.select("id", "is_dup"), "id", "left").select(
-        "id", "ord", "page_missing", F.coalesce("is_dup", F.lit(False)).alias("in_history"), "too_short", F.col("flagged").alias("policy"), (draft_failed if draft_failed is not None else F.lit(False)).alias("draft_failed")
+        "id", "ord", "page_missing", F.coalesce("is_dup", F.lit(False)).alias("in_history"), "too_short", F.col("flagged").alias("policy"), F.lit(False).alias("draft_failed")
     )
-    members, watchers = duplicate_keys(present)
-    return classify(materialize(rows, "run-rows"), members, watchers)
+    rows = materialize(rows, "run-rows")
+    members, watchers = (materialize(x, "run-keys") for x in duplicate_keys(present))
+    while True:
+        done = materialize(classify(rows, members, watchers), "run-status")
+        if fails is None:
+            return done
+        published = articles.join(done.filter("status = 'published'").select("id"), "id", "left_semi")
+        failed = materialize(fails(published).select("id").distinct(), "run-failed")
+        if not failed.limit(1).count():
+            return done
+        rows = materialize(rows.join(failed.withColumn("__fails", F.lit(True)), "id", "left").withColumn("draft_failed", F.col("draft_failed") | F.coalesce("__fails", F.lit(False))).drop("__fails"), "run-rows")
 
 
 @dataclass(frozen=True)
@@ -77,15 +100,15 @@ class Run:
     stats: DataFrame
 
 
-def run_batch(hits: DataFrame, pages: DataFrame, history: DataFrame, rules: DataFrame, params: Params, queries: DataFrame | None = None, answers: DataFrame | None = None, covers: DataFrame | None = None) -> Run:
-    """One run. The history is read once; nothing is written here but intermediates."""
+def run_batch(hits: DataFrame, pages: DataFrame, history: DataFrame, rules: DataFrame, params: Params, queries: DataFrame | None = None, answers: DataFrame | None = None, covers: DataFrame | None = None, alias: DataFrame | None = None, fails: Callable[[DataFrame], DataFrame] | None = None) -> Run:
+    """One run. The history is read once; nothing is written here but intermediates. ``fails`` gives the ids of drafts that fail."""
     spark = hits.sparkSession
-    articles = materialize(extract_articles(pages, collect_candidates(hits, queries, params)), "articles")
-    done = materialize(outcomes(articles, history, rules), "outcomes")
-    good = articles.join(done.filter("status = 'published'").select("id"), "id", "left_semi")
+    articles = materialize(extract_articles(pages, collect_candidates(hits, queries, params, alias)), "articles")
     answers = spark.createDataFrame([], "id string, content string") if answers is None else answers
     covers = spark.createDataFrame([], "image_url string, media_id string, rejected boolean") if covers is None else covers
-    drafts = settle_drafts(good, answers, covers, params.default_cover, params.author)
+    settled = lambda rows: settle_drafts(rows, answers, covers, params.default_cover, params.author)
+    done = outcomes(articles, history, rules, None if fails is None else lambda rows: fails(settled(rows)))
+    drafts = settled(articles.join(done.filter("status = 'published'").select("id"), "id", "left_semi"))
     records = append_new(article_record(drafts, params.as_of, params.batch_id), history, url="source_url")
     return Run(done, drafts, records, run_stats(done))
 

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from ..functions.text import SOURCE_ENDINGS as ENDINGS
+
 WS = r"[\x09-\x0d\x1c-\x20\x{85}\p{Z}]"
-ENDINGS = "网|报|社|台|频道|新闻|资讯|财经|日报|晚报|观察|客户端|之声|news|finance|cn|com"
 
 
 def strip(x: str) -> str:
@@ -15,11 +16,27 @@ def collapse(x: str) -> str:
 
 
 def unescape(x: str) -> str:
+    """The references that the tables have."""
     for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&#x27;", "''"), ("&apos;", "''"), ("&nbsp;", " "), ("&middot;", "·"), ("&copy;", "©"), ("&amp;", "&")):
         x = f"replace({x}, '{a}', '{b}')"
     return x
 
 
+def sanitize(x: str) -> str:
+    clean = f"regexp_replace(replace(replace({x}, '**', ''), chr(13) || chr(10), chr(10)), '[\\x09\\x0b-\\x0d\\x1c-\\x20\\x{{85}}\\p{{Z}}]+(\\n|$)', '\\1', 'g')"
+    return strip(clean)
+
+
+def garbled(x: str) -> str:
+    return rf"length(regexp_replace({x}, '[^\x{{FFFD}}Ãâ¤ï¿½]', '', 'g')) >= 3"
+
+
+def escaped(x: str) -> str:
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        x = f"replace({x}, '{a}', '{b}')"
+    return f"replace({x}, chr(10), '<br/>')"
+
+
 def host(url: str) -> str:
     return rf"lower(regexp_extract({strip(url)}, '^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//(?:[^/?#]*@)?(\[[^\]/?#]*\]|[^/?#:@]*)', 1))"
 

@@ -20,12 +20,13 @@ ARTICLES = T.StructType(
 
 
 def read_feed(spark: SparkSession, path: str, max_results: int) -> DataFrame:
-    """``item`` elements of XML feeds as hits ``(file, pos, title, url, snippet, published_at)``, at most ``max_results`` a file.
-
-    Each file is read as one document, so positions follow the file whatever the number of tasks.
+    """``item`` elements of XML feeds, wherever they stand (inside a channel or beside it), as hits ``(file, pos, title, url, snippet, published_at)``, at
+    most ``max_results`` a file. An item is a row from the start; ``pos`` is its place in its file.
     """
-    files = spark.read.format("xml").option("rowTag", "channel").schema(T.StructType([T.StructField("item", T.ArrayType(ITEM))])).load(path)
-    items = files.select(F.col("_metadata.file_path").alias("file"), F.posexplode("item").alias("pos", "i")).select("file", "pos", "i.*")
+    items = spark.read.format("xml").option("rowTag", "item").schema(ITEM).load(path)
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"))
+    items = items.select(F.col("_metadata.file_path").alias("file"), place.alias("__at"), *ITEM.names)
+    items = items.withColumn("pos", F.row_number().over(Window.partitionBy("file").orderBy("__at")) - 1)
     full = require(items, ["title", "link"])
     hits = full.select("file", "pos", feed_title("title", "description").alias("title"), strip("link").alias("url"), normalize_snippet("description").alias("snippet"), parse_pubdate("pubDate").alias("published_at"))
     first = hits.withColumn("__rn", F.row_number().over(Window.partitionBy("file").orderBy("pos"))).filter(F.col("__rn") <= max_results).drop("__rn")
