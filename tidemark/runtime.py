@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _ROOT = str(Path(__file__).resolve().parent.parent)
+MAX_PARTITIONS = 1_000_000
 
 
 #: Arrow batches are bounded by bytes, so that long texts do not make long batches; settings made by the user stay.
@@ -36,23 +40,51 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``, which the driver and all executors share.
 
-    A session without that setting (unit tests, local runs) gets a folder of its own under /tmp/checkpoints.
+    A local session without that setting (unit tests) gets a folder of its own under /tmp/checkpoints; on a cluster that is an error, as
+    executors do not see each other's local folders.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = f"file:///tmp/checkpoints/tidemark-{os.getpid()}"
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
-def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/tidemark/{tag}-{uuid.uuid4().hex}"
+_SCRATCH: ContextVar[str | None] = ContextVar("scratch", default=None)
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
+def new_path(spark: SparkSession, tag: str, keep: bool = False) -> str:
+    """A fresh path in the shared folder; inside :func:`scratch` one that goes with it, unless ``keep``."""
+    base = None if keep else _SCRATCH.get()
+    return f"{base or shared_dir(spark) + '/tidemark'}/{tag}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """Intermediates written inside go at the end. What is read later has to be written with ``keep`` before."""
+    path = new_path(spark, "scratch", keep=True)
+    before = _SCRATCH.set(path)
+    try:
+        yield path
+    finally:
+        _SCRATCH.reset(before)
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def partitions_for(df: DataFrame, mb: int = 128) -> int:
+    """Partitions for an explicit shuffle of ``df``: as many as the session asks for, more if its files are larger than ``mb`` a partition."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(-(-size // (mb << 20)), MAX_PARTITIONS))
+
+
+def materialize(df: DataFrame, tag: str, keep: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there, and a lost executor loses nothing."""
     spark = df.sparkSession
-    path = new_path(spark, tag)
+    path = new_path(spark, tag, keep)
     schema = df.schema
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)
