@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _ROOT = str(Path(__file__).resolve().parent.parent)
-MAX_PARTITIONS = 1_000_000
+#: Spark takes an input that it knows nothing of for larger than this.
+UNKNOWN = 1 << 60
 
 
 #: Arrow batches are bounded by bytes, so that long texts do not make long batches; settings made by the user stay.
@@ -76,9 +77,14 @@ def scratch(spark: SparkSession) -> Iterator[str]:
 
 
 def partitions_for(df: DataFrame, mb: int = 128) -> int:
-    """Partitions for an explicit shuffle of ``df``: as many as the session asks for, more if its files are larger than ``mb`` a partition."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(-(-size // (mb << 20)), MAX_PARTITIONS))
+    """Partitions for an explicit shuffle of ``df``: as many as the session asks for, more if what it reads is larger than ``mb`` a partition.
+
+    Sizes are those of the files that the plan scans; an input of unknown size (an RDD) counts nothing.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    size = sum(x for x in sizes if x < UNKNOWN)
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // (mb << 20)))
 
 
 def materialize(df: DataFrame, tag: str, keep: bool = False) -> DataFrame:
