@@ -5,7 +5,7 @@ import pytest
 
 from tidemark.llm import decontaminate as D
 
-from .util import DOC, frame, words
+from .util import DOC, check_clashing, clashing, frame, words
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -101,3 +101,11 @@ def test_beyond_broadcast_limit(spark, cases, monkeypatch):
     small = sorted(str(r["doc_id"]) for r in D.drop_contaminated(frame(spark, docs), bench).collect())
     monkeypatch.setattr(D, "MAX_BAD", 0)
     assert sorted(str(r["doc_id"]) for r in D.drop_contaminated(frame(spark, docs), bench).collect()) == small
+
+
+def test_clashing_columns_keep_their_values(spark, cases):
+    docs, items = cases
+    src = clashing(spark.createDataFrame(docs, "doc_id long, text string"))
+    left = D.drop_contaminated(src, spark.createDataFrame(items, "item_id long, text string"))
+    check_clashing(left, src)
+    assert 0 < left.count() < len(docs)

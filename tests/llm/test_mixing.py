@@ -3,7 +3,7 @@ from collections import defaultdict
 
 from tidemark.llm import mixing as M
 
-from .util import DOC, frame, words
+from .util import DOC, check_clashing, clashing, frame, words
 
 
 def sizes(n, seed=1):
@@ -89,3 +89,24 @@ def test_beyond_broadcast_limits(spark, monkeypatch):
     monkeypatch.setattr(M, "MAX_PLAN", 0)
     assert sorted((r["doc_id"], r["taken"]) for r in M.mix_digest(src).collect()) == small
     assert M.mix(src).count() == sum(t // max(1, len(("w " * n).split())) for (_, t), n in zip(small, sizes(60), strict=True))
+
+
+def test_clashing_columns_keep_their_values(spark):
+    rows = [(i, "w " * n, "ab"[i % 2]) for i, n in enumerate(sizes(40))] + [(None, "x y z", None)]
+    src = clashing(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    check_clashing(M.mix(src), src)
+
+
+def test_sources_in_many_runs(spark, monkeypatch):
+    table = {f"s{i:04d}": (i * 7919) % 500 for i in range(300)} | {None: 40}
+    df = spark.createDataFrame([(k, v) for k, v in table.items()], "source string, source_size long")
+    want = brute_targets(table)
+    for limit in (10**6, 30):
+        monkeypatch.setattr(M, "MAX_RUN", limit)
+        got = {r["source"]: r["target"] for r in M.source_targets(df).collect()}
+        assert got.keys() == want.keys() and all(abs(got[s] - want[s]) < 1e-6 * max(1, want[s]) for s in want)
+
+
+def test_a_very_long_text(spark):
+    got = M.mix_digest(frame(spark, [(1, "w " * 300_000, "a"), (2, "w", "a"), (3, "w w", "b")])).collect()
+    assert {r["doc_id"]: r["size"] for r in got} == {1: 300_000, 2: 1, 3: 2} and all(r["taken"] <= 3 * r["size"] for r in got)

@@ -4,7 +4,7 @@ import pyarrow as pa
 from tidemark.llm import components as C
 from tidemark.llm import neardup as N
 
-from .util import DOC, edited, frame, words
+from .util import DOC, check_clashing, clashing, edited, frame, words
 
 
 def classes(df):
@@ -116,3 +116,10 @@ def test_beyond_broadcast_limits(spark, monkeypatch):
     monkeypatch.setattr(C, "MAX_LABELS", 0)
     assert classes(N.near_duplicates(frame(spark, rows))) == small
     assert N.keep_one(frame(spark, rows)).count() == len({c for _, c in small})
+
+
+def test_clashing_columns_keep_their_values(spark):
+    src = clashing(spark.createDataFrame([(1, "a b"), (2, "a b"), (None, "c d"), (None, "c d"), (3, "c d e")], "doc_id long, text string"))
+    left = N.keep_one(src)
+    check_clashing(left, src)
+    assert left.count() == 3

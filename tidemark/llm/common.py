@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import broadcast_if_small, materialize, new_path, prepare, shared_dir, table
+from ..runtime import broadcast_if_small, materialize, new_path, partitions_for, prepare, scratch, shared_dir, table
 
-__all__ = ["broadcast_if_small", "materialize", "new_path", "null_safe", "prepare", "shared_dir", "table", "text_key"]
+__all__ = ["all_columns", "broadcast_if_small", "free_names", "materialize", "new_path", "null_safe", "partitions_for", "prepare", "scratch", "shared_dir", "table", "text_key"]
 
 
 def text_key(text: Column | str) -> Column:
@@ -15,6 +15,22 @@ def text_key(text: Column | str) -> Column:
     return F.xxhash64(text)
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with as many underscores after it as keep it apart from the columns of ``df``."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def all_columns(df: DataFrame) -> list[Column]:
+    """The columns of ``df`` for a select, whatever their names."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
 def null_safe(left: DataFrame, right: DataFrame, cols: list[str], how: str) -> DataFrame:
     """Join on equal ``cols`` where null equals null; the right side's key columns are dropped."""
     marked = right.select(*[F.col(c).alias(f"__r_{c}") if c in cols else F.col(c) for c in right.columns])

@@ -2,12 +2,13 @@
 
 A window (``window`` consecutive words of an item, or all words of a shorter one) is the set of its shingles of ``shingle``
 words. It is contained in a document place only if all its shingles are, so the prefix that has to be looked up is one
-shingle: the rarest by its count over the whole corpus. Joining on that shingle, bounding by position (the window has to start and end
-inside the document) and by length, and comparing the words themselves gives exact containment.
+shingle: the rarest in the corpus. A first pass over the documents counts the benchmark's shingles (partial sums before the shuffle, one row a
+shingle after it). A second one looks up each window's rarest shingle only, bounds by position and length (the window has to start and end inside
+the document), and compares the window's words with those of the document there; what it writes are exact hits. Windows with a shingle that
+never occurs are out before it.
 
-Documents are read once for this: their shingles are probed against the hashes of the benchmark's shingles, which are
-broadcast in blocks of at most ``MAX_KEYS`` keys (a larger benchmark takes more passes, not more memory). What matches keeps the
-few words around it, so later joins never touch the texts again.
+Both passes join the documents' places with a broadcast of the benchmark's shingles or windows, in blocks of at most ``MAX_KEYS`` rows (a larger
+benchmark takes more passes, not more memory): no text is shuffled, and a shingle that many documents share meets no single task.
 
 Defined cases: null and empty texts have no words (and are not contaminated); an item without words has no window; two
 items with equal text both count; null item_id is ignored; rows of documents with the same id and text share their result and
@@ -21,14 +22,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import broadcast_if_small, materialize, null_safe, text_key
+from .common import all_columns, broadcast_if_small, free_names, materialize, null_safe, text_key
 
 #: Everything that separates words.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 GAP_ANY_CASE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Shingle keys in one broadcast: 16 bytes each before hashing overhead.
-MAX_KEYS = 1_000_000
+#: Shingle keys (16 bytes) or windows (about 100 bytes) in one broadcast, before hashing overhead.
+MAX_KEYS = 500_000
 #: Contaminated rows (16 bytes each) that are broadcast to drop them; with more, the documents are shuffled.
 MAX_BAD = 1_000_000
 
@@ -59,48 +60,50 @@ def item_windows(benchmark: DataFrame, window: int = 10, shingle: int = 3) -> Da
     return out.withColumn("key", key)
 
 
-def _matches(docs: DataFrame, keys: DataFrame, sizes: list[int], window: int, max_keys: int) -> DataFrame:
-    """``(doc_id, row, n_words, pos, key, left, around)``: document shingles that some item has, with the words near them."""
+def _places(docs: DataFrame, k: int) -> DataFrame:
+    """``(doc_id, row, ws, n_words, pos, key)``: each place where a shingle of ``k`` words starts."""
     base = docs.select("doc_id", text_key("text").alias("row"), words_of(F.col("text")).alias("ws")).withColumn("n_words", F.size("ws"))
-    blocks = max(1, -(-keys.count() // max_keys))
-    out = []
-    for k in sizes:
-        spots = base.select("doc_id", "row", "n_words", "ws", F.posexplode("ws").alias("pos", "w")).filter(F.col("pos") <= F.col("n_words") - k)
-        spots = spots.withColumn("key", _key("ws", F.col("pos"), k))
-        for b in range(blocks):
-            block = keys.filter((F.col("k") == k) & (F.pmod(F.xxhash64("key"), F.lit(blocks)) == b)).select("key")
-            hit = spots.join(F.broadcast(block), "key")
-            left = F.least(F.col("pos"), F.lit(window - k))
-            around = F.slice("ws", F.col("pos") - F.col("left") + 1, F.col("left") + window)
-            out.append(hit.withColumn("left", left).select("doc_id", "row", "n_words", "pos", "key", "left", around.alias("around")))
-    first = out[0]
-    for other in out[1:]:
-        first = first.unionByName(other)
-    return first
+    spots = base.select("doc_id", "row", "ws", "n_words", F.posexplode("ws").alias("pos", "w")).filter(F.col("pos") <= F.col("n_words") - k)
+    return spots.withColumn("key", _key("ws", F.col("pos"), k))
+
+
+def _blocks(rows: DataFrame, sizes: list[int], max_keys: int) -> list[tuple[int, DataFrame]]:
+    """``rows`` (with k and key) by size of shingle and in blocks to broadcast."""
+    n = max(1, -(-rows.count() // max_keys))
+    return [(k, rows.filter((F.col("k") == k) & (F.pmod(F.xxhash64("key", "window_id"), F.lit(n)) == b))) for k in sizes for b in range(n)]
+
+
+def shingle_counts(docs: DataFrame, keys: DataFrame, sizes: list[int], max_keys: int = MAX_KEYS) -> DataFrame:
+    """``(k, key, df)``: how often each benchmark shingle ``(k, key)`` occurs in the corpus; those that do not are missing."""
+    found = None
+    for k, block in _blocks(keys.withColumn("window_id", F.lit(0)), sizes, max_keys):
+        each = _places(docs, k).select("key").join(F.broadcast(block.select("key")), "key").groupBy("key").agg(F.count("*").alias("df")).withColumn("k", F.lit(k))
+        found = each if found is None else found.unionByName(each)
+    return found
 
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, shingle: int = 3, max_keys: int = MAX_KEYS) -> DataFrame:
     """``(doc_id, row, start, n, items)``: each place of a document where a benchmark window occurs, exactly."""
     grid = materialize(item_windows(benchmark, window, shingle), "windows")
-    keys = grid.select("key", "k").distinct()
+    keys = grid.select("k", "key").distinct()
     sizes = sorted(r["k"] for r in keys.select("k").distinct().collect())
     if not sizes:
         kind = benchmark.schema["item_id"].dataType
         schema = T.StructType([docs.schema["doc_id"], T.StructField("row", T.LongType()), T.StructField("start", T.IntegerType()), T.StructField("n", T.IntegerType()), T.StructField("items", T.ArrayType(kind))])
         return docs.sparkSession.createDataFrame([], schema)
-    found = materialize(_matches(docs, keys, sizes, window, max_keys), "shingle-matches")
     # Rarity of each shingle in the corpus; a window with a shingle that never occurs cannot occur either.
-    counts = found.groupBy("key").agg(F.count("*").alias("df"))
-    ranked = grid.join(counts, "key", "left")
-    prefix = ranked.groupBy("window_id", "words", "n", "items").agg(
-        F.count("*").alias("have"), F.count("df").alias("seen"), F.min(F.struct("df", "offset", "key")).alias("first")
-    )
-    prefix = prefix.filter("have = seen").select("window_id", "words", "n", "items", F.col("first.offset").alias("offset"), F.col("first.key").alias("key"))
-    near = found.join(prefix, "key")
-    start = F.col("pos") - F.col("offset")
-    inside = (start >= 0) & (start + F.col("n") <= F.col("n_words")) & (F.col("offset") <= F.col("left"))
-    same = F.slice("around", F.col("left") - F.col("offset") + 1, F.col("n")) == F.col("words")
-    return near.filter(inside).filter(same).select("doc_id", "row", start.alias("start"), "n", "items")
+    counts = materialize(shingle_counts(docs, keys, sizes, max_keys), "shingle-counts")
+    ranked = grid.select("window_id", "k", "key", "offset").join(counts, ["k", "key"], "left")
+    prefix = ranked.groupBy("window_id", "k").agg(F.count("*").alias("have"), F.count("df").alias("seen"), F.min(F.struct("df", "offset", "key")).alias("first")).filter("have = seen")
+    words = grid.filter("offset = 0").select("window_id", "words", "n", "items")
+    prefix = materialize(prefix.select("window_id", "k", F.col("first.offset").alias("offset"), F.col("first.key").alias("key")).join(words.drop("items"), "window_id"), "prefixes")
+    start, hits = F.col("pos") - F.col("offset"), None
+    for k, block in _blocks(prefix, sizes, max_keys):
+        near = _places(docs, k).join(F.broadcast(block.drop("k")), "key")
+        inside = near.filter((start >= 0) & (start + F.col("n") <= F.col("n_words")))
+        same = inside.filter(F.slice("ws", start + 1, F.col("n")) == F.col("words")).select("doc_id", "row", start.alias("start"), "n", "window_id")
+        hits = same if hits is None else hits.unionByName(same)
+    return materialize(hits, "window-hits").join(words.select("window_id", "items"), "window_id").select("doc_id", "row", "start", "n", "items")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, shingle: int = 3) -> DataFrame:
@@ -135,6 +138,7 @@ def contamination_digest(docs: DataFrame, benchmark: DataFrame, window: int = 10
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """``docs`` without the rows in which any window occurs."""
-    bad = materialize(find_hits(docs, benchmark, window).select("doc_id", F.col("row").alias("__row")).distinct(), "contaminated")
-    marked = docs.withColumn("__row", text_key("text"))
-    return null_safe(marked, broadcast_if_small(bad, MAX_BAD), ["doc_id", "__row"], "left_anti").select(*docs.columns)
+    doc, row, mine = free_names(docs, "doc", "row", "mine")
+    bad = find_hits(docs.select("doc_id", "text"), benchmark, window).select(F.col("doc_id").alias(doc), F.col("row").alias(row)).distinct()
+    bad = broadcast_if_small(materialize(bad, "contaminated"), MAX_BAD)
+    return docs.withColumn(mine, text_key("text")).join(bad, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.col(mine) == F.col(row)), "left_anti").select(*all_columns(docs))

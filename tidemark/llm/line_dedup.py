@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_key
+from .common import materialize, partitions_for, text_key
 
 _TRIM = b" \t\n\x0b\x0c\r"
 NO_DOC = -(1 << 63)
@@ -135,7 +135,7 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Dat
     """
     src = docs.select("doc_id", text_key("text").alias("row"), "text")
     lines = src.mapInArrow(lambda it: _hashes(it, min_chars), _SORTED)
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions_for(docs)
     ordered = lines.repartitionByRange(n, "h1", "h2", F.col("doc").desc(), "row").sortWithinPartitions("h1", "h2", F.col("doc").desc(), "row")
     seen = materialize(ordered.mapInArrow(lambda it: _runs(it, min_docs), _SEEN), "line-runs")
     settled = seen.filter("kind = 0").select("doc", "row", "pos")

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, materialize, null_safe, text_key
+from .common import all_columns, broadcast_if_small, free_names, materialize, null_safe, text_key
 
 CHUNK = 200
 WEIGHTS = (5, 2, 1)
@@ -27,6 +27,8 @@ SEED = 20_11
 MAX_SOURCES = 200_000
 #: Rows of a plan (about 40 bytes each) that are broadcast to repeat documents; with more, the documents are shuffled.
 MAX_PLAN = 1_000_000
+#: Sources that one task adds up.
+MAX_RUN = 1_000_000
 
 _OPEN = "struct<d:bigint,r:bigint,u:double,p:double>"
 _DONE = "array<struct<d:bigint,r:bigint,t:int>>"
@@ -37,25 +39,36 @@ def size_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
+def _running(df: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """``df`` with, under each name, the sum of a column over all rows before. Range partitions of at most about ``MAX_RUN`` rows are summed by
+    themselves, and their totals, one row a partition, are added up in turn."""
+    n = max(1, -(-df.count() // MAX_RUN))
+    part = materialize(df.repartitionByRange(n, *order).withColumn("__p", F.spark_partition_id()), "mix-run")
+    here = Window.partitionBy("__p").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    parts = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    totals = part.groupBy("__p").agg(*[F.sum(v).alias(f"__t_{k}") for k, v in sums.items()])
+    base = totals.select("__p", *[F.coalesce(F.sum(f"__t_{k}").over(parts), F.lit(0)).alias(f"__b_{k}") for k in sums])
+    out = part.join(F.broadcast(base), "__p")
+    return out.withColumns({k: F.coalesce(F.sum(v).over(here), F.lit(0)) + F.col(f"__b_{k}") for k, v in sums.items()}).drop("__p", *[f"__b_{k}" for k in sums])
+
+
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_copies: int = MAX_COPIES) -> DataFrame:
-    """``(source, source_size, ...)`` to the same with ``target``: one row a source.
+    """``(source, source_size)`` to the same with ``target``: one row a source.
 
     Sources in code point order (null last) weigh ``weights`` in turn and share the sum of all sizes; no target exceeds
     ``max_copies`` times its source, and what is cut is shared again by weight. Sorting by the ratio at which a source
     is cut makes that a prefix sum instead of a loop.
     """
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    turn = F.pmod(F.row_number().over(order) - 1, F.lit(len(weights)))
-    ranked = sizes.withColumn("w", F.get(F.array(*[F.lit(float(x)) for x in weights]), turn)).withColumn("cap", (F.col("source_size") * max_copies).cast("double"))
-    by = Window.orderBy((F.col("cap") / F.col("w")), F.col("source").asc_nulls_last())
-    before = by.rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rest = F.sum(F.col("source_size").cast("double")).over(whole) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))
-    weight = F.sum("w").over(whole) - F.coalesce(F.sum("w").over(before), F.lit(0.0))
-    levels = ranked.withColumn("level", rest / weight).withColumn("cut", F.col("level") * F.col("w") >= F.col("cap"))
-    first = F.min(F.when(~F.col("cut"), F.struct((F.col("cap") / F.col("w")).alias("o"), F.col("level").alias("level")))).over(whole)
-    target = F.when(F.col("cut"), F.col("cap")).otherwise(first["level"] * F.col("w"))
-    return levels.withColumn("target", target).drop("w", "cap", "level", "cut")
+    ranked = _running(sizes, [F.col("source").asc_nulls_last()], {"place": F.lit(1)})
+    turn = F.pmod(F.col("place"), F.lit(len(weights))).cast("int")
+    ranked = ranked.withColumn("w", F.get(F.array(*[F.lit(float(x)) for x in weights]), turn)).withColumn("cap", (F.col("source_size") * max_copies).cast("double")).drop("place")
+    total = ranked.agg(F.sum(F.col("source_size").cast("double")).alias("n"), F.sum("w").alias("w")).first()
+    levels = _running(ranked, [F.col("cap") / F.col("w"), F.col("source").asc_nulls_last()], {"cap_before": F.col("cap"), "w_before": F.col("w")})
+    levels = levels.withColumn("level", (F.lit(total["n"]) - F.col("cap_before")) / (F.lit(total["w"]) - F.col("w_before"))).withColumn("cut", F.col("level") * F.col("w") >= F.col("cap"))
+    levels = materialize(levels.drop("cap_before", "w_before"), "mix-levels")
+    first = levels.filter(~F.col("cut")).agg(F.min(F.struct((F.col("cap") / F.col("w")).alias("o"), F.col("level").alias("level")))["level"].alias("level")).first()["level"]
+    target = F.when(F.col("cut"), F.col("cap")).otherwise(F.lit(first).cast("double") * F.col("w"))
+    return levels.withColumn("target", target).select("source", "source_size", "target")
 
 
 def _uniform(*parts: Column) -> Column:
@@ -147,7 +160,10 @@ def mix_digest(docs: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_copies: int = MAX_COPIES, seed: int = SEED) -> DataFrame:
     """``docs`` with each row repeated by its copies (none: it goes)."""
-    plan = plan_mix(docs, weights, max_copies, seed).filter("copies > 0").select("doc_id", "source", F.col("row").alias("__row"), F.col("copies").alias("__copies"))
+    doc, source, row, mine, copies, again = free_names(docs, "doc", "source", "row", "mine", "copies", "again")
+    plan = plan_mix(docs.select("doc_id", "source", "text"), weights, max_copies, seed).filter("copies > 0")
+    plan = plan.select(F.col("doc_id").alias(doc), F.col("source").alias(source), F.col("row").alias(row), F.col("copies").alias(copies))
     plan = broadcast_if_small(materialize(plan, "mix-plan"), MAX_PLAN)
-    kept = null_safe(docs.withColumn("__row", text_key("text")), plan, ["doc_id", "source", "__row"], "inner")
-    return kept.withColumn("__again", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*docs.columns)
+    same = F.col("doc_id").eqNullSafe(F.col(doc)) & F.col("source").eqNullSafe(F.col(source)) & F.col(mine).eqNullSafe(F.col(row))
+    kept = docs.withColumn(mine, text_key("text")).join(plan, same)
+    return kept.withColumn(again, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies)))).select(*all_columns(docs))

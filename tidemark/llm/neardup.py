@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .common import broadcast_if_small, materialize, text_key
+from .common import all_columns, broadcast_if_small, free_names, materialize, partitions_for, text_key
 from .components import absorb, components
 
 SHINGLE = 5
@@ -191,7 +191,7 @@ def chain_pairs(signed: DataFrame) -> tuple[DataFrame, DataFrame]:
     each = signed.select("node", "weight", F.posexplode("bands").alias("band", "key"))
     each = each.groupBy("node", "band", "key").agg(F.min("weight").alias("weight"))
     each = each.withColumn("place", F.when(F.col("band") % 2 == 0, F.col("weight")).otherwise(F.xxhash64("node", "band").cast("double")))
-    n = int(signed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions_for(signed)
     order = ["key", "place", "node"]
     ordered = each.select("band", *order).repartitionByRange(n, *order).sortWithinPartitions(*order)
 
@@ -388,14 +388,13 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, k: int = SH
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY, k: int = SHINGLE) -> DataFrame:
     """``docs`` with one row of each class: that of the smallest doc_id (of equal rows, any one)."""
-    found = materialize(near_duplicates(docs, similarity, k), "near-duplicates")
+    found = materialize(near_duplicates(docs.select("doc_id", "text"), similarity, k), "near-duplicates")
+    doc, keep, n_rows, node = free_names(docs, "doc", "keep", "n_rows", "node")
     rows = found.groupBy("root", "doc_id", "node").agg(F.count("*").alias("rows"))
     stay = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node", "rows")).alias("r"))
-    stay = materialize(stay.select(F.col("r.doc_id").alias("__id"), F.col("r.node").alias("__keep"), F.col("r.rows").alias("__rows")), "stay")
-    marked = docs.withColumn("__node", text_key("text"))
-    small = broadcast_if_small(stay, MAX_PICKED)
-    kept = marked.join(small, marked["doc_id"].eqNullSafe(small["__id"]) & (marked["__node"] == small["__keep"]))
-    out = kept.filter("__rows = 1").select(*docs.columns)
-    if stay.filter("__rows > 1").limit(1).count():
-        out = out.unionByName(kept.filter("__rows > 1").dropDuplicates(["__id", "__keep"]).select(*docs.columns))
+    stay = materialize(stay.select(F.col("r.doc_id").alias(doc), F.col("r.node").alias(keep), F.col("r.rows").alias(n_rows)), "stay")
+    kept = docs.withColumn(node, text_key("text")).join(broadcast_if_small(stay, MAX_PICKED), F.col("doc_id").eqNullSafe(F.col(doc)) & (F.col(node) == F.col(keep)))
+    out = kept.filter(F.col(n_rows) == 1).select(*all_columns(docs))
+    if stay.filter(F.col(n_rows) > 1).limit(1).count():
+        out = out.unionByName(kept.filter(F.col(n_rows) > 1).dropDuplicates([doc, keep]).select(*all_columns(docs)))
     return out

@@ -4,9 +4,9 @@ Text is range-partitioned by doc_id and sorted; each task encodes its documents
 from prefix sums over the files' totals (one row a file). Files are written under a temporary name and renamed, and
 their content depends on the partition only, so a task that runs again replaces its file by an equal one.
 
-File ``part-NNNNN.tok``, little-endian: magic ``TMTOK1\\0\\0``; 64-bit id width in bytes; 64-bit document count n; n + 1
-64-bit offsets in ids; n 64-bit doc_ids; n bytes, 1 where the doc_id is null; padding to 8; the ids (16 bits if the
-vocabulary fits, else 32). Local files are memory-mapped on reading; other stores are read whole, a file at a time.
+File ``part-NNNNN.tok``, little-endian: magic ``TMTOK2\\0\\0``; the ids (16 bits if the vocabulary fits, else 32); padding to 8; n + 1 64-bit
+offsets in ids; n 64-bit doc_ids; n bytes, 1 where the doc_id is null; padding to 8; 64-bit id width in bytes; 64-bit document count n. So a
+task streams its ids and holds 17 bytes a document; the number of files follows the size of the input. Local files are memory-mapped on reading; other stores are read whole, a file at a time.
 
 Defined cases: null and empty texts are documents of one end id; repeated doc_ids are several documents, equal ones in
 a row; null doc_ids come first; an empty table gives no files and no rows; other columns are ignored.
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -26,9 +27,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .common import materialize, new_path
+from .common import materialize, new_path, partitions_for
 
-MAGIC = b"TMTOK1\0\0"
+MAGIC = b"TMTOK2\0\0"
 #: Encoded chunks in each of the two generations that a worker keeps.
 CACHE = 500_000
 
@@ -102,21 +103,32 @@ def _filesystem(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path) if ":" in path else (pafs.LocalFileSystem(), path)
 
 
-def write_file(path: str, doc_ids: list[int | None], ids: list[bytes], dtype: str) -> int:
-    """Write one file whole, then move it into place; returns its number of ids."""
-    width = np.dtype(dtype).itemsize
-    counts = np.array([len(x) // width for x in ids], np.int64)
-    offsets = np.r_[0, np.cumsum(counts)].astype("<i8")
-    nulls = np.array([x is None for x in doc_ids], np.uint8)
-    keys = np.array([0 if x is None else x for x in doc_ids], "<i8")
-    fs, at = _filesystem(path)
-    tmp = f"{at}.{uuid.uuid4().hex}"
-    with fs.open_output_stream(tmp) as f:
-        f.write(MAGIC + np.array([width, len(ids)], "<i8").tobytes() + offsets.tobytes() + keys.tobytes() + nulls.tobytes() + b"\0" * (-len(ids) % 8))
-        for x in ids:
-            f.write(x)
-    fs.move(tmp, at)
-    return int(offsets[-1])
+class FileWriter:
+    """Writes one file as its documents come: ids go out at once, 17 bytes a document wait for the end. Nothing is seen until :meth:`close`."""
+
+    def __init__(self, path: str, dtype: str) -> None:
+        self.fs, self.at = _filesystem(path)
+        self.tmp = f"{self.at}.{uuid.uuid4().hex}"
+        self.out = self.fs.open_output_stream(self.tmp, buffer_size=1 << 20)
+        self.out.write(MAGIC)
+        self.width = np.dtype(dtype).itemsize
+        self.keys, self.nulls, self.counts = array("q"), bytearray(), array("q")
+
+    def add(self, doc_id: int | None, ids: bytes) -> None:
+        self.keys.append(0 if doc_id is None else doc_id)
+        self.nulls.append(doc_id is None)
+        self.counts.append(len(ids) // self.width)
+        self.out.write(ids)
+
+    def close(self) -> tuple[int, int]:
+        """Move the file into place; returns its numbers of documents and ids."""
+        offsets = np.r_[0, np.cumsum(np.array(self.counts, np.int64))].astype("<i8")
+        n, total = len(self.counts), int(offsets[-1])
+        self.out.write(b"\0" * (-total * self.width % 8))
+        self.out.write(offsets.tobytes() + np.array(self.keys, "<i8").tobytes() + bytes(self.nulls) + b"\0" * (-n % 8) + np.array([self.width, n], "<i8").tobytes())
+        self.out.close()
+        self.fs.move(self.tmp, self.at)
+        return n, total
 
 
 def open_file(path: str) -> tuple[np.ndarray, list[int | None], np.ndarray]:
@@ -125,10 +137,10 @@ def open_file(path: str) -> tuple[np.ndarray, list[int | None], np.ndarray]:
     raw = np.memmap(at, np.uint8, mode="r") if isinstance(fs, pafs.LocalFileSystem) else np.frombuffer(fs.open_input_stream(at).read(), np.uint8)
     if raw[:8].tobytes() != MAGIC:
         raise ValueError(f"not a token file: {path}")
-    width, n = raw[8:24].view("<i8").tolist()
-    a = 24 + 8 * (n + 1)
-    offsets, keys, nulls = raw[24:a].view("<i8"), raw[a : a + 8 * n].view("<i8"), raw[a + 8 * n : a + 9 * n]
-    return offsets, [None if z else int(k) for k, z in zip(keys, nulls, strict=True)], raw[a + 9 * n + (-n % 8) :].view(f"<u{width}")
+    width, n = raw[-16:].view("<i8").tolist()
+    end = len(raw) - 16 - n - (-n % 8)
+    keys, nulls, offsets = raw[end - 8 * n : end].view("<i8"), raw[end : end + n], raw[end - 8 * (2 * n + 1) : end - 8 * n].view("<i8")
+    return offsets, [None if z else int(k) for k, z in zip(keys, nulls, strict=True)], raw[8 : 8 + int(offsets[-1]) * width].view(f"<u{width}")
 
 
 def write_tokens(docs: DataFrame, tokenizer_path: str, out_dir: str, end_id: int = 0) -> DataFrame:
@@ -144,22 +156,21 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, out_dir: str, end_id: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part = TaskContext.get().partitionId()
+        number = TaskContext.get().partitionId()
         dtype = encoder(tokenizer_path).dtype
         end = np.array([end_id], dtype).tobytes()
-        keys: list[int | None] = []
-        ids: list[bytes] = []
+        file, writer = f"{out_dir}/part-{number:05d}.tok", None
         for batch in batches:
-            keys += batch[0].to_pylist()
-            texts = batch[1]
-            for i in range(0, len(texts), 500):
-                ids += [x + end for x in encode(texts.slice(i, 500).to_pylist(), tokenizer_path)]
-        if keys:
-            file = f"{out_dir}/part-{part:05d}.tok"
-            n = write_file(file, keys, ids, dtype)
-            yield pa.RecordBatch.from_pydict({"part": [part], "file": [file], "n_docs": pa.array([len(keys)], pa.int64()), "n_tokens": pa.array([n], pa.int64())}, schema=pa.schema([("part", pa.int32()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
-
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+            for i in range(0, batch.num_rows, 500):
+                part = batch.slice(i, 500)
+                for key, ids in zip(part[0].to_pylist(), encode(part[1].to_pylist(), tokenizer_path), strict=True):
+                    writer = writer or FileWriter(file, dtype)
+                    writer.add(key, ids + end)
+        if writer:
+            n_docs, n = writer.close()
+            yield pa.RecordBatch.from_pydict({"part": [number], "file": [file], "n_docs": pa.array([n_docs], pa.int64()), "n_tokens": pa.array([n], pa.int64())}, schema=pa.schema([("part", pa.int32()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
+
+    n = partitions_for(docs)
     keyed = docs.select("doc_id", "text").withColumn("__h", F.xxhash64("text"))
     ordered = keyed.repartitionByRange(n, F.col("doc_id").asc_nulls_first(), "__h").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "__h")
     parts = materialize(ordered.select("doc_id", "text").mapInArrow(run, "part int, file string, n_docs long, n_tokens long"), "token-parts")
@@ -199,4 +210,4 @@ def default_tokenizer() -> str:
 def encode_to_files(docs: DataFrame, tokenizer_path: str | None = None, out_dir: str | None = None) -> DataFrame:
     """Write ``docs`` and read the files back: :func:`read_tokens` over :func:`write_tokens`."""
     spark: SparkSession = docs.sparkSession
-    return read_tokens(write_tokens(docs, tokenizer_path or default_tokenizer(), out_dir or new_path(spark, "tokens")))
+    return read_tokens(write_tokens(docs, tokenizer_path or default_tokenizer(), out_dir or new_path(spark, "tokens", keep=True)))
