@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,21 +19,26 @@ def edge_keys(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     return edges.select(key, F.col("earlier").alias("id")).distinct(), edges.select(key, F.col("later").alias("id")).distinct()
 
 
-def resolve_greedy(rows: DataFrame, members: DataFrame, watchers: DataFrame) -> DataFrame:
-    """``(id, is_dup, kept)`` for rows ``(id, ord, eligible, in_history)``.
+def resolve_greedy(rows: DataFrame, members: DataFrame, watchers: DataFrame, unsure: DataFrame | None = None) -> DataFrame:
+    """``(id, is_dup, kept, is_open)`` for rows ``(id, ord, eligible, in_history)``.
 
     Rows are taken by ``ord``; a row is a duplicate if it is in the history or watches a key of an earlier kept row, and only eligible rows are
     kept and so make duplicates of later ones. Each round settles the undecided rows whose keys have no earlier undecided member: the rounds number the longest
-    chain. A key is reduced to its first kept and first undecided member before it meets its watchers.
+    chain. A key is reduced to its first kept and first undecided member before it meets its watchers. Rows ``(id)`` of ``unsure`` may watch keys that
+    are not known yet: they can be found duplicates but are not kept, and they stay open with those that wait for them; without ``unsure`` no row does.
     """
     order = rows.select("id", "ord")
     inside = members.join(rows.filter("eligible").select("id", "ord"), "id").select("key", "id", "ord")
     inside = materialize(inside, "greedy-members")
     watch = materialize(watchers.join(order, "id").select("key", "id", "ord"), "greedy-watchers")
-    state = materialize(rows.select("id", "eligible", F.when(F.col("in_history"), F.lit(-1)).otherwise(F.lit(0)).alias("state")), "greedy-0")
-    n = 0
-    while state.filter("state = 0").limit(1).count():
-        n += 1
+    doubt = rows.select("id").limit(0) if unsure is None else unsure
+    sure = rows.join(doubt.withColumn("unsure", F.lit(True)), "id", "left")
+    state = materialize(sure.select("id", "eligible", F.coalesce("unsure", F.lit(False)).alias("unsure"), F.when(F.col("in_history"), F.lit(-1)).otherwise(F.lit(0)).alias("state")), "greedy-0")
+    n, left = 0, -1
+    while left and (now := state.filter("state = 0").count()) != left:
+        if not now:
+            break
+        n, left = n + 1, now
         first = inside.join(state.select("id", "state"), "id").filter("state >= 0").groupBy("key").agg(
             F.min(F.when(F.col("state") == 1, F.col("ord"))).alias("kept"), F.min(F.when(F.col("state") == 0, F.col("ord"))).alias("open")
         )
@@ -39,11 +46,11 @@ def resolve_greedy(rows: DataFrame, members: DataFrame, watchers: DataFrame) ->
         new = (
             F.when(F.col("state") != 0, F.col("state"))
             .when(F.coalesce("by_kept", F.lit(False)), -1)
-            .when(F.coalesce("waits", F.lit(False)), 0)
+            .when(F.coalesce("waits", F.lit(False)) | F.col("unsure"), 0)
             .otherwise(F.when(F.col("eligible"), 1).otherwise(2))
         )
-        state = materialize(state.join(seen, "id", "left").select("id", "eligible", new.alias("state")), f"greedy-{n}")
-    return state.select("id", (F.col("state") == -1).alias("is_dup"), (F.col("state") == 1).alias("kept"))
+        state = materialize(state.join(seen, "id", "left").select("id", "eligible", "unsure", new.alias("state")), f"greedy-{n}")
+    return state.select("id", (F.col("state") == -1).alias("is_dup"), (F.col("state") == 1).alias("kept"), (F.col("state") == 0).alias("is_open"))
 
 
 def title_dups(rows: DataFrame) -> DataFrame:
@@ -56,13 +63,13 @@ def title_dups(rows: DataFrame) -> DataFrame:
     return keyed.join(first, "__key", "left").select("id", F.coalesce(F.col("__first") < F.col("ord"), F.lit(False)).alias("is_dup"))
 
 
-def classify(rows: DataFrame, members: DataFrame, watchers: DataFrame) -> DataFrame:
+def classify(rows: DataFrame, resolve: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """``(id, status)``: the first that holds of failed (page missing), duplicate, too_short, policy, failed (draft), published.
 
-    ``rows`` is ``(id, ord, page_missing, in_history, too_short, policy, draft_failed)``.
+    ``rows`` is ``(id, ord, page_missing, in_history, too_short, policy, draft_failed)``; ``resolve`` gives ``(id, is_dup)`` of ``(id, ord, eligible, in_history)``.
     """
     eligible = ~F.col("page_missing") & ~F.col("too_short") & ~F.col("policy") & ~F.col("draft_failed")
-    settled = resolve_greedy(rows.select("id", "ord", eligible.alias("eligible"), "in_history"), members, watchers)
+    settled = resolve(rows.select("id", "ord", eligible.alias("eligible"), "in_history"))
     status = F.when(F.col("page_missing"), "failed").when(F.col("is_dup"), "duplicate").when(F.col("too_short"), "too_short").when(F.col("policy"), "policy").when(F.col("draft_failed"), "failed").otherwise("published")
     return rows.join(settled, "id").select("id", status.alias("status"))
 

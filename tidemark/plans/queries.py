@@ -435,6 +435,29 @@ def _(spark, d):
     return similar.similar_bodies(docs.filter("id % 2 = 1"), docs.filter("id % 2 = 0"))
 
 
+_PAGE_TITLES = f"s0 AS (SELECT page_id, {sql.strip(sql.unescape(sql.title_element('html')))} AS a FROM pages), {sql.normalize_title('s0', 'page_id', 'a')}"
+
+
+def _jaccard_sql(texts: str, threshold: float, q: int) -> str:
+    """Pairs of ``texts`` (CTEs; the last, ``x``, has id and s), odd ids against even ones: the smallest match of each odd one."""
+    return f"""WITH {texts}, g AS (SELECT id, CASE WHEN length(s) < {q} THEN [s] ELSE list_distinct(list_transform(range(1, length(s) - {q - 2}), lambda i: substr(s, i, {q}))) END AS g FROM x WHERE s <> ''),
+e AS (SELECT id, len(g) AS n, unnest(g) AS t FROM g), p AS (SELECT a.id AS new_id, b.id AS old_id, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS shared FROM e a JOIN e b ON a.t = b.t AND a.id % 2 = 1 AND b.id % 2 = 0 GROUP BY a.id, b.id),
+r AS (SELECT *, shared / (na + nb - shared)::DOUBLE AS ratio FROM p WHERE shared >= {threshold} * (na + nb - shared) - 1e-9)
+SELECT new_id, min(old_id) AS matched_id, round(arg_min(ratio, old_id), 9) AS ratio FROM r GROUP BY new_id"""
+
+
+@query("j2_jaccard_titles", _jaccard_sql(f"{_PAGE_TITLES}, x AS (SELECT page_id AS id, CASE WHEN title = '未命名' THEN '' ELSE {sql.norm_text('title')} END AS s FROM titled)", 0.8, 2))
+def _(spark, d):
+    p = _pages(spark, d).select(F.col("page_id").alias("id"), html.page_title("html", F.lit("")).alias("title"))
+    return similar.similar_titles(p.filter("id % 2 = 1"), p.filter("id % 2 = 0"), 0.8, mode="jaccard").withColumn("ratio", F.round("ratio", 9))
+
+
+@query("j3_jaccard_bodies", _jaccard_sql(f"x AS (SELECT doc_id AS id, substr({sql.norm_text('text')}, 1, 3000) AS s FROM documents)", 0.8, 5))
+def _(spark, d):
+    docs = _docs(spark, d).select(F.col("doc_id").alias("id"), "text")
+    return similar.similar_bodies(docs.filter("id % 2 = 1"), docs.filter("id % 2 = 0"), 0.8, mode="jaccard").withColumn("ratio", F.round("ratio", 9))
+
+
 @query("j8_candidates")
 def _(spark, d):
     p = _pages(spark, d).select("page_id", text.norm_text(html.page_title("html", F.lit(""))).alias("s"))
@@ -495,23 +518,22 @@ def _(spark, d):
 
 
 def _article_rows(spark: SparkSession, d: str) -> DataFrame:
-    """Documents as articles; the title is the start of the first sentence, 40 characters at most."""
-    return _docs(spark, d).select(F.col("doc_id").alias("id"), F.col("doc_id").alias("ord"), F.concat(F.lit("http://d.example/"), F.col("doc_id").cast("string")).alias("url"), F.substring(F.split_part("text", F.lit("."), F.lit(1)), 1, 40).alias("title"), "text")
+    """Documents as articles; the title is the first and the last word and the source."""
+    words = F.split("text", " ")
+    return _docs(spark, d).select(F.col("doc_id").alias("id"), F.col("doc_id").alias("ord"), F.concat(F.lit("http://d.example/"), F.col("doc_id").cast("string")).alias("url"), F.concat_ws(" ", F.element_at(words, 1), F.element_at(words, -1), "source").alias("title"), "text")
 
 
 @query("w4_resolve_greedy")
 def _(spark, d):
     rows = materialize(_article_rows(spark, d), "w4-rows")
-    members, watchers = similar.duplicate_keys(rows)
-    return resolve.resolve_greedy(rows.select("id", "ord", (~text.is_too_short("text")).alias("eligible"), F.lit(False).alias("in_history")), members, watchers)
+    return similar.Duplicates(rows).resolve(rows.select("id", "ord", (~text.is_too_short("text")).alias("eligible"), F.lit(False).alias("in_history")))
 
 
 @query("d3_classify")
 def _(spark, d):
     rows = materialize(_article_rows(spark, d), "d3-rows")
-    members, watchers = similar.duplicate_keys(rows)
     state = rows.select("id", "ord", (F.col("id") % 50 == 7).alias("page_missing"), (F.col("id") % 40 == 3).alias("in_history"), text.is_too_short("text").alias("too_short"), F.contains("text", F.lit("%%%")).alias("policy"), F.lit(False).alias("draft_failed"))
-    return resolve.classify(state, members, watchers)
+    return resolve.classify(state, similar.Duplicates(rows).resolve)
 
 
 # --- summaries and records ---------------------------------------------------------------------------------------------------------

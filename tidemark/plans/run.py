@@ -15,7 +15,7 @@ from ..operators.drafts import article_record, settle_drafts
 from ..operators.hits import BLOCKED_HOSTS, assert_covered, filter_by_age, from_first_source, require, resolve_alias, site_then_global, top_candidates, unique_candidates
 from ..operators.resolve import classify, run_stats
 from ..operators.rules import rule_filter
-from ..operators.similar import append_new, duplicate_keys, exists_duplicate
+from ..operators.similar import Duplicates, append_new, exists_duplicate
 from ..runtime import materialize
 from ..sources.store import append_history
 
@@ -80,9 +80,9 @@ def outcomes(articles: DataFrame, history: DataFrame, rules: DataFrame, fails: C
         "id", "ord", "page_missing", F.coalesce("is_dup", F.lit(False)).alias("in_history"), "too_short", F.col("flagged").alias("policy"), F.lit(False).alias("draft_failed")
     )
     rows = materialize(rows, "run-rows")
-    members, watchers = (materialize(x, "run-keys") for x in duplicate_keys(present))
+    same = Duplicates(present)
     while True:
-        done = materialize(classify(rows, members, watchers), "run-status")
+        done = materialize(classify(rows, same.resolve), "run-status")
         if fails is None:
             return done
         published = articles.join(done.filter("status = 'published'").select("id"), "id", "left_semi")
