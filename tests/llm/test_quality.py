@@ -62,3 +62,25 @@ def test_without_labels_nothing_is_rejected(spark):
 def test_sample_is_bounded(spark):
     rows, labels = corpus(60)
     assert Q.training_rows(frame(spark, rows), Q.grade_ratings(spark.createDataFrame(labels, LABELS)), max_train=25).count() == 25
+
+
+def test_few_and_mostly_bad_ratings_do_not_reject_all(spark):
+    """With three of four ratings bad, a text without evidence has a low tail probability and is kept all the same."""
+    rows, labels = corpus(520, 5)
+    good = [x[0] for x in labels if x[1] and not x[2]]
+    some = [x for x in labels if x[0] not in set(good[:-60])]
+    model = Q.fit(frame(spark, rows), Q.grade_ratings(spark.createDataFrame(some, LABELS)))
+    kept = {r["doc_id"] for r in Q.keep_good(frame(spark, rows), model).collect()}
+    bad = [x[0] for x in some if not x[1] or x[2]]
+    assert sum(i in kept for i in good) >= 0.95 * len(good) and sum(i in kept for i in bad) <= 0.2 * len(bad)
+
+
+def test_figures_on_the_tables(spark):
+    """Half of the rated documents of sf0.01 train, the other half is judged."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    graded = Q.grade_ratings(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"))
+    model = Q.fit(docs, graded.filter("doc_id % 2 = 0"))
+    got = Q.score(docs, model).join(graded.filter("doc_id % 2 = 1"), "doc_id").groupBy("grade").agg({"kept": "count", "tail_prob": "avg"}).collect()
+    kept = {r["grade"]: r["n"] for r in Q.score(docs, model).join(graded.filter("doc_id % 2 = 1"), "doc_id").filter("kept").groupBy("grade").count().withColumnRenamed("count", "n").collect()}
+    total = {r["grade"]: r["count(kept)"] for r in got}
+    assert kept.get(2, 0) >= 0.97 * total[2] and kept.get(0, 0) <= 0.45 * total[0] and kept.get(1, 0) <= 0.55 * total[1], (kept, total)
