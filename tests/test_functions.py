@@ -115,6 +115,13 @@ def test_references_equal_the_standard_library(spark):
     assert [r["y"] for r in got] == [*map(unescape, texts), None]
 
 
+def test_nested_blocks(spark):
+    page = "<ul><li>a <p>b</p> c<script>x</script></li><li>d</li></ul><p>e<p>f</p>"
+    df = spark.createDataFrame([(1, page), (2, None)], "page_id long, html string")
+    assert [(r["pos"], r["text"]) for r in html.nested_blocks(df).orderBy("pos").collect()] == [(0, "a b c"), (1, "b"), (2, "d"), (3, "e f"), (4, "f")]
+    assert [r["text"] for r in html.explode_blocks(df).orderBy("pos").collect()] == ["a", "b", "d", "e", "f"]
+
+
 def test_malformed_pages_have_candidates(spark):
     page = '<![foo[ x><![ y]><div class="content"><img src="/a.jpg"><![if !IE]></span></div>' + "<b>" * 30_000 + "</i>" * 30_000
     df = spark.createDataFrame([(1, "https://h.com/x", page)], "page_id long, url string, html string")

@@ -17,6 +17,16 @@ from .urls import first_int, is_content_image, is_cover_url, resolve_img_src
 MAX_TEXT = 20_000
 
 
+class LenientParser(HTMLParser):
+    """The standard parser, for which a marked section that it does not know (``<![foo[``) is a comment, as in browsers, and no error."""
+
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        try:
+            return super().parse_marked_section(i, report)
+        except AssertionError:
+            return self.parse_bogus_comment(i, report)
+
+
 def strip_noncontent(html: Column | str) -> Column:
     """Without script, style and noscript elements and comments."""
     out = F.regexp_replace(F.coalesce(col(html), F.lit("")), r"(?is)<(script|style|noscript)\b[^>]*>.*?</\1\s*>", "")
@@ -37,6 +47,59 @@ def explode_blocks(pages: DataFrame, html: str = "html") -> DataFrame:
     return pages.select("page_id", F.posexplode(page_blocks(html)).alias("pos", "text")).filter("text != ''")
 
 
+class _Nested(LenientParser):
+    """Texts of ``p``, ``li``, ``h2`` and ``h3`` in the order of their starts, each with all that is nested in it."""
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.found: list[list[str]] = []
+        self.open: list[tuple[str, list[str] | None]] = []
+        self.n_open: Counter[str] = Counter()
+        self.silent = 0
+
+    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if tag in ("img", "meta", "br", "hr", "input", "link", "source", "wbr", "area", "base", "col", "embed", "track"):
+            return
+        block: list[str] | None = [] if tag in ("p", "li", "h2", "h3") else None
+        if block is not None:
+            self.found.append(block)
+        self.open.append((tag, block))
+        self.n_open[tag] += 1
+        self.silent += tag in ("script", "style", "noscript")
+
+    def handle_endtag(self, tag: str) -> None:
+        while self.n_open[tag]:
+            name, _ = self.open.pop()
+            self.n_open[name] -= 1
+            self.silent -= name in ("script", "style", "noscript")
+            if name == tag:
+                return
+
+    def handle_data(self, data: str) -> None:
+        text = data.strip()
+        if text and not self.silent:
+            for _, block in self.open:
+                if block is not None:
+                    block.append(text)
+
+
+def nested_blocks(pages: DataFrame, html: str = "html") -> DataFrame:
+    """``(page_id, pos, text)`` as :func:`explode_blocks`, but a block holds the text of blocks nested in it, and an unclosed one all that follows inside
+    its parent, so texts repeat. Nesting needs a parser."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            rows = []
+            for page_id, page in zip(pdf["page_id"], pdf["html"], strict=True):
+                parser = _Nested()
+                parser.feed(page or "")
+                parser.close()
+                rows += [(page_id, i, " ".join(x)) for i, x in enumerate(parser.found) if x]
+            yield pd.DataFrame(rows, columns=["page_id", "pos", "text"])
+
+    return pages.select("page_id", F.col(html).alias("html")).mapInPandas(run, "page_id long, pos int, text string")
+
+
 def min_block(blocks: DataFrame, n: int = 25) -> DataFrame:
     return blocks.filter(F.length("text") >= n)
 
@@ -75,16 +138,6 @@ def page_text(text: Column | str, snippet: Column | str) -> Column:
     return once(full, lambda x: F.when(looks_garbled(x["t"]) & (x["s"] != ""), x["s"]).otherwise(x["t"]))
 
 
-class LenientParser(HTMLParser):
-    """The standard parser, for which a marked section that it does not know (``<![foo[``) is a comment, as in browsers, and no error."""
-
-    def parse_marked_section(self, i: int, report: int = 1) -> int:
-        try:
-            return super().parse_marked_section(i, report)
-        except AssertionError:
-            return self.parse_bogus_comment(i, report)
-
-
 class _Images(LenientParser):
     """Image candidates of a page: (priority, src, class, alt, width, height) in page order."""
 

@@ -14,12 +14,14 @@ from pyspark.sql import functions as F
 
 from ..functions.text import col, once, strip
 from ..functions.urls import canonical_url, norm_url, url_host
-from ..runtime import broadcast_if_small, in_blocks
+from ..runtime import broadcast_if_small, broadcast_within, in_blocks, materialize
 
 # Fixed values.
 BLOCKED_HOSTS = ("baike.baidu.com", "wikipedia.org", "zh.wikipedia.org", "en.wikipedia.org", "hudong.com", "baike.com")
 #: Rows of a list table (sites, keywords, aliases) that are broadcast.
 MAX_LIST = 100_000
+#: Size of a lookup table that is broadcast.
+MAX_LOOKUP_MB = 64
 HIT_ORDER = ("query_ord", "scope_rank", "pos")
 #: ``scope_rank`` of hits that no site list limits; those of a site have the site's place.
 GLOBAL = 1 << 20
@@ -159,12 +161,38 @@ def assert_covered(queries: DataFrame, hits: DataFrame, report: bool = False) ->
     return bare
 
 
+def _trigrams(text: Column) -> Column:
+    """Hashes of the distinct runs of three characters."""
+
+    def cut(cs: Column) -> Column:
+        spots = F.when(F.size(cs) >= 3, F.sequence(F.lit(0), F.size(cs) - 3)).otherwise(F.array().cast("array<int>"))
+        return F.array_distinct(F.transform(spots, lambda i: F.xxhash64(*[F.get(cs, i + k) for k in range(3)])))
+
+    return once(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)), cut)
+
+
 def keyword_hits(queries: DataFrame, corpus: DataFrame, text: str = "text") -> DataFrame:
-    """``corpus`` rows that hold all space-separated terms of a query ``(ord, value)``, case-insensitively."""
-    q = queries.select(F.col("ord").alias("query_ord"), F.col("value").alias("query"), F.filter(F.split(F.lower("value"), " "), lambda t: t != "").alias("__terms"))
+    """``corpus`` rows that hold all space-separated terms of a query ``(ord, value)``, case-insensitively.
+
+    A query is looked up by the rarest in the corpus of its terms' runs of three characters, and only the rows that have it are searched for the terms.
+    Queries with short terms alone have none and are tried on every row, in blocks; they should be few.
+    """
+    terms = F.filter(F.split(F.lower("value"), " "), lambda t: t != "")
+    q = queries.select(F.col("ord").alias("query_ord"), F.col("value").alias("query"), terms.alias("__terms")).filter(F.size("__terms") > 0).distinct()
+    q = materialize(q.withColumn("__runs", F.array_distinct(F.flatten(F.transform("__terms", _trigrams)))), "keywords")
     low = corpus.withColumn("__low", F.lower(F.coalesce(F.col(text), F.lit(""))))
-    holds = F.forall("__terms", lambda t: F.contains("__low", t)) & (F.size("__terms") > 0)
-    return reduce(DataFrame.unionByName, [low.join(F.broadcast(b), holds) for b in in_blocks(q, "query", MAX_LIST)]).drop("__low", "__terms")
+    holds = F.forall("__terms", lambda t: F.contains("__low", t))
+    short = q.filter(F.size("__runs") == 0).drop("__runs")
+    found = [low.join(F.broadcast(b), holds) for b in in_blocks(short, "query", MAX_LIST)] if short.limit(1).count() else []
+    runs = q.filter(F.size("__runs") > 0).select("query_ord", "query", F.explode("__runs").alias("__run"))
+    for block in in_blocks(q.filter(F.size("__runs") > 0), "query", MAX_LIST):
+        mine = runs.join(block.select("query_ord", "query"), ["query_ord", "query"])
+        wanted = mine.select("__run").distinct()
+        seen = low.select(F.explode(_trigrams(F.col("__low"))).alias("__run")).join(F.broadcast(wanted), "__run").groupBy("__run").agg(F.count("*").alias("n"))
+        first = mine.join(seen, "__run", "left").groupBy("query_ord", "query").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "__run")).alias("r"))
+        keyed = materialize(first.filter("r.n > 0").select("query_ord", "query", F.col("r.__run").alias("__run")).join(block.drop("__runs"), ["query_ord", "query"]), "keyword-runs")
+        found.append(low.withColumn("__run", F.explode(_trigrams(F.col("__low")))).join(F.broadcast(keyed), "__run").filter(holds).drop("__run"))
+    return reduce(DataFrame.unionByName, found).drop("__low", "__terms") if found else low.join(q.drop("__runs").limit(0), holds).drop("__low", "__terms")
 
 
 def resolve_alias(hits: DataFrame, alias: DataFrame, host: str = "news.google.com", url: str = "url") -> DataFrame:
@@ -178,6 +206,6 @@ def resolve_alias(hits: DataFrame, alias: DataFrame, host: str = "news.google.co
 def with_default(df: DataFrame, lookup: DataFrame, key: str, lookup_key: str, value: str, default: Column, rejected: str | None = None) -> DataFrame:
     """``df`` with ``value`` from ``lookup``; ``default`` if the key is unknown, blank or (column ``rejected``) turned down."""
     cols = [F.col(lookup_key).alias("__k"), F.col(value).alias("__v"), (F.col(rejected) if rejected else F.lit(False)).alias("__no")]
-    out = df.join(broadcast_if_small(lookup.select(*cols), MAX_LIST), F.col(key) == F.col("__k"), "left")
+    out = df.join(broadcast_within(lookup.select(*cols), MAX_LOOKUP_MB), F.col(key) == F.col("__k"), "left")
     ok = ~F.coalesce("__no", F.lit(False)) & (strip(F.coalesce("__v", F.lit(""))) != "")
     return out.withColumn(value, F.when(ok, F.col("__v")).otherwise(default)).drop("__k", "__v", "__no")

@@ -101,6 +101,13 @@ def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def broadcast_within(df: DataFrame, max_mb: int) -> DataFrame:
+    """Hint a broadcast only after adding up bytes: those of strings, and 16 for every value. Beyond ``max_mb`` Spark shuffles both sides."""
+    strings = [f"coalesce(octet_length(`{n}`), 0)" for n, kind in df.dtypes if kind in ("string", "binary")]
+    size = df.selectExpr("sum(" + " + ".join([str(16 * len(df.columns)), *strings]) + ") AS n").first()["n"] or 0
+    return F.broadcast(df) if size <= max_mb << 20 else df
+
+
 def in_blocks(df: DataFrame, column: str, max_rows: int) -> list[DataFrame]:
     """``df`` in parts of about ``max_rows`` rows at most, dealt by the hash of ``column``: for joins that no key can shuffle."""
     n = -(-df.count() // max_rows)
