@@ -123,3 +123,24 @@ def test_clashing_columns_keep_their_values(spark):
     left = N.keep_one(src)
     check_clashing(left, src)
     assert left.count() == 3
+
+
+def test_every_similar_pair_is_in_one_class(spark):
+    """Brute force over all pairs with the operator's own weights: chains of edits, some pairs above the similarity and some below."""
+    rows = []
+    for g in range(8):
+        text = words(g, 150)
+        for j in range(10):
+            rows.append((100 * g + j, text))
+            text = edited(text, 1000 * g + j, 0.004 * (1 + g % 4))
+    src = frame(spark, rows)
+    idf = N.idf_table(N.shingle_sketch(src.select("doc_id", "text")), len(rows))
+    class_of = {r["doc_id"]: r["root"] for r in N.near_duplicates(src).collect()}
+    pairs = [(x, y) for i, x in enumerate(rows) for y in rows[i + 1 :]]
+    sims = N.weighted_jaccard(pa.array([x[1] for x, _ in pairs]), pa.array([y[1] for _, y in pairs]), idf)
+    similar = [(x[0], y[0]) for (x, y), s in zip(pairs, sims, strict=True) if s >= N.SIMILARITY]
+    assert len(similar) > 100 and all(class_of[a] == class_of[b] for a, b in similar)
+    # and no class without a chain of such pairs
+    links = C.components(spark.createDataFrame(similar, "a long, b long")).collect()
+    joined = {r["node"]: r["root"] for r in links}
+    assert len(set(class_of.values())) == len({joined.get(i, i) for i, _ in rows})

@@ -1,7 +1,7 @@
 import corpus_pipeline as P
 from tidemark.llm import tokens
 
-from .util import edited, words
+from .util import check_clashing, clashing, edited, words
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -35,3 +35,18 @@ def test_stages(spark, tmp_path):
     assert sorted(r["doc_id"] for r in five) == ids(four)
     text = {r["doc_id"]: r["text"] for r in four.collect()}
     assert all(r["n_tokens"] == len(tokens.encode([text[r["doc_id"]]], tokens.default_tokenizer())[0]) // 2 + 1 for r in five)
+
+
+def test_empty_tables_repeats_and_clashing_columns(spark, tmp_path):
+    odd = [(1, "a b c d e f", "en", "s", 1), (1, "other words here", "en", "s", 1), (2, "a b c d e f", "en", None, 1), (None, "x y", None, "s", None), (3, None, "en", "s", 0), (3, None, "en", "s", 0)]
+    write(spark, f"{tmp_path}/odd", odd, [], [])
+    src = clashing(spark.read.parquet(f"{tmp_path}/odd/documents.parquet"))
+    docs = src
+    for _, stage in P.STAGES[:-1]:
+        docs = P.materialize(stage(spark, docs, f"{tmp_path}/odd"), "odd")
+        check_clashing(docs, src)
+    two = P.near_dedup_stage(spark, src, f"{tmp_path}/odd").collect()
+    assert sorted(str((r["doc_id"], r["text"])) for r in two) == sorted(map(str, [(1, "a b c d e f"), (1, "other words here"), (None, "x y"), (3, None)]))
+    assert P.token_stage(spark, docs, f"{tmp_path}/odd").count() == docs.count()
+    write(spark, f"{tmp_path}/none", [], [], [])
+    assert P.run(spark, f"{tmp_path}/none").count() == 0

@@ -196,9 +196,11 @@ def keep_good(docs: DataFrame, model: OrdinalModel, min_tail: float = MIN_TAIL)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tk.trim()
         for batch in batches:
-            column = batch.column("text")
+            column = batch.column(at)
             for a, b in tk.pieces(column):
                 tail = tails(OrdinalModel(*shared.value), column.slice(a, b - a))
                 yield batch.slice(a, b - a).filter(pa.array(tail[:, -1] >= least))
 
-    return docs.mapInArrow(run, docs.schema)
+    at = docs.columns.index("text")
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # names with dots or quotes are no names for a worker's input
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
