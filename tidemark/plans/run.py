@@ -53,7 +53,7 @@ def extract_articles(pages: DataFrame, hits: DataFrame, covers: bool = True) ->
         pages = pages.withColumn("html", decode_bytes("body", "encoding", "content_type"))
     keyed = hits.withColumn("id", canonical_url("url"))
     found = pages.select(canonical_url("url").alias("id"), "page_id", F.col("url").alias("page_url"), "html").join(keyed.select("id"), "id", "left_semi")
-    one = found.groupBy("id").agg(F.min_by(F.struct("page_id", "page_url", "html"), "page_id").alias("p"))
+    one = materialize(found.groupBy("id").agg(F.min_by(F.struct("page_id", "page_url", "html"), "page_id").alias("p")), "pages-of-hits")
     joined = keyed.join(one, "id", "left")
     text = page_text(block_text("p.html"), "snippet")
     out = joined.select("id", "query_ord", "scope_rank", "pos", "url", page_title("p.html", "title").alias("title"), text.alias("text"), "published_at", F.col("p.page_id").alias("page_id"), F.col("p").isNull().alias("page_missing"))
