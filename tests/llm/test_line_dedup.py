@@ -57,7 +57,7 @@ def test_shuffled_bitmaps_give_the_same(spark):
     docs = frame(spark, [(i, "the same boilerplate line here\nown line number " + str(i) * 20) for i in range(20)]).select("doc_id", "text")
     maps = L.keep_bitmaps(docs)
     a, b = (L.with_bitmaps(docs, maps, mb) for mb in (64, -1))
-    assert sorted(r["doc_id"] for r in a.filter("__drop IS NOT NULL").collect()) == sorted(r["doc_id"] for r in b.filter("__drop IS NOT NULL").collect()) == list(range(19))
+    assert sorted(r["doc_id"] for r in a.filter("__keep IS NOT NULL").collect()) == sorted(r["doc_id"] for r in b.filter("__keep IS NOT NULL").collect()) == list(range(19))
 
 
 def test_empty(spark):

@@ -129,7 +129,7 @@ def _runs(batches: Iterator[pa.RecordBatch], min_docs: int) -> Iterator[pa.Recor
 
 
 def keep_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
-    """``(doc, row, drop)``: for each document that loses lines, the zlib-compressed bitmap of the lost line numbers.
+    """``(doc, row, keep)``: for each document that loses lines, the zlib-compressed bitmap of the lines that it keeps, up to the last one it loses.
 
     ``doc`` is doc_id (NO_DOC for null), ``row`` the hash of its text. Documents that are not listed keep all.
     """
@@ -150,32 +150,33 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Dat
         for batch in batches:
             maps = []
             for p in batch[2].to_pylist():
-                bits = np.zeros(max(p) + 1, np.uint8)
-                bits[p] = 1
-                maps.append(zlib.compress(np.packbits(bits).tobytes()))
-            yield pa.RecordBatch.from_arrays([batch[0], batch[1], pa.array(maps, pa.binary())], ["doc", "row", "drop"])
+                bits = np.ones(max(p) + 1, np.uint8)
+                bits[p] = 0
+                whole = np.r_[bits, np.ones(-len(bits) % 8, np.uint8)]
+                maps.append(zlib.compress(np.packbits(whole).tobytes()))
+            yield pa.RecordBatch.from_arrays([batch[0], batch[1], pa.array(maps, pa.binary())], ["doc", "row", "keep"])
 
-    return lost.mapInArrow(pack, "doc long, row long, drop binary")
+    return lost.mapInArrow(pack, "doc long, row long, keep binary")
 
 
-def apply_bitmap(text: str | None, drop: bytes | None) -> tuple[bytes, int, int]:
+def apply_bitmap(text: str | None, keep: bytes | None) -> tuple[bytes, int, int]:
     """Kept text as UTF-8, number of lines, number of dropped lines."""
     lines = split_lines(text)
-    if drop is None:
+    if keep is None:
         return b"\n".join(lines), len(lines), 0
-    bits = np.unpackbits(np.frombuffer(zlib.decompress(drop), np.uint8))[: len(lines)]
+    bits = np.unpackbits(np.frombuffer(zlib.decompress(keep), np.uint8))[: len(lines)]
     gone = np.zeros(len(lines), bool)
-    gone[: len(bits)] = bits.astype(bool)
+    gone[: len(bits)] = bits == 0
     return b"\n".join(x for x, g in zip(lines, gone, strict=True) if not g), len(lines), int(gone.sum())
 
 
 def with_bitmaps(docs: DataFrame, maps: DataFrame, max_broadcast_mb: int = 64) -> DataFrame:
-    """``docs`` with its ``drop`` bitmap (null: nothing to drop). The bitmaps are broadcast only if their summed size, which
+    """``docs`` with its ``__keep`` bitmap (null: all lines stay). The bitmaps are broadcast only if their summed size, which
     is measured first, is within ``max_broadcast_mb``; else both sides are shuffled."""
     maps = materialize(maps, "line-bitmaps")
-    size = maps.agg((F.sum(F.length("drop") + 48)).alias("b")).first()["b"] or 0
+    size = maps.agg((F.sum(F.length("keep") + 48)).alias("b")).first()["b"] or 0
     left = docs.withColumn("__doc", F.coalesce("doc_id", F.lit(NO_DOC))).withColumn("__row", text_key("text"))
-    right = maps.select(F.col("doc").alias("__doc"), F.col("row").alias("__row"), F.col("drop").alias("__drop"))
+    right = maps.select(F.col("doc").alias("__doc"), F.col("row").alias("__row"), F.col("keep").alias("__keep"))
     if size <= max_broadcast_mb << 20:
         right = F.broadcast(right)
     return left.join(right, ["__doc", "__row"], "left").drop("__doc", "__row")
@@ -192,4 +193,4 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Data
 
     src = docs.select("doc_id", "text")
     marked = with_bitmaps(src, keep_bitmaps(src, min_chars, min_docs))
-    return marked.select("doc_id", "text", "__drop").mapInArrow(cut, "doc_id long, n_lines long, n_dropped long, kept string")
+    return marked.select("doc_id", "text", "__keep").mapInArrow(cut, "doc_id long, n_lines long, n_dropped long, kept string")
