@@ -15,7 +15,7 @@ from ..operators.drafts import article_record, settle_drafts
 from ..operators.hits import BLOCKED_HOSTS, assert_covered, filter_by_age, from_first_source, require, resolve_alias, site_then_global, top_candidates, unique_candidates
 from ..operators.resolve import classify, run_stats
 from ..operators.rules import rule_filter
-from ..operators.similar import Duplicates, append_new, exists_duplicate
+from ..operators.similar import Duplicates, exists_duplicate
 from ..runtime import materialize
 from ..sources.store import append_history
 
@@ -109,7 +109,7 @@ def run_batch(hits: DataFrame, pages: DataFrame, history: DataFrame, rules: Data
     settled = lambda rows: settle_drafts(rows, answers, covers, params.default_cover, params.author)
     done = outcomes(articles, history, rules, None if fails is None else lambda rows: fails(settled(rows)))
     drafts = settled(articles.join(done.filter("status = 'published'").select("id"), "id", "left_semi"))
-    records = append_new(article_record(drafts, params.as_of, params.batch_id), history, url="source_url")
+    records = article_record(drafts, params.as_of, params.batch_id)  # what is published has no URL of the history, so a rerun adds nothing
     return Run(done, drafts, records, run_stats(done))
 
 
