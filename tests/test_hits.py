@@ -113,4 +113,5 @@ def test_long_lists_go_in_blocks(spark, monkeypatch):
     met = sorted((r["query_ord"], r["id"]) for r in H.keyword_hits(asked, corpus).collect())
     monkeypatch.setattr(H, "MAX_LIST", 4)
     assert sorted(r["pos"] for r in H.host_blocklist(src, "url", listed).collect()) == keep == [i for i in range(30) if not any(f"h{j}.com" in f"h{i}.com" for j in range(0, 30, 2))]
+    monkeypatch.setattr(H, "FEW_QUERIES", 0)
     assert sorted((r["query_ord"], r["id"]) for r in H.keyword_hits(asked, corpus).collect()) == met

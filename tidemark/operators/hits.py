@@ -22,6 +22,8 @@ BLOCKED_HOSTS = ("baike.baidu.com", "wikipedia.org", "zh.wikipedia.org", "en.wik
 MAX_LIST = 100_000
 #: Size of a lookup table that is broadcast.
 MAX_LOOKUP_MB = 64
+#: Keyword queries that are cheaper to try on every row than to look up.
+FEW_QUERIES = 500
 HIT_ORDER = ("query_ord", "scope_rank", "pos")
 #: ``scope_rank`` of hits that no site list limits; those of a site have the site's place.
 GLOBAL = 1 << 20
@@ -175,17 +177,18 @@ def keyword_hits(queries: DataFrame, corpus: DataFrame, text: str = "text") -> D
     """``corpus`` rows that hold all space-separated terms of a query ``(ord, value)``, case-insensitively.
 
     A query is looked up by the rarest in the corpus of its terms' runs of three characters, and only the rows that have it are searched for the terms.
-    Queries with short terms alone have none and are tried on every row, in blocks; they should be few.
+    Queries with short terms alone have none and are tried on every row, in blocks, as are all if there are no more than ``FEW_QUERIES``.
     """
     terms = F.filter(F.split(F.lower("value"), " "), lambda t: t != "")
     q = queries.select(F.col("ord").alias("query_ord"), F.col("value").alias("query"), terms.alias("__terms")).filter(F.size("__terms") > 0).distinct()
     q = materialize(q.withColumn("__runs", F.array_distinct(F.flatten(F.transform("__terms", _trigrams)))), "keywords")
     low = corpus.withColumn("__low", F.lower(F.coalesce(F.col(text), F.lit(""))))
     holds = F.forall("__terms", lambda t: F.contains("__low", t))
-    short = q.filter(F.size("__runs") == 0).drop("__runs")
+    few = q.limit(FEW_QUERIES + 1).count() <= FEW_QUERIES
+    short = q.filter(F.lit(few) | (F.size("__runs") == 0)).drop("__runs")
     found = [low.join(F.broadcast(b), holds) for b in in_blocks(short, "query", MAX_LIST)] if short.limit(1).count() else []
     runs = q.filter(F.size("__runs") > 0).select("query_ord", "query", F.explode("__runs").alias("__run"))
-    for block in in_blocks(q.filter(F.size("__runs") > 0), "query", MAX_LIST):
+    for block in [] if few else in_blocks(q.filter(F.size("__runs") > 0), "query", MAX_LIST):
         mine = runs.join(block.select("query_ord", "query"), ["query_ord", "query"])
         wanted = mine.select("__run").distinct()
         seen = low.select(F.explode(_trigrams(F.col("__low"))).alias("__run")).join(F.broadcast(wanted), "__run").groupBy("__run").agg(F.count("*").alias("n"))
