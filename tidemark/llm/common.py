@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import broadcast_if_small, materialize, new_path, partitions_for, prepare, scratch, shared_dir, table
+from ..runtime import broadcast_if_small, in_blocks, materialize, new_path, partitions_for, prepare, scratch, shared_dir, table
 
-__all__ = ["all_columns", "broadcast_if_small", "free_names", "materialize", "new_path", "null_safe", "partitions_for", "prepare", "scratch", "shared_dir", "table", "text_key"]
+__all__ = ["all_columns", "broadcast_if_small", "free_names", "in_blocks", "materialize", "new_path", "null_safe", "partitions_for", "prepare", "scratch", "shared_dir", "table", "text_key"]
 
 
 def text_key(text: Column | str) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, html_main, line_dedup, mixing, neardup, quality, rule_ledger, tokens, url_filter
+from . import chat, decontaminate, divergence, html_main, lexical, line_dedup, mixing, neardup, quality, repeats, rule_ledger, tokens, url_filter
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -161,7 +161,8 @@ def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: A source stays at its cap once it is above, so after as many rounds as there are sources nothing changes; each round shares what is left by weight.
 MIX_TARGETS_SQL = r"""
 WITH RECURSIVE s AS (
-  SELECT source, sum(len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')))::BIGINT AS n FROM documents GROUP BY source
+  SELECT source, sum(len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+')))::BIGINT AS n FROM documents GROUP BY source
 ), w AS (
   SELECT source, n, [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::BIGINT]::DOUBLE AS weight FROM s
 ), t AS (
@@ -189,6 +190,59 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (h.top IS NOT NULL AND doc_i
 FROM k LEFT JOIN h USING (key) GROUP BY doc_id
 """
 
+
+
+def op11_repeat_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = repeats.cut_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
+OP12_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents),
+g AS (SELECT count(*) AS docs, sum(len(ws))::BIGINT AS words FROM d WHERE len(ws) > 0),
+u AS (SELECT r, doc_id, len(ws) AS n, unnest(ws) AS term FROM d WHERE len(ws) > 0),
+c AS (SELECT r, doc_id, n, term, count(*) AS tf FROM u GROUP BY r, doc_id, n, term),
+b AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+f AS (SELECT term, count(*) AS df FROM c WHERE term IN (SELECT term FROM b) GROUP BY term),
+w AS (SELECT term, floor(1000 * ln((2 * docs + 2) / (2 * df + 1)))::BIGINT AS weight FROM f CROSS JOIN g),
+s AS (SELECT b.item_id, c.r, c.doc_id, sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // words))))::BIGINT AS score
+      FROM b JOIN c USING (term) JOIN w USING (term) CROSS JOIN g GROUP BY b.item_id, c.r, c.doc_id)
+SELECT item_id, rank::INT AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 50
+"""
+
+
+def op13_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents").select("text", "lang", "source"))
+
+
+OP13_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents),
+u AS (SELECT r, lang, source, unnest(ws) AS term FROM d),
+k AS (SELECT lang, term, count(*)::BIGINT AS lang_n FROM u GROUP BY lang, term HAVING count(DISTINCT r) >= 30),
+s AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*)::BIGINT AS n FROM u GROUP BY lang, source, term),
+v AS (SELECT lang, count(*)::BIGINT AS kept, sum(lang_n)::BIGINT AS lang_total FROM k GROUP BY lang),
+a AS (SELECT s.lang, s.source, k.term, coalesce(c.n, 0) AS n, k.lang_n, v.kept, v.lang_total
+      FROM s JOIN k ON k.lang = s.lang JOIN v ON v.lang = s.lang LEFT JOIN c ON c.lang = s.lang AND c.source = s.source AND c.term = k.term),
+t AS (SELECT lang, source, sum(n)::BIGINT AS total FROM a GROUP BY lang, source),
+p AS (SELECT a.lang, a.source, a.term, a.n, 1 + (1000000000 * (a.n + 5)) // (t.total + 5 * a.kept) AS p, 1 + (1000000000 * (a.lang_n + 5)) // (a.lang_total + 5 * a.kept) AS q
+      FROM a JOIN t ON t.lang = a.lang AND t.source = a.source),
+x AS (SELECT s.lang, s.source, o.source AS item, coalesce(f.value, 0)::BIGINT AS value
+      FROM s JOIN s o ON o.lang = s.lang AND o.source <> s.source
+      LEFT JOIN (SELECT p.lang, p.source, o.source AS item, sum(abs(p.p - o.p)) AS value FROM p JOIN p o ON o.lang = p.lang AND o.term = p.term AND o.source <> p.source GROUP BY 1, 2, 3) f
+      ON f.lang = s.lang AND f.source = s.source AND f.item = o.source)
+SELECT lang, source, 'pair' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item)::INT AS rank FROM x
+UNION ALL
+SELECT lang, source, 'term', term, value, rank::INT FROM (
+  SELECT lang, source, term, p - q AS value, row_number() OVER (PARTITION BY lang, source ORDER BY p - q DESC, term) AS rank FROM p WHERE n > 0 AND p > q) WHERE rank <= 50
+"""
+
 QUERIES: dict[str, Query] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_near_dedup": op2_near_dedup,
@@ -200,8 +254,11 @@ QUERIES: dict[str, Query] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_mix_sources": op9_mix_sources,
     "op10_line_dedup": op10_line_dedup,
+    "op11_repeat_dedup": op11_repeat_dedup,
+    "op12_lexical_search": op12_lexical_search,
+    "op13_divergence_audit": op13_divergence_audit,
     "url_rules": url_rules,
     "quality_ablations": quality_ablations,
     "mix_targets": mix_targets,
 }
-ORACLES: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op3_chat_format": OP3_SQL, "op8_quality_rules": OP8_SQL, "op10_line_dedup": OP10_SQL, "url_rules": URL_RULES_SQL, "quality_ablations": ABLATIONS_SQL, "mix_targets": MIX_TARGETS_SQL}
+ORACLES: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op3_chat_format": OP3_SQL, "op8_quality_rules": OP8_SQL, "op10_line_dedup": OP10_SQL, "op12_lexical_search": OP12_SQL, "op13_divergence_audit": OP13_SQL, "url_rules": URL_RULES_SQL, "quality_ablations": ABLATIONS_SQL, "mix_targets": MIX_TARGETS_SQL}
