@@ -173,13 +173,14 @@ class Trees:
 
 
 def _compare(rows: pd.DataFrame) -> pd.DataFrame:
-    """Rows (lang, block, x, y, source, chunk, below, term, n) of two chunks of sources in a block to (lang, source, item, value), both ways of each pair."""
+    """Rows (lang, block, x, y, source, chunk, below, term, n, terms) of two chunks of sources in a block to (lang, source, item, value), both ways of each pair."""
     names, source = np.unique(rows["source"].to_numpy(object), return_inverse=True)
     first = np.unique(source, return_index=True)[1]
     below, chunk = rows["below"].to_numpy(np.int64)[first], rows["chunk"].to_numpy()[first]
     real = rows["term"].notna().to_numpy()
     terms, at = np.unique(rows["term"].to_numpy(object)[real], return_inverse=True)
-    counts = np.zeros((len(names), len(terms)), np.int64)
+    # Terms of the block that only sources of other chunks have are counts of zero here.
+    counts = np.zeros((len(names), int(rows["terms"].max())), np.int64)
     counts[source[real], at] = rows["n"].to_numpy(np.int64)[real]
     a, b = np.triu_indices(len(names), 1)
     x, y = rows["x"].iloc[0], rows["y"].iloc[0]
@@ -211,10 +212,11 @@ def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP_TERMS) -> Da
     block = F.pmod(F.xxhash64("term"), F.col("blocks")).cast("int")
     # Every group is in every block of its language, with or without terms there; each chunk meets each.
     keys = ["lang", "source", "chunk", "chunks", "below"]
-    bare = dealt.filter("blocks > 0").select(*keys, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(None).cast("string").alias("term"), F.lit(0).cast("long").alias("n"))
-    filled = kept.join(dealt, ["lang", "source"]).select(*keys, block.alias("block"), "term", "n")
+    sizes = kept.select("lang", "term").distinct().join(groups.select("lang", blocks.alias("blocks")).distinct(), "lang").groupBy("lang", block.alias("block")).agg(F.count("*").alias("terms"))
+    bare = dealt.join(sizes, "lang").select(*keys, "block", F.lit(None).cast("string").alias("term"), F.lit(0).cast("long").alias("n"), "terms")
+    filled = kept.join(dealt, ["lang", "source"]).select(*keys, block.alias("block"), "term", "n", F.lit(0).cast("long").alias("terms"))
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")
-    met = bare.unionByName(filled).select("lang", "block", "source", "chunk", "below", "term", "n", other).withColumn("x", F.least("chunk", "other")).withColumn("y", F.greatest("chunk", "other"))
+    met = bare.unionByName(filled).select("lang", "block", "source", "chunk", "below", "term", "n", "terms", other).withColumn("x", F.least("chunk", "other")).withColumn("y", F.greatest("chunk", "other"))
     parts = met.drop("other").groupBy("lang", "block", "x", "y").applyInPandas(_compare, "lang string, source string, item string, value long")
     values = parts.groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
     # Sources of a language without kept terms are 0 apart.
