@@ -60,7 +60,7 @@ def test_equals_brute_force(spark):
 
 def test_split_anchors_and_shuffled_texts_give_the_same(spark, monkeypatch):
     docs = corpus(6, 40)
-    monkeypatch.setattr(R, "MAX_TEXT", 600)
+    monkeypatch.setattr(R, "MAX_TEXT", 300)
     several = R.repeated_spans(frame(spark, docs)).groupBy("first").count().collect()
     assert len(several) == 2
     assert run(spark, docs, max_broadcast_mb=-1) == brute(docs)
@@ -72,7 +72,8 @@ def test_edges_and_folds(spark, monkeypatch):
     docs = corpus(7, 10)
     assert run(spark, docs) == brute(docs)
     cols = [np.array(x, np.int64) for x in ([1, 1, 1, 2, 1], [5, 5, 5, 5, 5], [9, 3, 3, 1, 3], [0, 0, 0, 0, 0], [4, 2, 2, 0, 7], [1] * 5, [0] * 5)]
-    got = sorted(zip(*(x.to_pylist() for x in R.fold(cols).columns), strict=True))
+    kind, rows = R.fold(cols)
+    got = sorted(zip(kind.tolist(), *(x.tolist() for x in rows), strict=True))
     assert got == [(R.REMOVED, 1, 5, 3, 0, 7, 1, 0), (R.REMOVED, 1, 5, 9, 0, 4, 1, 0), (R.SEGMENT, 1, 5, 3, 0, 2, 1, R.FOLDED), (R.SEGMENT, 2, 5, 1, 0, 0, 1, 0)]
 
 

@@ -6,8 +6,8 @@
    whole. An anchor with one content is settled; the others give one text per content.
 3. These texts go to the task of their anchor, where a suffix array with common prefixes is built over many anchors at once and its tree of intervals is
    scanned (:mod:`intervals`): each maximal repeat gives all its occurrences, not just neighbours.
-4. An anchor with more than ``MAX_TEXT`` bytes of different texts (a passage that very many documents hold, each in words of its own) is split by longer
-   anchors: each of its windows becomes an anchor of its own and goes through 2.
+4. An anchor with more than ``MAX_TEXT`` bytes of different texts (a passage that very many documents hold, each in words of its own) is split: its texts
+   are cut anew by longer runs of bytes (``GRAMS``, at last by whole windows) and go through 2 and 3 again.
 
 Equal rows within a task are folded before the shuffle, so copies in any number cost a row a task; an anchor may span partitions, and what touches a partition's
 edge is settled afterwards. No text is shuffled but that of 3, and no group is held beyond ``MAX_TEXT`` bytes.
@@ -31,8 +31,8 @@ from .common import materialize, partitions_for, text_key
 from .intervals import repeats
 
 MIN_BYTES = 100
-#: Bytes of the runs whose least hash is the anchor.
-GRAM = 32
+#: Shares of ``min_bytes`` that the runs have whose least hash is the anchor; each next one is for anchors of too much text. After the last come whole windows.
+GRAMS = (0.32, 0.83, 0.96)
 #: Bytes of different texts of one anchor that one task compares.
 MAX_TEXT = 1 << 20
 #: Rows folded at once before the shuffle, and bytes of texts whose suffixes are sorted at once.
@@ -136,8 +136,9 @@ def _table(kind: np.ndarray | int, cols: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(kinds), *[pa.array(x.astype(t)) for x, t in zip(cols, types, strict=True)]], ["kind", *_COLS])
 
 
-def fold(cols: list[np.ndarray]) -> pa.RecordBatch:
-    """Rows of :data:`_COLS`: of those equal in anchor and content the first place stays, the others are repeats as they are. Rows of one place are one."""
+def fold(cols: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Kinds and rows of :data:`_COLS` (and further columns): of rows equal in anchor and content the first place stays, the others are repeats as they are.
+    Rows of one place are one."""
     v, c, doc, row, at = cols[:5]
     order = np.lexsort((at, row, doc, tk.mix(v.view(_U) ^ (c.view(_U) * _U(3)))))
     cols = [x[order] for x in cols]
@@ -148,27 +149,37 @@ def fold(cols: list[np.ndarray]) -> pa.RecordBatch:
     flags = cols[6].copy()
     flags[first[np.add.reduceat((same & ~place).astype(np.int64), first) > 0]] |= FOLDED
     cols[6] = flags
-    return _table(np.where(same, REMOVED, SEGMENT)[~place], [x[~place] for x in cols])
+    return np.where(same, REMOVED, SEGMENT)[~place], [x[~place] for x in cols]
 
 
 class _Folder:
-    """Collects rows and folds them, ``FOLD`` at a time."""
+    """Collects rows, with the bytes of each if given, and folds them, ``FOLD`` at a time. Only rows that stay keep their bytes."""
 
-    def __init__(self) -> None:
+    def __init__(self, with_bytes: bool) -> None:
         self.parts: list[list[np.ndarray]] = []
-        self.n = 0
-
-    def add(self, cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        self.texts: list[bytes] | None = [] if with_bytes else None
+        self.n = self.size = 0
+
+    def add(self, cols: list[np.ndarray], texts: list[bytes] | None = None) -> Iterator[pa.RecordBatch]:
+        if self.texts is not None:
+            cols = [*cols, np.arange(len(cols[0])) + len(self.texts)]
+            self.texts += texts or []
+            self.size += sum(map(len, texts or []))
         self.parts.append(cols)
         self.n += len(cols[0])
-        if self.n >= FOLD:
+        if self.n >= FOLD or self.size >= 16 * SORT:
             yield from self.flush()
 
     def flush(self) -> Iterator[pa.RecordBatch]:
         if self.n:
-            whole = [np.concatenate(x) for x in zip(*self.parts, strict=True)]
-            self.parts, self.n = [], 0
-            yield fold(whole)
+            kind, cols = fold([np.concatenate(x) for x in zip(*self.parts, strict=True)])
+            out = _table(kind, cols[:7])
+            if self.texts is not None:
+                texts = pa.array([self.texts[i] if k == SEGMENT else None for i, k in zip(cols[7].tolist(), kind.tolist(), strict=True)], pa.binary())
+                out = pa.RecordBatch.from_arrays([*out.columns, texts], [*out.schema.names, "bytes"])
+                self.texts = []
+            self.parts, self.n, self.size = [], 0, 0
+            yield out
 
 
 def _keys(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -178,7 +189,7 @@ def _keys(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 
 def _cut_segments(batches: Iterator[pa.RecordBatch], min_bytes: int, gram: int) -> Iterator[pa.RecordBatch]:
     """(doc_id, row, text) to folded segments."""
-    held = _Folder()
+    held = _Folder(False)
     for batch in batches:
         docs, rows = _keys(batch)
         for a, b in tk.pieces(batch[2], 1 << 19):
@@ -271,39 +282,40 @@ def _with_docs(docs: DataFrame, rows: DataFrame, max_broadcast_mb: int) -> DataF
 
 
 def _texts(batches: Iterator[pa.RecordBatch], min_bytes: int) -> Iterator[pa.RecordBatch]:
-    """(doc, row, text, segs) to the segments' bytes (kind SEGMENT), or for those of split anchors to folded windows (kind SEGMENT or REMOVED without bytes)."""
-    none = np.zeros(0, np.int32)
+    """(doc, row, text, segs) to the segments' bytes: (v, doc, row, at, n, split, bytes)."""
     fields = pa.struct([("v", pa.int64()), ("at", pa.int32()), ("n", pa.int32()), ("split", pa.bool_())])
-    held = _Folder()
-
-    def windows(rb: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([*rb.columns, pa.nulls(rb.num_rows, pa.binary())], [*rb.schema.names, "bytes"])
-
     for batch in batches:
         docs, rows = _keys(batch)
-        out = [[] for _ in range(6)]
         for i, text in enumerate(batch[2].to_pylist()):
             data = text.encode("utf-8", "surrogatepass")
             segs = batch[3][i].values.cast(fields)
-            v, at, n, split = (segs.field(k).to_numpy(zero_copy_only=False) for k in range(4))
-            for x, y, z, s in zip(v.tolist(), at.tolist(), n.tolist(), split.tolist(), strict=True):
-                if not s:
-                    for col, val in zip(out, (x, docs[i], rows[i], y, z, data[y : y + z + min_bytes - 1]), strict=True):
-                        col.append(val)
-            if split.any():
-                spots = np.concatenate([np.arange(y, y + z) for y, z in zip(at[split].tolist(), n[split].tolist(), strict=True)])
-                raw = np.frombuffer(data, np.uint8)
-                two = [_window_hashes(raw, spots, min_bytes, salt).view(np.int64) for salt in (1, 2)]
-                one = np.ones(len(spots), np.int64)
-                for rb in held.add([*two, one * docs[i], one * rows[i], spots, one, 0 * one]):
-                    yield windows(rb)
-        if out[0]:
-            m = len(out[0])
-            zero = np.zeros(m, np.int64)
-            rb = _table(EDGE, [np.array(out[0], np.int64), zero, *[np.array(x, np.int64) for x in out[1:5]], zero])
-            yield pa.RecordBatch.from_arrays([*rb.columns, pa.array(out[5], pa.binary())], [*rb.schema.names, "bytes"])
-    for rb in held.flush():
-        yield windows(rb)
+            at, n = segs.field("at"), segs.field("n")
+            cut = [data[y : y + z + min_bytes - 1] for y, z in zip(at.to_pylist(), n.to_pylist(), strict=True)]
+            same = [pa.array(np.full(len(segs), x[i])) for x in (docs, rows)]
+            yield pa.RecordBatch.from_arrays([segs.field("v"), *same, at, n, segs.field("split"), pa.array(cut, pa.binary())], ["v", "doc", "row", "at", "n", "split", "bytes"])
+    tk.trim()
+
+
+def _cut_again(batches: Iterator[pa.RecordBatch], min_bytes: int, gram: int) -> Iterator[pa.RecordBatch]:
+    """(v, doc, row, at, n, bytes) of anchors of too much text to folded segments of longer runs, with their bytes. Runs as long as windows: each window is a
+    segment, which has one content."""
+    held = _Folder(gram < min_bytes)
+    for batch in batches:
+        doc, row, at, n = (batch[i].to_numpy(zero_copy_only=False) for i in range(1, 5))
+        for a, b in tk.pieces(batch[5], 1 << 18):
+            data, offsets = tk.buffers(batch[5].slice(a, b - a))
+            if gram < min_bytes:
+                v, c, of, off, count, itself = segments(data, offsets, min_bytes, gram)
+                raw = data.tobytes()
+                cut = [raw[x : x + m + min_bytes - 1] for x, m in zip((off + offsets[of]).tolist(), count.tolist(), strict=True)]
+            else:
+                size = n[a:b]
+                of, count = np.repeat(np.arange(b - a), size), np.ones(int(size.sum()), np.int64)
+                off = np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size)
+                v, c = (_window_hashes(data, off + offsets[of], min_bytes, salt) for salt in (1, 2))
+                itself, cut = np.zeros(len(of), bool), None
+            yield from held.add([v.view(np.int64), c.view(np.int64), doc[a:b][of], row[a:b][of], off + at[a:b][of], count, itself.astype(np.int32) * SELF], cut)
+    yield from held.flush()
     tk.trim()
 
 
@@ -374,7 +386,7 @@ def _compare(batches: Iterator[pa.RecordBatch], min_bytes: int) -> Iterator[pa.R
     tk.trim()
 
 
-def repeated_spans(docs: DataFrame, min_bytes: int = MIN_BYTES, gram: int = GRAM, max_broadcast_mb: int = 64) -> DataFrame:
+def repeated_spans(docs: DataFrame, min_bytes: int = MIN_BYTES, max_broadcast_mb: int = 64) -> DataFrame:
     """``(doc, row, at, len, repeat, first)``: occurrences of repeated strings of at least ``min_bytes`` bytes.
 
     ``doc`` is doc_id (NO_DOC for null), ``row`` the hash of the text, ``repeat`` names the repeat. Each occurrence that is not the first of its repeat is
@@ -382,17 +394,30 @@ def repeated_spans(docs: DataFrame, min_bytes: int = MIN_BYTES, gram: int = GRAM
     lie in rows that are not ``first``.
     """
     n = partitions_for(docs)
+    keys = ["v", "doc", "row", "at", "n"]
     src = docs.select("doc_id", text_key("text").alias("row"), "text")
-    cut = materialize(src.mapInArrow(lambda it: _cut_segments(it, min_bytes, gram), _ROWS), "segments")
+    grams = [int(x * min_bytes) for x in GRAMS]
+    cut = materialize(src.mapInArrow(lambda it: _cut_segments(it, min_bytes, grams[0]), _ROWS), "segments")
     removed, several = _settled(cut.filter(F.col("kind") == SEGMENT).select(*_COLS), n, min_bytes)
     removed = cut.filter(F.col("kind") == REMOVED).select(*_COLS).unionByName(removed)
     wanted = materialize(several.groupBy("doc", "row").agg(F.collect_list(F.struct("v", "at", "n", "split")).alias("segs")), "segments-wanted")
     found = _with_docs(docs, wanted, max_broadcast_mb).filter("segs IS NOT NULL").select("doc", "row", "text", "segs")
-    texts = materialize(found.mapInArrow(lambda it: _texts(it, min_bytes), _ROWS + ", bytes binary"), "segment-texts")
-    short = texts.filter(F.col("kind") == EDGE).select("v", "doc", "row", "at", "n", "bytes")
+    texts = materialize(found.mapInArrow(lambda it: _texts(it, min_bytes), "v long, doc long, row long, at int, n int, split boolean, bytes binary"), "segment-texts")
+    short, long = texts.filter("NOT split").select(*keys, "bytes"), texts.filter("split").select(*keys, "bytes")
+    for gram in [*grams[1:], min_bytes]:
+        if not long.limit(1).count():
+            break
+        again = materialize(long.mapInArrow(lambda it, gram=gram: _cut_again(it, min_bytes, gram), _ROWS + (", bytes binary" if gram < min_bytes else "")), "segments-again")
+        more, several = _settled(again.filter(F.col("kind") == SEGMENT).select(*_COLS), n, min_bytes)
+        removed = removed.unionByName(again.filter(F.col("kind") == REMOVED).select(*_COLS)).unionByName(more)
+        if gram == min_bytes:
+            break
+        # A place may be there twice, if its row is.
+        held = again.filter(F.col("kind") == SEGMENT).select(*keys, "c", "bytes")
+        texts = materialize(held.join(several.select(*keys, "c", "split").distinct(), [*keys, "c"]), "segment-texts")
+        short = short.unionByName(texts.filter("NOT split").select(*keys, "bytes"))
+        long = texts.filter("split").select(*keys, "bytes")
     trees = short.repartition(n, "v").sortWithinPartitions("v", "doc", "row", "at").mapInArrow(lambda it: _compare(it, min_bytes), _SPANS)
-    removed2, _ = _settled(texts.filter(F.col("kind") == SEGMENT).select(*_COLS), n, min_bytes)
-    removed = removed.unionByName(texts.filter(F.col("kind") == REMOVED).select(*_COLS)).unionByName(removed2)
     whole = removed.select("doc", "row", "at", (F.col("n") + min_bytes - 1).cast("int").alias("len"), F.col("c").alias("repeat"), F.lit(False).alias("first"))
     return trees.unionByName(whole)
 
