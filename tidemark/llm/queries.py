@@ -161,8 +161,7 @@ def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: A source stays at its cap once it is above, so after as many rounds as there are sources nothing changes; each round shares what is left by weight.
 MIX_TARGETS_SQL = r"""
 WITH RECURSIVE s AS (
-  SELECT source, sum(len(regexp_extract_all(coalesce(text, ''), '[^ 	-
-]+')))::BIGINT AS n FROM documents GROUP BY source
+  SELECT source, sum(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')))::BIGINT AS n FROM documents GROUP BY source
 ), w AS (
   SELECT source, n, [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::BIGINT]::DOUBLE AS weight FROM s
 ), t AS (
