@@ -9,14 +9,12 @@ from tidemark.llm import tokens as K
 
 from .util import DOC, frame, words
 
-ODD = [None, "", " ", "  ", "\n", "tail ", "  two", " lead  x", "a  b   c \n d\n\n e  ", "x\n y", "<|endoftext|> a <|endoftext|>", "é è\u00a0x \u2003 y", "a\tb \t c", "😀 😀  z"]
+ODD = [None, "", " ", "  ", "\n", "tail ", "  two", " lead  x", "a  b   c \n d\n\n e  ", "x\n y", "<|endoftext|> a <|endoftext|>", "a <|endoftext|> b", "x<|endoftext|>y  z", "é è\u00a0x \u2003 y", "a\tb \t c", "😀 😀  z"]
 
 
 @pytest.fixture(scope="module")
 def tok():
-    t = Tokenizer.from_file(K.default_tokenizer())
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(K.default_tokenizer())
 
 
 def test_encode_equals_the_library(tok):

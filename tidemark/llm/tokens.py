@@ -14,6 +14,7 @@ a row; null doc_ids come first; an empty table gives no files and no rows; other
 
 from __future__ import annotations
 
+import re
 import uuid
 import zlib
 from array import array
@@ -41,7 +42,8 @@ class _Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
         size = self.tok.get_vocab_size()
         self.dtype = "<u2" if size <= 1 << 16 else "<u4"
         self.width = np.dtype(self.dtype).itemsize
@@ -84,10 +86,11 @@ def encode(texts: list[str | None], path: str) -> list[bytes]:
 
     Byte-level BPE never merges across pre-tokens, and a single space before a non-space always starts one. So a text
     is cut at its spaces and each distinct chunk, with its space, goes through the tokenizer once. A text with a space
-    before white space or at its end is encoded as it is, and so is the part of any text before its first space.
+    before white space or at its end is encoded as it is, and so is one that holds a token added to the vocabulary, and the part of any text before its first
+    space.
     """
     enc = encoder(path)
-    cuts = [t.split(" ") if t else [""] for t in texts]
+    cuts = [t.split(" ") if t and not (enc.added and enc.added.search(t)) else [t or ""] for t in texts]
     chunks: set[str] = set().union(*(c[1:] for c in cuts))
     odd = {c for c in chunks if not c or c[0].isspace()}
     enc.learn(chunks - odd)
