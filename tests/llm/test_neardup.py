@@ -144,3 +144,11 @@ def test_every_similar_pair_is_in_one_class(spark):
     links = C.components(spark.createDataFrame(similar, "a long, b long")).collect()
     joined = {r["node"]: r["root"] for r in links}
     assert len(set(class_of.values())) == len({joined.get(i, i) for i, _ in rows})
+
+
+def test_one_of_rows_equal_in_id_and_text_is_chosen_by_their_columns(spark):
+    """The order in which rows come does not matter."""
+    text = words(77, 40)
+    rows = [(1, text, f"s{i}", i) for i in range(12)]
+    got = {tuple(N.keep_one(frame(spark, rows[i:] + rows[:i]).repartition(3)).select("doc_id", "source", "row").collect()[0]) for i in range(0, 12, 5)}
+    assert len(got) == 1

@@ -387,14 +387,19 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, k: int = SH
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY, k: int = SHINGLE) -> DataFrame:
-    """``docs`` with one row of each class: that of the smallest doc_id (of equal rows, any one)."""
+    """``docs`` with one row of each class: that of the smallest doc_id (of rows equal in id and text, the one
+    whose columns have the smallest hash, so that a retry gives the same)."""
     found = materialize(near_duplicates(docs.select("doc_id", "text"), similarity, k), "near-duplicates")
-    doc, keep, n_rows, node = free_names(docs, "doc", "keep", "n_rows", "node")
+    doc, keep, n_rows, node, mark, least = free_names(docs, "doc", "keep", "n_rows", "node", "mark", "least")
     rows = found.groupBy("root", "doc_id", "node").agg(F.count("*").alias("rows"))
     stay = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node", "rows")).alias("r"))
     stay = materialize(stay.select(F.col("r.doc_id").alias(doc), F.col("r.node").alias(keep), F.col("r.rows").alias(n_rows)), "stay")
     kept = docs.withColumn(node, text_key("text")).join(broadcast_if_small(stay, MAX_PICKED), F.col("doc_id").eqNullSafe(F.col(doc)) & (F.col(node) == F.col(keep)))
     out = kept.filter(F.col(n_rows) == 1).select(*all_columns(docs))
     if stay.filter(F.col(n_rows) > 1).limit(1).count():
-        out = out.unionByName(kept.filter(F.col(n_rows) > 1).dropDuplicates([doc, keep]).select(*all_columns(docs)))
+        hashed = [c for c, (_, kind) in zip(all_columns(docs), docs.dtypes, strict=True) if "map<" not in kind]
+        same = kept.filter(F.col(n_rows) > 1).withColumn(mark, F.xxhash64(*hashed))
+        first = same.groupBy(F.col(keep).alias("__keep"), F.col(doc).alias("__doc")).agg(F.min(mark).alias(least))
+        one = same.join(first, (F.col(keep) == F.col("__keep")) & F.col(doc).eqNullSafe(F.col("__doc")) & (F.col(mark) == F.col(least)))
+        out = out.unionByName(one.dropDuplicates([doc, keep]).select(*all_columns(docs)))
     return out
