@@ -1,6 +1,9 @@
+import math
 import random
+from collections import Counter
 from difflib import SequenceMatcher
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import resolve as R
@@ -63,11 +66,11 @@ def mutate(s, rnd, n):
     return "".join(s)
 
 
-def test_bigram_candidates_lose_nothing(spark):
+def test_gram_candidates_lose_nothing(spark):
     rnd = random.Random(5)
     base = ["".join(rnd.choice("abcdefgh") for _ in range(rnd.randrange(1, 60))) for _ in range(80)]
     left, right = base + ["x"], [mutate(s, rnd, rnd.randrange(4)) for s in base] + ["x"]
-    got = {(r["sa"], r["sb"]) for r in similar.bigram_candidates(*(spark.createDataFrame([(s,) for s in side], "s string") for side in (left, right))).collect()}
+    got = {(r["sa"], r["sb"]) for r in similar.gram_candidates(*(spark.createDataFrame([(s,) for s in side], "s string") for side in (left, right))).collect()}
     want = {(a, b) for a in left for b in right if a and b and SequenceMatcher(None, a, b).ratio() >= 0.9}
     assert want and want <= got
     assert len(got) < len(left) * len(right) / 4
@@ -83,7 +86,7 @@ def test_similar_and_exists(spark):
     got = {r["id"]: (r["is_dup"], r["reason"], r["matched_id"]) for r in similar.exists_duplicate(new, hist).collect()}
     assert got == {10: (True, "url", 1), 11: (True, "title", 1), 12: (True, "body", 1), 13: (False, None, None), 14: (False, None, None)}
     assert {r["new_id"] for r in similar.similar_titles(new, hist, compat=True).collect()} == {11, 13}
-    lossless = similar.similar_bodies(new, hist.select("id", F.col("extracted_text").alias("text")), mode="bigram")
+    lossless = similar.similar_bodies(new, hist.select("id", F.col("extracted_text").alias("text")), mode="grams")
     assert {r["new_id"] for r in lossless.collect()} == {12}
     assert similar.known_urls(new, hist).count() == 1 and similar.append_new(new, hist).count() == 4
 
@@ -141,20 +144,74 @@ def test_first_matches_in_rounds(spark, monkeypatch):
     assert got == want and len(want) > 20
 
 
-def test_recall_of_bodies_at_the_ratio(spark):
-    """Pairs at a block-matching ratio of 0.9 or more, in letters and in Chinese characters, edited in places or all over: nine of ten at least are found."""
-    rnd = random.Random(4)
-    letters = lambda n: "".join(rnd.choice("etaoinshrdlucmfwypvbgkjqxz") for _ in range(n))
+def scripts(rnd):
+    """A writer of random text for each of three scripts: words of Latin letters, Chinese, and words of Cyrillic ones."""
+    def of(letters):
+        common = ["".join(rnd.choice(letters) for _ in range(rnd.randrange(2, 9))) for _ in range(600)]
+        return lambda n: "".join(rnd.choice(common) for _ in range(n))[:n]
+
+    return [of("etaoinshrdlucmfwypvbgkjqxz"), lambda n: chinese(rnd, n), of("оеаинтсрвлкмдпуяыьгзбчйхжшюцщэфъё")]
+
+
+@pytest.mark.parametrize("sizes", [(60, 80, 100, 110, 150, 200), (300, 700, 1500, 3000)])
+def test_bodies_equal_all_pairs_at_the_ratio(spark, sizes):
+    """From 60 to 3,000 characters, three scripts; edits all over, in one place, insertions and deletions, about the bound: exactly the pairs of brute force."""
+    rnd = random.Random(sizes[0])
     hist, new = [], []
-    for i in range(120):
-        t = letters(600) if i % 2 else chinese(rnd, 600)
-        n = rnd.randrange(1, 55)
-        spots = set(rnd.sample(range(len(t)), n) if i % 4 < 2 else range(300, 300 + n))
-        hist.append((i, t))
-        new.append((i, "".join((rnd.choice("xyz") if i % 2 else chinese(rnd, 1)) if k in spots else c for k, c in enumerate(t))))
+    for write in scripts(rnd):
+        for size in sizes:
+            for k in range(24 if size <= 300 else 8):
+                t = write(size)
+                n = round(size * rnd.choice([0.02, 0.06, 0.08, 0.095, 0.1, 0.105]))
+                spots = set(rnd.sample(range(size), n) if k % 4 != 3 else range(size // 2, size // 2 + n))
+                edit = {0: lambda c, w=write: w(1), 1: lambda c, w=write: c + w(1), 2: lambda c: "", 3: lambda c, w=write: w(1)}[k % 4]
+                hist.append((len(hist), t))
+                new.append((len(new), "".join(edit(c) if i in spots else c for i, c in enumerate(t))))
     true = {i for (i, a), (_, b) in zip(hist, new, strict=True) if SequenceMatcher(None, a, b).ratio() >= 0.9}
-    got = {r["new_id"] for r in similar.similar_bodies(*(spark.createDataFrame(x, "id long, text string") for x in (new, hist))).collect()}
-    assert got <= true and len(true) > 50 and len(got) >= 0.9 * len(true), (len(got), len(true))
+    got = {(r["new_id"], r["matched_id"]) for r in similar.similar_bodies(*(spark.createDataFrame(x, "id long, text string") for x in (new, hist))).collect()}
+    assert got == {(i, i) for i in true} and len(true) > 0.25 * len(new), (len(got), len(true))
+
+
+def compared(spark, monkeypatch, run, *frames):
+    """Pairs that are compared in a similarity join."""
+    made, true = [], similar._tested
+    monkeypatch.setattr(similar, "_tested", lambda pairs, *more: (made.append(pairs.count()), true(pairs, *more))[1])
+    run(*frames).count()
+    monkeypatch.setattr(similar, "_tested", true)
+    return sum(made)
+
+
+@pytest.mark.parametrize("n", [400, 4000])
+def test_common_phrases_cost_a_few_comparisons_each(spark, monkeypatch, n):
+    rnd = random.Random(n)
+    latin = scripts(rnd)[0]
+    phrase, block = latin(15), latin(800)
+    titles = [(i, phrase + "".join(rnd.choice("etaoinshrdlucmfwypvbgkjqxz") for _ in range(30))) for i in range(n)]
+    frames = [spark.createDataFrame(titles[k::2], "id long, title string") for k in (0, 1)]
+    # Of 28 runs of its own a title has in common with others what letters have by chance, and each is looked up in TITLE_LIMIT titles at most.
+    assert compared(spark, monkeypatch, similar.similar_titles, *frames) < 40 * n
+    bodies = [(i, block + latin(900)) for i in range(n)]
+    frames = [spark.createDataFrame(bodies[k::2], "id long, text string") for k in (0, 1)]
+    assert compared(spark, monkeypatch, similar.similar_bodies, *frames) < 5 * n
+
+
+def test_overlapping_strings_equal_all_pairs(spark):
+    rnd = random.Random(12)
+    base = ["".join(rnd.choice("abcd") for _ in range(rnd.randrange(1, 40))) for _ in range(30)]
+    texts = sorted({mutate(rnd.choice(base), rnd, rnd.randrange(6)) for _ in range(250)} | {"a", "aa", "aaa", "ab", "abc", "abcabcabc", "aaaaaaaaaa"})
+
+    def grams(s):
+        return Counter(s[i : i + 3] for i in range(len(s) - 2))
+
+    want = set()
+    for x in texts:
+        for y in texts:
+            n = max(len(x), len(y))
+            shared = sum((grams(x) & grams(y)).values())
+            if x != y and shared and min(len(x), len(y)) >= 0.818 * n and shared >= math.ceil(0.25 * (len(x) + len(y)) - 2 - 1e-9):
+                want.add((x, y, shared))
+    df = spark.createDataFrame([(x,) for x in texts], "s string")
+    assert {tuple(r) for r in similar.overlapping_strings(df, df).collect()} == want and len(want) > 300
 
 
 def test_rules(spark):

@@ -461,7 +461,20 @@ def _(spark, d):
 @query("j8_candidates")
 def _(spark, d):
     p = _pages(spark, d).select("page_id", text.norm_text(html.page_title("html", F.lit(""))).alias("s"))
-    return similar.bigram_candidates(p.filter("page_id % 2 = 0"), p.filter("page_id % 2 = 1"))
+    return similar.gram_candidates(p.filter("page_id % 2 = 0"), p.filter("page_id % 2 = 1"))
+
+
+@query(
+    "j8_overlapping_titles",
+    f"""WITH {_PAGE_TITLES}, x AS (SELECT DISTINCT {sql.norm_text('title')} AS s FROM titled), y AS (SELECT s FROM x WHERE length(s) > 0),
+g AS (SELECT s, substr(s, i::BIGINT, 3) AS g FROM (SELECT s, unnest(range(1, length(s) - 1)) AS i FROM y)),
+t AS (SELECT s, g, row_number() OVER (PARTITION BY s, g) AS k FROM g)
+SELECT sa, sb, shared FROM (SELECT a.s AS sa, b.s AS sb, count(*)::INT AS shared FROM t a JOIN t b ON a.g = b.g AND a.k = b.k AND a.s <> b.s GROUP BY a.s, b.s)
+WHERE least(length(sa), length(sb)) >= 0.818 * greatest(length(sa), length(sb)) AND shared >= greatest(1, ceil(0.25 * (length(sa) + length(sb)) - 2 - 1e-9))""",
+)
+def _(spark, d):
+    titles = _pages(spark, d).select(text.norm_text(html.page_title("html", F.lit(""))).alias("s"))
+    return similar.overlapping_strings(titles, titles)
 
 
 @query("j4_exists_duplicate")
