@@ -1,9 +1,11 @@
+import random
 from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import hits as H
+from tidemark.operators import rules
 
 HIT = "query string, query_ord int, tool string, tool_rank int, scope_rank int, pos int, title string, url string, snippet string, published_at timestamp"
 
@@ -113,5 +115,45 @@ def test_long_lists_go_in_blocks(spark, monkeypatch):
     met = sorted((r["query_ord"], r["id"]) for r in H.keyword_hits(asked, corpus).collect())
     monkeypatch.setattr(H, "MAX_LIST", 4)
     assert sorted(r["pos"] for r in H.host_blocklist(src, "url", listed).collect()) == keep == [i for i in range(30) if not any(f"h{j}.com" in f"h{i}.com" for j in range(0, 30, 2))]
-    monkeypatch.setattr(H, "FEW_QUERIES", 0)
+    monkeypatch.setattr(H, "MAX_PATTERNS", 3)
     assert sorted((r["query_ord"], r["id"]) for r in H.keyword_hits(asked, corpus).collect()) == met
+
+
+@pytest.mark.parametrize("n", [10, 3_000, 30_000])
+def test_many_patterns_in_one_walk(spark, n):
+    """Keyword queries, host lists and rules of any number give what trying each would; terms inside others, repeated, with wild characters, and empty ones."""
+    rnd = random.Random(n)
+    word = lambda: "".join(rnd.choice("abcé%.*") for _ in range(rnd.randrange(1, 9)))
+    texts = [(i, " ".join(word() for _ in range(rnd.randrange(25)))) for i in range(60)] + [(98, None), (99, "")]
+    asked = [(i, " ".join(word() for _ in range(rnd.randrange(1, 3))).upper()) for i in range(n)] + [(n, "  "), (n + 1, "a"), (n + 1, "a")]
+    corpus = spark.createDataFrame(texts, "id long, text string")
+    got = sorted((r["query_ord"], r["id"]) for r in H.keyword_hits(spark.createDataFrame(asked, "ord int, value string"), corpus).collect())
+    need = {o: set(v.lower().split()) for o, v in asked}
+    assert got == sorted((o, i) for o, ts in need.items() if ts for i, t in texts if all(x in (t or "") for x in ts))
+    listed = [f"{word()}.x" for _ in range(n)]
+    urls = spark.createDataFrame([(i, f"http://{(t or 'q').replace(' ', '').replace('%', '')}.x.y/p") for i, t in texts], "id long, url string")
+    kept = {r["id"] for r in H.host_blocklist(urls, "url", spark.createDataFrame([(x,) for x in listed], "value string")).collect()}
+    hosts = {r["id"]: r["h"] for r in urls.select("id", H.block_text("url").alias("h")).collect()}
+    assert kept == {i for i, h in hosts.items() if not any(x in h for x in listed)}
+
+
+def test_rules_in_blocks(spark, monkeypatch):
+    rnd = random.Random(4)
+    word = lambda: "".join(rnd.choice("abcd") for _ in range(rnd.randrange(2, 6)))
+    listed = [(f"r{i % 40}", ("any", "pair", "host")[i % 40 % 3], rnd.choice("ab"), word()) for i in range(200)] + [("n", "any", None, None)]
+    rows = [(i, word(), " ".join(word() for _ in range(12)), f"http://{word()}.{word()}/") for i in range(80)] + [(100, None, None, None)]
+    df = spark.createDataFrame(rows, "id long, title string, text string, url string")
+    want = {}
+    for i, t, x, u in rows:
+        body, host = f"{t or ''}\n{x or ''}".lower(), (u or "///")[7:].strip("/")
+        ids = set()
+        for r in {r for r, *_ in listed}:
+            mine = [(k, g, term) for q, k, g, term in listed if q == r and term]
+            hit = {g if k == "pair" else "x" for k, g, term in mine if term in (host if k == "host" else body)}
+            if "x" in hit or hit >= {"a", "b"}:
+                ids.add(r)
+        want[i] = sorted(ids)
+    for most in (100_000, 15):
+        monkeypatch.setattr(rules, "MAX_TERMS", most)
+        got = rules.rule_filter(df, spark.createDataFrame(listed, "rule_id string, kind string, group string, term string"))
+        assert {r["id"]: r["rule_ids"] for r in got.collect()} == want

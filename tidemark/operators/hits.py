@@ -6,12 +6,13 @@ columns, never by partitions.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
+from ..functions.patterns import MAX_PATTERNS, Patterns, contains_any, evaluate
 from ..functions.text import col, once, strip
 from ..functions.urls import canonical_url, norm_url, url_host
 from ..runtime import broadcast_if_small, broadcast_within, in_blocks, materialize
@@ -22,8 +23,6 @@ BLOCKED_HOSTS = ("baike.baidu.com", "wikipedia.org", "zh.wikipedia.org", "en.wik
 MAX_LIST = 100_000
 #: Size of a lookup table that is broadcast.
 MAX_LOOKUP_MB = 64
-#: Keyword queries that are cheaper to try on every row than to look up.
-FEW_QUERIES = 500
 HIT_ORDER = ("query_ord", "scope_rank", "pos")
 #: ``scope_rank`` of hits that no site list limits; those of a site have the site's place.
 GLOBAL = 1 << 20
@@ -50,12 +49,12 @@ def is_blocked(url: Column | str, domains: Sequence[str] = BLOCKED_HOSTS, suffix
 
 
 def host_blocklist(df: DataFrame, url: str = "url", domains: Sequence[str] | DataFrame = BLOCKED_HOSTS) -> DataFrame:
-    """Rows that are not blocked. A list of domains becomes an expression; a table ``(value)`` an anti join with its rows, broadcast in blocks of ``MAX_LIST``."""
+    """Rows that are not blocked. A list of domains becomes an expression; a table ``(value)`` is looked for in each host in one walk, in blocks of ``MAX_LIST``."""
     if not isinstance(domains, DataFrame):
         return df.filter(~is_blocked(url, domains))
     hosted = df.withColumn("__host", block_text(url)).filter(strip(F.coalesce(F.col(url), F.lit(""))) != "")
-    for block in in_blocks(domains.select(F.col("value").alias("__domain")), "__domain", MAX_LIST):
-        hosted = hosted.join(F.broadcast(block), F.contains("__host", "__domain"), "left_anti")
+    for block in in_blocks(domains.select("value").filter("value IS NOT NULL").distinct(), "value", MAX_LIST):
+        hosted = hosted.filter(~contains_any(df.sparkSession, F.col("__host"), [r["value"] for r in block.collect()]))
     return hosted.drop("__host")
 
 
@@ -163,39 +162,48 @@ def assert_covered(queries: DataFrame, hits: DataFrame, report: bool = False) ->
     return bare
 
 
-def _trigrams(text: Column) -> Column:
-    """Hashes of the distinct runs of three characters."""
-
-    def cut(cs: Column) -> Column:
-        spots = F.when(F.size(cs) >= 3, F.sequence(F.lit(0), F.size(cs) - 3)).otherwise(F.array().cast("array<int>"))
-        return F.array_distinct(F.transform(spots, lambda i: F.xxhash64(*[F.get(cs, i + k) for k in range(3)])))
-
-    return once(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)), cut)
-
-
 def keyword_hits(queries: DataFrame, corpus: DataFrame, text: str = "text") -> DataFrame:
     """``corpus`` rows that hold all space-separated terms of a query ``(ord, value)``, case-insensitively.
 
-    A query is looked up by the rarest in the corpus of its terms' runs of three characters, and only the rows that have it are searched for the terms.
-    Queries with short terms alone have none and are tried on every row, in blocks, as are all if there are no more than ``FEW_QUERIES``.
+    One walk over each text finds all terms of all queries in it, or of a block of ``MAX_LIST`` queries; a query is looked at where its longest term is found.
     """
+    spark = corpus.sparkSession
     terms = F.filter(F.split(F.lower("value"), " "), lambda t: t != "")
-    q = queries.select(F.col("ord").alias("query_ord"), F.col("value").alias("query"), terms.alias("__terms")).filter(F.size("__terms") > 0).distinct()
-    q = materialize(q.withColumn("__runs", F.array_distinct(F.flatten(F.transform("__terms", _trigrams)))), "keywords")
-    low = corpus.withColumn("__low", F.lower(F.coalesce(F.col(text), F.lit(""))))
-    holds = F.forall("__terms", lambda t: F.contains("__low", t))
-    few = q.limit(FEW_QUERIES + 1).count() <= FEW_QUERIES
-    short = q.filter(F.lit(few) | (F.size("__runs") == 0)).drop("__runs")
-    found = [low.join(F.broadcast(b), holds) for b in in_blocks(short, "query", MAX_LIST)] if short.limit(1).count() else []
-    runs = q.filter(F.size("__runs") > 0).select("query_ord", "query", F.explode("__runs").alias("__run"))
-    for block in [] if few else in_blocks(q.filter(F.size("__runs") > 0), "query", MAX_LIST):
-        mine = runs.join(block.select("query_ord", "query"), ["query_ord", "query"])
-        wanted = mine.select("__run").distinct()
-        seen = low.select(F.explode(_trigrams(F.col("__low"))).alias("__run")).join(F.broadcast(wanted), "__run").groupBy("__run").agg(F.count("*").alias("n"))
-        first = mine.join(seen, "__run", "left").groupBy("query_ord", "query").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "__run")).alias("r"))
-        keyed = materialize(first.filter("r.n > 0").select("query_ord", "query", F.col("r.__run").alias("__run")).join(block.drop("__runs"), ["query_ord", "query"]), "keyword-runs")
-        found.append(low.withColumn("__run", F.explode(_trigrams(F.col("__low")))).join(F.broadcast(keyed), "__run").filter(holds).drop("__run"))
-    return reduce(DataFrame.unionByName, found).drop("__low", "__terms") if found else low.join(q.drop("__runs").limit(0), holds).drop("__low", "__terms")
+    q = queries.select(F.col("ord").alias("query_ord"), F.col("value").alias("query"), F.array_distinct(terms).alias("terms")).filter(F.size("terms") > 0).distinct()
+    q = materialize(q.withColumn("id", F.xxhash64("query_ord", "query")), "keywords")
+    low = F.lower(F.coalesce(F.col(text), F.lit("")))
+    found = []
+    for block in in_blocks(q, "id", MAX_LIST):
+        # At most about MAX_LIST rows, and no more terms than an automaton takes.
+        rows = block.select("id", "terms").collect()
+        for part in _bounded(rows, MAX_PATTERNS):
+            known = {t: i for i, t in enumerate(sorted({t for r in part for t in r["terms"]}))}
+            by: dict[int, list[tuple[int, tuple[int, ...]]]] = {}
+            for r in part:
+                first = max(r["terms"], key=len)
+                by.setdefault(known[first], []).append((r["id"], tuple(known[t] for t in r["terms"] if t != first)))
+
+            def held(seen: set[int], by: dict[int, list[tuple[int, tuple[int, ...]]]] = by) -> list[int]:
+                return [i for t in seen for i, rest in by.get(t, ()) if seen.issuperset(rest)]
+
+            which = evaluate([Patterns(spark, list(known))], [low], held, "array<long>")
+            found.append(corpus.withColumn("__query", F.explode(which)))
+    named = broadcast_within(q.select(F.col("id").alias("__query"), "query_ord", "query"), MAX_LOOKUP_MB)
+    every = reduce(DataFrame.unionByName, found) if found else corpus.withColumn("__query", F.lit(None).cast("long")).limit(0)
+    return every.join(named, "__query").drop("__query")
+
+
+def _bounded(rows: list[Row], most: int) -> Iterator[list[Row]]:
+    """``rows`` in parts of ``most`` terms at most, or one row."""
+    part, n = [], 0
+    for r in rows:
+        if part and n + len(r["terms"]) > most:
+            yield part
+            part, n = [], 0
+        part.append(r)
+        n += len(r["terms"])
+    if part:
+        yield part
 
 
 def resolve_alias(hits: DataFrame, alias: DataFrame, host: str = "news.google.com", url: str = "url") -> DataFrame:

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
+from ..functions.patterns import Patterns, evaluate
 from ..functions.urls import url_host
+from ..runtime import in_blocks, materialize
 
-#: Rules that become one expression; a longer table is refused rather than sent to every task.
-MAX_RULES = 10_000
+#: Terms of rules that are looked for in one walk over a text.
+MAX_TERMS = 100_000
+KINDS = ("host", "any", "pair")
 
 
 def rule_filter(df: DataFrame, rules: DataFrame, title: str = "title", text: str = "text", url: str = "url") -> DataFrame:
@@ -16,31 +19,36 @@ def rule_filter(df: DataFrame, rules: DataFrame, title: str = "title", text: str
 
     ``rules`` is ``(rule_id, kind, group, term)``: ``host`` holds if the host contains any of its terms, ``any`` if the lower-cased
     title and text contain any, ``pair`` if they contain one of group ``a`` and one of group ``b``. No rules ship with this library.
+
+    All terms are found in one walk over a text, in blocks of rules of about ``MAX_TERMS`` terms. Null terms are in no text, empty ones in every text.
     """
-    rows = rules.limit(MAX_RULES + 1).collect()
-    if len(rows) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} rules")
-    by: dict[tuple[str, str], dict[str, list[str]]] = {}
-    for r in rows:
-        by.setdefault((r["rule_id"], r["kind"]), {}).setdefault(r["group"] or "", []).append(r["term"])
-    host = url_host(url)
-    body = F.col("__body")
-
-    def some(where: Column, terms: list[str], lower: bool = True) -> Column:
-        return F.exists(F.array(*[F.lit(t.lower() if lower else t) for t in terms]), lambda t: F.contains(where, t))
-
-    tests = []
-    for (rule_id, kind), groups in sorted(by.items()):
-        every = [t for ts in groups.values() for t in ts]
-        if kind == "host":
-            test = some(host, every)
-        elif kind == "any":
-            test = some(body, every)
-        elif kind == "pair":
-            test = some(body, groups.get("a", [])) & some(body, groups.get("b", [])) if groups.get("a") and groups.get("b") else F.lit(False)
-        else:
-            raise ValueError(f"unknown kind of rule: {kind}")
-        tests.append(F.when(test, F.lit(rule_id)))
+    spark = df.sparkSession
+    known = materialize(rules.select("rule_id", "kind", "group", "term").distinct(), "rules")
+    odd = known.filter(~F.coalesce(F.col("kind").isin(*KINDS), F.lit(False))).limit(1).collect()
+    if odd:
+        raise ValueError(f"unknown kind of rule: {odd[0]['kind']}")
     low = F.lower(F.concat(F.coalesce(F.col(title), F.lit("")), F.lit("\n"), F.coalesce(F.col(text), F.lit(""))))
-    ids = F.array_compact(F.array(*tests)) if tests else F.array().cast("array<string>")
-    return df.withColumn("__body", low).withColumn("rule_ids", F.array_sort(F.array_distinct(ids))).withColumn("flagged", F.size("rule_ids") > 0).drop("__body")
+    # A rule's terms lie in one block; a block holds MAX_TERMS rows or so.
+    held = [_holding(spark, block.collect()) for block in in_blocks(known, "rule_id", MAX_TERMS)]
+    ids = [evaluate(patterns, [url_host(url), F.col("__body")], rule, "array<string>") for patterns, rule in held]
+    out = df.withColumn("__body", low).withColumn("rule_ids", F.array_sort(F.array_distinct(F.flatten(F.array(*ids)))))
+    return out.withColumn("flagged", F.size("rule_ids") > 0).drop("__body")
+
+
+def _holding(spark, rows: list[Row]) -> tuple[list[Patterns], object]:
+    """The terms for hosts and for texts, and the function from the places found in each to the rules that hold."""
+    hosts = [(r["rule_id"], r["term"]) for r in rows if r["kind"] == "host" and r["term"] is not None]
+    texts = [(r["rule_id"], r["kind"], r["group"], r["term"].lower()) for r in rows if r["kind"] != "host" and r["term"] is not None]
+
+    def rule(on_host: set[int], in_text: set[int]) -> list[str]:
+        out = {hosts[i][0] for i in on_host}
+        sides: dict[str, set[str]] = {}
+        for i in in_text:
+            rule_id, kind, group, _ = texts[i]
+            if kind == "any":
+                out.add(rule_id)
+            else:
+                sides.setdefault(rule_id, set()).add(group)
+        return sorted(out | {r for r, groups in sides.items() if groups >= {"a", "b"}})
+
+    return [Patterns(spark, [t for _, t in hosts]), Patterns(spark, [t for *_, t in texts])], rule

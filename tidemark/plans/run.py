@@ -37,7 +37,9 @@ def collect_candidates(hits: DataFrame, queries: DataFrame | None, params: Param
     source with rows per query, every query covered, first hit per canonical URL, age, cap."""
     full = require(hits, ["title", "url"])
     known = full if alias is None else resolve_alias(full, alias)
-    chosen = from_first_source(site_then_global(known, params.max_results, params.blocked))
+    # Written once: the first source of a query and the check below look at all of it again.
+    listed = materialize(site_then_global(known, params.max_results, params.blocked), "hits-of-calls")
+    chosen = from_first_source(listed)
     if queries is not None:
         assert_covered(queries, chosen)
     fresh = filter_by_age(unique_candidates(chosen), "published_at", params.max_hours, params.as_of)
@@ -101,7 +103,7 @@ class Run:
 
 
 def run_batch(hits: DataFrame, pages: DataFrame, history: DataFrame, rules: DataFrame, params: Params, queries: DataFrame | None = None, answers: DataFrame | None = None, covers: DataFrame | None = None, alias: DataFrame | None = None, fails: Callable[[DataFrame], DataFrame] | None = None) -> Run:
-    """One run. The history is read once; nothing is written here but intermediates. ``fails`` gives the ids of drafts that fail."""
+    """One run. The history is read for URLs, titles and bodies; nothing is written here but intermediates. ``fails`` gives the ids of drafts that fail."""
     spark = hits.sparkSession
     articles = materialize(extract_articles(pages, collect_candidates(hits, queries, params, alias)), "articles")
     answers = spark.createDataFrame([], "id string, content string") if answers is None else answers
