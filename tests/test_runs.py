@@ -1,5 +1,6 @@
 import json
-from datetime import datetime
+import os
+from datetime import datetime, timezone
 
 import pytest
 from pyspark.sql import functions as F
@@ -148,3 +149,51 @@ def test_stream_dedupe(spark, tmp_path):
     out = f"file://{tmp_path}/out"
     X.dedupe_stream(stream).writeStream.format("parquet").option("path", out).option("checkpointLocation", f"file://{tmp_path}/cp").trigger(availableNow=True).start().awaitTermination()
     assert sorted(r["canonical_url"] for r in spark.read.parquet(out).collect()) == ["http://a", "http://b"]
+
+
+def batches(spark, tmp_path, schema, *parts):
+    """A stream whose batches are ``parts``, in this order."""
+    for i, rows in enumerate(parts):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
+        for f in (tmp_path / "in").glob("part-*"):
+            if not (tmp_path / "seen" / f.name).exists():
+                (tmp_path / "seen").mkdir(exist_ok=True)
+                (tmp_path / "seen" / f.name).touch()
+                os.utime(f, (1_700_000_000 + 100 * i,) * 2)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/in")
+
+
+def emitted(spark, tmp_path, frame, schema):
+    frame.writeStream.format("parquet").option("path", f"file://{tmp_path}/out").option("checkpointLocation", f"file://{tmp_path}/cp").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(schema).parquet(f"file://{tmp_path}/out").collect()
+
+
+def test_first_in_order_replaces_rows_until_the_watermark_passes(spark, tmp_path):
+    """An earlier row of the list that arrives later wins; a late row goes; an expired key starts anew; open keys are not emitted."""
+    at = lambda day, hour: datetime(2024, 1, day, hour, tzinfo=timezone.utc)
+    schema = "url string, published_at timestamp, pos int"
+    stream = batches(
+        spark, tmp_path, schema,
+        [("http://a.x/?utm_source=1", at(1, 10), 5), ("http://b.x", at(1, 10), 1), ("http://b.x/", at(1, 11), 3)],
+        [("http://a.x", at(1, 12), 2), ("http://c.x", at(1, 9), 9)],
+        [("http://d.x", at(3, 10), 1)],
+        [("http://c.x", at(1, 8), 0), ("http://a.x", at(3, 11), 7)],
+        [("http://e.x", at(6, 10), 4)],
+    )
+    got = emitted(spark, tmp_path, X.first_in_order(stream, ["pos"]), schema + ", canonical_url string")
+    assert sorted((r["canonical_url"], r["pos"]) for r in got) == [("http://a.x", 2), ("http://a.x", 7), ("http://b.x", 1), ("http://c.x", 9), ("http://d.x", 1)]
+
+
+def test_slots_of_any_spacing_on_a_stream(spark, tmp_path):
+    at = lambda day, hour: datetime(2024, 1, day, hour, tzinfo=timezone.utc)
+    stream = batches(
+        spark, tmp_path, "ts timestamp",
+        [(at(1, 7),), (at(1, 10),), (at(1, 20),)],
+        [(at(1, 8),), (at(1, 12),), (at(2, 1),), (at(2, 7),)],
+        [(at(4, 10),)],
+        [(at(1, 7),), (at(4, 11),)],
+        [(at(9, 1),)],
+    )
+    got = emitted(spark, tmp_path, X.slot_counts_stream(stream, hours=(6, 9, 19)), "slot timestamp, n long")
+    by = {r["slot"].replace(tzinfo=None): r["n"] for r in got}
+    assert len(by) == len(got) and by == {datetime(2024, 1, 1, 6): 2, datetime(2024, 1, 1, 9): 2, datetime(2024, 1, 1, 19): 2, datetime(2024, 1, 2, 6): 1, datetime(2024, 1, 4, 9): 2}

@@ -20,6 +20,8 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 AS_OF = "2024-01-15 00:00:00"
+#: Seconds at which the events start, and a third of their span.
+_START, _THIRD = 1_704_067_200, 864_000
 
 
 def _as_of():
@@ -698,6 +700,38 @@ def _(spark, d):
     return incremental.slot_counts(e).withColumn("slot", F.col("slot").cast("timestamp_ntz"))
 
 
+def _in_parts(rows: DataFrame, spark: SparkSession, tag: str) -> DataFrame:
+    """``rows`` (with ``part``) as a stream of three files, each a batch, and a last row far ahead, at which all that is open ends."""
+    path = new_path(spark, tag)
+    last = rows.limit(1).withColumn("ts", F.col("ts") + F.expr("INTERVAL 3000 DAYS")).withColumn("event_id", F.lit(-1).cast("long")).withColumn("user_id", F.lit(-1).cast("long"))
+    for part in range(3):
+        rows.filter(F.col("part") == part).drop("part").coalesce(1).write.mode("append").parquet(path)
+    last.drop("part").coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.drop("part").schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+@query("x2_first_in_order", "SELECT 'http://u.example/' || user_id AS canonical_url, arg_min(event_type, event_id % 1000 * 1000000000 + event_id) AS event_type, arg_min(event_id, event_id % 1000 * 1000000000 + event_id) AS event_id FROM events GROUP BY user_id")
+def _(spark, d):
+    """Events in three batches, the user's page as URL; of each the first in an order that is not that of arrival."""
+    out, mark = new_path(spark, "x2o-out"), new_path(spark, "x2o-checkpoint")
+    e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")).select("event_id", "user_id", "event_type", "ts", (F.col("event_id") % 3).alias("part"))
+    stream = _in_parts(e, spark, "x2o-in").select(F.concat(F.lit("http://u.example/"), F.col("user_id").cast("string")).alias("url"), "ts", (F.col("event_id") % 1000).alias("ord"), "event_id", "event_type")
+    first = incremental.first_in_order(stream, ["ord", "event_id"], ts="ts", delay="400 days")
+    first.writeStream.format("parquet").option("path", out).option("checkpointLocation", mark).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("canonical_url string, event_type string, event_id long").parquet(out)
+
+
+@query("x3_slot_stream", "SELECT CASE WHEN hour(ts) >= 19 THEN date_trunc('day', ts) + INTERVAL 19 HOUR WHEN hour(ts) >= 9 THEN date_trunc('day', ts) + INTERVAL 9 HOUR WHEN hour(ts) >= 6 THEN date_trunc('day', ts) + INTERVAL 6 HOUR ELSE date_trunc('day', ts) - INTERVAL 5 HOUR END AS slot, count(*) AS n FROM events GROUP BY 1")
+def _(spark, d):
+    """Slots of three lengths, counted on a stream of three batches in append mode."""
+    out, mark = new_path(spark, "x3-out"), new_path(spark, "x3-checkpoint")
+    e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")).select("event_id", "user_id", "ts")
+    ranked = e.withColumn("part", F.least(F.floor((F.unix_timestamp("ts") - F.lit(_START)) / F.lit(_THIRD)), F.lit(2)))
+    counts = incremental.slot_counts_stream(_in_parts(ranked, spark, "x3-in"), hours=(6, 9, 19))
+    counts.writeStream.format("parquet").option("path", out).option("checkpointLocation", mark).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("slot timestamp, n long").parquet(out).withColumn("slot", F.col("slot").cast("timestamp_ntz"))
+
+
 @query("s4_s5_history_round_trip", f"WITH {HITS}, {sql.canonical('hits', 'page_id, title, url', 'url')} SELECT sha256(canonical) AS id, title, url AS source_url FROM canon")
 def _(spark, d):
     path = new_path(spark, "history")

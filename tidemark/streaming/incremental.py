@@ -2,32 +2,37 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import pickle
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import replace
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.urls import canonical_url
 from ..plans.run import Params, publish, run_batch
+from ..runtime import scratch
 from ..sources.store import read_history
 
 
 def start_incremental(hits: DataFrame, pages: DataFrame, rules: DataFrame, history_path: str, checkpoint: str, params: Params, on_stats: Callable[[int, DataFrame], None] | None = None) -> StreamingQuery:
     """Run over what is new in the stream ``hits`` and append to the history; ends when the input is used up.
 
-    A batch that is tried again does not see its own first try: it reads the history without its batch id and then replaces that
+    What a batch writes besides goes at its end; ``on_stats`` has to read what it keeps. A batch that is tried again does not see its own first try: it reads the history without its batch id and then replaces that
     partition.
     """
 
     def one(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         history = read_history(spark, history_path).filter((F.col("batch_id") != batch_id) | F.col("batch_id").isNull())
-        run = run_batch(batch, pages, history, rules, replace(params, batch_id=batch_id))
-        publish(run, history_path)
-        if on_stats:
-            on_stats(batch_id, run.stats)
+        with scratch(spark):
+            run = run_batch(batch, pages, history, rules, replace(params, batch_id=batch_id))
+            publish(run, history_path)
+            if on_stats:
+                on_stats(batch_id, run.stats)
 
     return hits.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -38,6 +43,39 @@ def dedupe_stream(df: DataFrame, key: Column | str = "url", ts: str = "published
     return df.withColumn("canonical_url", url).withWatermark(ts, delay).dropDuplicatesWithinWatermark(["canonical_url"])
 
 
+def first_in_order(df: DataFrame, order: Sequence[str], key: str = "url", ts: str = "published_at", delay: str = "14 hours") -> DataFrame:
+    """Of each canonical URL in the stream the row that stands first in ``order``, not the first to arrive; with ``canonical_url``.
+
+    A key keeps its best row so far; an earlier one replaces it, until the watermark has passed the key's first time by ``delay``. Then the row is emitted and
+    the key forgotten. Rows older than the watermark are late and go. Append mode.
+    """
+    keyed = df.withColumn("canonical_url", canonical_url(key)).filter(F.col(ts).isNotNull())
+    names, out = keyed.columns, keyed.schema
+    wait = int(pd.Timedelta(delay).total_seconds() * 1000)
+
+    def best(_: tuple[str], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            (row, _) = state.get
+            state.remove()
+            yield pd.DataFrame([pickle.loads(row)], columns=names)
+            return
+        now, until = (pickle.loads(state.get[0]), state.get[1]) if state.exists else (None, None)
+        if until is not None and until <= state.getCurrentWatermarkMs():
+            yield pd.DataFrame([now], columns=names)  # it has expired before these rows came
+            now = until = None
+        for frame in frames:
+            top = frame.sort_values(list(order), kind="stable").iloc[0]
+            if now is None or tuple(top[c] for c in order) < tuple(now[names.index(c)] for c in order):
+                now = tuple(top[c] for c in names)
+            first = int(frame[ts].min().timestamp() * 1000) + wait
+            until = first if until is None else min(until, first)
+        state.update((pickle.dumps(now), until))
+        state.setTimeoutTimestamp(max(until, state.getCurrentWatermarkMs() + 1))
+
+    grouped = keyed.withWatermark(ts, delay).groupBy("canonical_url")
+    return grouped.applyInPandasWithState(best, out, "row binary, until long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def slot_of(ts: Column | str, hours: Sequence[int] = (8, 20), zone: str = "UTC") -> Column:
     """Start of the run slot that a time falls into: the last of ``hours`` in ``zone`` (any spacing) at or before it, as a timestamp."""
     hs = sorted(hours)
@@ -54,6 +92,18 @@ def slot_counts(df: DataFrame, ts: str = "ts", hours: Sequence[int] = (8, 20), z
     return df.groupBy(slot_of(ts, hours, zone).alias("slot")).agg(F.count("*").alias("n"))
 
 
+def slot_counts_stream(df: DataFrame, ts: str = "ts", hours: Sequence[int] = (8, 20), zone: str = "UTC", late: str = "2 hours") -> DataFrame:
+    """``(slot, n)`` of a stream in append mode, for slots of any spacing: a slot is emitted once, when rows of a slot that starts ``late`` after its end have come;
+    what comes for it later is dropped.
+
+    Slots are event times themselves: the watermark is on them, as far back as the longest slot (and an hour, where clocks change) and ``late``.
+    """
+    hs = sorted(set(hours))
+    longest = max((b - a) % 24 or 24 for a, b in zip(hs, [*hs[1:], hs[0]], strict=True))
+    marked = df.withColumn("slot", slot_of(ts, hs, zone)).withWatermark("slot", f"{longest + 1} hours {late}")
+    return marked.groupBy("slot").agg(F.count("*").alias("n"))
+
+
 def window_counts(df: DataFrame, ts: str = "ts", start: str = "8 hours") -> DataFrame:
     """The same for two runs 12 hours apart, as a tumbling window with a watermark-friendly key."""
     return df.groupBy(F.window(ts, "12 hours", startTime=start).alias("w")).agg(F.count("*").alias("n")).select(F.col("w.start").alias("slot"), "n")
