@@ -64,11 +64,18 @@ def first_in_order(df: DataFrame, order: Sequence[str], key: str = "url", ts: st
             yield pd.DataFrame([now], columns=names)  # it has expired before these rows came
             now = until = None
         for frame in frames:
+            frame = frame[frame[ts].map(lambda t: t.timestamp() * 1000) >= state.getCurrentWatermarkMs()]
+            if frame.empty:
+                continue
             top = frame.sort_values(list(order), kind="stable").iloc[0]
             if now is None or tuple(top[c] for c in order) < tuple(now[names.index(c)] for c in order):
                 now = tuple(top[c] for c in names)
             first = int(frame[ts].min().timestamp() * 1000) + wait
             until = first if until is None else min(until, first)
+        if now is None:
+            if state.exists:
+                state.remove()
+            return
         state.update((pickle.dumps(now), until))
         state.setTimeoutTimestamp(max(until, state.getCurrentWatermarkMs() + 1))
 
