@@ -69,15 +69,16 @@ def extract_articles(pages: DataFrame, hits: DataFrame, covers: bool = True) ->
     return out.withColumn("ord", order).drop("query_ord", "scope_rank", "pos")
 
 
-def outcomes(articles: DataFrame, history: DataFrame, rules: DataFrame, fails: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """``(id, status)`` of articles against the history and each other.
+def outcomes(articles: DataFrame, history: DataFrame, rules: DataFrame, fails: Callable[[DataFrame], DataFrame] | None = None, lookup: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """``(id, status)`` of articles against the history and each other. ``lookup`` compares rows with the history in place of :func:`exists_duplicate`.
 
     ``fails`` gives ``(id)`` of those published articles whose draft fails. These suppress nothing, so the others are resolved again without
     them, until no further draft fails; what the rows are compared by is computed once.
     """
     flags = rule_filter(articles, rules).withColumn("too_short", is_too_short("text"))
     present = articles.filter("NOT page_missing")
-    dup = exists_duplicate(present.select("id", "url", "title", "text"), history)
+    asked = present.select("id", "url", "title", "text")
+    dup = exists_duplicate(asked, history) if lookup is None else lookup(asked)
     rows = flags.join(dup.select("id", "is_dup"), "id", "left").select(
         "id", "ord", "page_missing", F.coalesce("is_dup", F.lit(False)).alias("in_history"), "too_short", F.col("flagged").alias("policy"), F.lit(False).alias("draft_failed")
     )
@@ -102,14 +103,14 @@ class Run:
     stats: DataFrame
 
 
-def run_batch(hits: DataFrame, pages: DataFrame, history: DataFrame, rules: DataFrame, params: Params, queries: DataFrame | None = None, answers: DataFrame | None = None, covers: DataFrame | None = None, alias: DataFrame | None = None, fails: Callable[[DataFrame], DataFrame] | None = None) -> Run:
-    """One run. The history is read for URLs, titles and bodies; nothing is written here but intermediates. ``fails`` gives the ids of drafts that fail."""
+def run_batch(hits: DataFrame, pages: DataFrame, history: DataFrame, rules: DataFrame, params: Params, queries: DataFrame | None = None, answers: DataFrame | None = None, covers: DataFrame | None = None, alias: DataFrame | None = None, fails: Callable[[DataFrame], DataFrame] | None = None, lookup: Callable[[DataFrame], DataFrame] | None = None) -> Run:
+    """One run. The history is read for URLs, titles and bodies, unless ``lookup`` knows what it has; nothing is written here but intermediates. ``fails`` gives the ids of drafts that fail."""
     spark = hits.sparkSession
     articles = materialize(extract_articles(pages, collect_candidates(hits, queries, params, alias)), "articles")
     answers = spark.createDataFrame([], "id string, content string") if answers is None else answers
     covers = spark.createDataFrame([], "image_url string, media_id string, rejected boolean") if covers is None else covers
     settled = lambda rows: settle_drafts(rows, answers, covers, params.default_cover, params.author)
-    done = outcomes(articles, history, rules, None if fails is None else lambda rows: fails(settled(rows)))
+    done = outcomes(articles, history, rules, None if fails is None else lambda rows: fails(settled(rows)), lookup)
     drafts = settled(articles.join(done.filter("status = 'published'").select("id"), "id", "left_semi"))
     records = article_record(drafts, params.as_of, params.batch_id)  # what is published has no URL of the history, so a rerun adds nothing
     return Run(done, drafts, records, run_stats(done))

@@ -13,24 +13,34 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.urls import canonical_url
+from ..operators.history_index import HistoryIndex
 from ..plans.run import Params, publish, run_batch
 from ..runtime import scratch
 from ..sources.store import read_history
 
 
-def start_incremental(hits: DataFrame, pages: DataFrame, rules: DataFrame, history_path: str, checkpoint: str, params: Params, on_stats: Callable[[int, DataFrame], None] | None = None) -> StreamingQuery:
+def start_incremental(hits: DataFrame, pages: DataFrame, rules: DataFrame, history_path: str, checkpoint: str, params: Params, on_stats: Callable[[int, DataFrame], None] | None = None, index_path: str | None = None) -> StreamingQuery:
     """Run over what is new in the stream ``hits`` and append to the history; ends when the input is used up.
 
     What a batch writes besides goes at its end; ``on_stats`` has to read what it keeps. A batch that is tried again does not see its own first try: it reads the history without its batch id and then replaces that
     partition.
+
+    With ``index_path`` the history is not read but for candidates: what its articles are found by is kept there, batch by batch (:class:`HistoryIndex`). Batches that the index
+    lacks are added first, an index that is not there is made; a batch that is tried again replaces its part of both.
     """
 
     def one(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         history = read_history(spark, history_path).filter((F.col("batch_id") != batch_id) | F.col("batch_id").isNull())
         with scratch(spark):
-            run = run_batch(batch, pages, history, rules, replace(params, batch_id=batch_id))
+            index = None if index_path is None else HistoryIndex(spark, index_path)
+            if index:
+                index.sync(history)
+            lookup = None if index is None else lambda rows: index.lookup(rows, history, batch_id)
+            run = run_batch(batch, pages, history, rules, replace(params, batch_id=batch_id), lookup=lookup)
             publish(run, history_path)
+            if index:
+                index.add(read_history(spark, history_path).filter(F.col("batch_id") == batch_id), batch_id)
             if on_stats:
                 on_stats(batch_id, run.stats)
 
