@@ -13,13 +13,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.urls import norm_url
-from ..runtime import broadcast_within, materialize
+from ..runtime import materialize
 from . import similar as S
 
 #: Batch of a compacted part, and of articles that have none.
 BASE = -1
-#: Keys and ids of a batch that are broadcast to the parts of the index.
-MAX_MB = 64
 #: Partitions of the history that are named in a filter; if candidates lie in more, all are read.
 MAX_PARTS = 1000
 
@@ -79,29 +77,31 @@ class HistoryIndex:
     # --- keys
 
     def _under(self, stored: DataFrame, keys: DataFrame) -> DataFrame:
-        """Rows of ``stored`` under ``keys`` (key): the keys of a batch go to the index, not the index to them, as long as they are small."""
-        return stored.join(broadcast_within(keys.select("key").distinct(), MAX_MB), "key", "left_semi")
+        """Rows of ``stored`` under ``keys`` (key), which are read from files: so Spark knows their size and sends a batch's keys to the index, as long as they are small."""
+        return stored.join(keys.select("key").distinct(), "key", "left_semi")
 
     def _lists(self, gen: int | None, texts: DataFrame) -> DataFrame:
         """Runs of titles in the order of this generation, which is fixed until the next: those that it did not know come first."""
         tokens = materialize(S._trigrams(texts), "index-runs")
         mine = tokens.select("token").distinct()
-        known = self._read(gen, "title_runs").join(broadcast_within(mine, MAX_MB), "token")
+        known = self._read(gen, "title_runs").join(mine, "token", "left_semi")
         return S.title_lists(tokens, mine.join(known, "token", "left").select("token", F.coalesce("freq", F.lit(0)).alias("freq")))
 
     def _counts(self, stored: DataFrame, keyed: DataFrame) -> DataFrame:
         """``(key, many)``: texts under the keys of ``keyed``, those stored and the new ones."""
-        new = materialize(keyed.groupBy("key").agg(F.count("*").alias("new")), "index-keys")
-        old = self._under(stored, new).groupBy("key").agg(F.count("*").alias("old"))
+        new = keyed.groupBy("key").agg(F.count("*").alias("new"))
+        old = self._under(stored, keyed).groupBy("key").agg(F.count("*").alias("old"))
         return materialize(new.join(old, "key", "left").select("key", (F.col("new") + F.coalesce("old", F.lit(0))).alias("many")), "index-counts")
 
     def _title_entries(self, gen: int, texts: DataFrame, without: int) -> tuple[DataFrame, DataFrame]:
         """Keys that new titles are stored by ``(key, h, n)``, and those that got longer ones ``(key)``."""
+        if not texts.limit(1).count():
+            return self._read(None, "title_keys").drop("batch_id"), self._read(None, "title_marks").drop("batch_id")
         stored = self._read(gen, "title_keys", without)
         short, level = S.title_roots(self._lists(gen, texts))
         done, marks = [short], []
         for depth in range(1, S.DEEPEST):
-            level = materialize(level, "index-level")
+            level = level if depth == 1 else materialize(level, "index-level")
             crowd = self._counts(stored, level).filter(F.col("many") > S.TITLE_LIMIT)
             longer = materialize(S.title_refined(level.join(crowd, "key"), depth), "index-longer")
             later = self._counts(stored, longer).select("key", F.col("many").cast("double").alias("k"))
@@ -121,7 +121,7 @@ class HistoryIndex:
         short, level = S.title_roots(self._lists(gen, texts))
         marks, probes = self._read(gen, "title_marks", without), [short]
         for depth in range(1, S.DEEPEST):
-            level = materialize(level, "index-level")
+            level = level if depth == 1 else materialize(level, "index-level")
             probes.append(level.select("h", "n", "key"))
             more = materialize(self._under(marks.select("key"), level).distinct(), "index-marked")
             if not more.limit(1).count():
@@ -138,12 +138,13 @@ class HistoryIndex:
     def _body_entries(self, gen: int, texts: DataFrame, without: int) -> DataFrame:
         """Keys that new bodies are stored by: at each place the shortest run that not too many texts have, and the least of those that are crowded at their
         longest, as in :func:`similar.body_keys`."""
+        if not texts.limit(1).count():
+            return self._read(None, "body_keys").drop("batch_id")
         stored = self._read(gen, "body_keys", without)
         open_, done, often = self._body_spots(texts), [], None
         for level in range(len(S.LENGTHS)):
             keyed = open_.withColumn("key", F.get("g", F.lit(level)))
             hot = self._counts(stored, keyed.select("h", "key").distinct()).filter(F.col("many") > S.LIMIT).select("key")
-            hot = broadcast_within(hot, MAX_MB)
             done.append(keyed.join(hot, "key", "left_anti").select("key", "h", "n", "spots"))
             open_ = materialize(keyed.join(hot, "key", "left_semi"), "index-open")
             if level == S.MIDDLE:
@@ -211,7 +212,7 @@ class HistoryIndex:
 
     def _first(self, gen: int | None, name: str, asked: DataFrame, without: int | None) -> DataFrame:
         """``(h, hist_id, of)``: the smallest id that has the text, for texts ``(h)``."""
-        asked = broadcast_within(asked.select("h").distinct(), MAX_MB)
+        asked = asked.select("h").distinct()
         one = self._read(gen, name, without).join(asked, "h", "left_semi").groupBy("h").agg(F.min(F.struct("id", "of")).alias("m"))
         return one.select("h", F.col("m.id").alias("hist_id"), F.col("m.of").alias("of"))
 
@@ -221,18 +222,20 @@ class HistoryIndex:
         if len(parts) <= MAX_PARTS:
             named = F.col("batch_id").isin([p for p in parts if p != BASE])
             history = history.filter(named | F.col("batch_id").isNull() | (F.col("batch_id") == BASE) if BASE in parts else named)
-        ids = broadcast_within(first.select(F.col("hist_id").alias("id")).distinct(), MAX_MB)
+        ids = first.select(F.col("hist_id").alias("id")).distinct()
         return history.join(ids, "id", "left_semi").select(text.alias("s")).filter("length(s) > 0").select(F.xxhash64("s").alias("h"), "s", F.length("s").alias("n"))
 
     def _similar(self, gen: int | None, names: tuple[str, str], asked: DataFrame, history: DataFrame, text: Column, without: int | None) -> DataFrame:
         """``(new_id, matched_id)`` for texts ``(new_id, s)``: the smallest id of the history that is similar."""
-        asked = materialize(asked.filter("length(s) > 0").withColumn("hb", F.xxhash64("s")), "index-asked")
+        asked = asked.filter("length(s) > 0").withColumn("hb", F.xxhash64("s"))
         texts = S._distinct_texts(asked.select("s"))
+        if not texts.limit(1).count():
+            return asked.select("new_id", F.lit(None).cast("string").alias("matched_id"))
         probes = self._title_probes(gen, texts, without) if names[0] == "titles" else self._body_probes(texts)
         probes = materialize(probes, "index-probes")
         lists = materialize(self._under(self._read(gen, names[1], without).drop("batch_id"), probes), "index-lists")
-        many = broadcast_within(lists.groupBy("key").agg((F.count("*") > S.TITLE_CROWD).alias("many")).filter("many"), MAX_MB)
-        lists = materialize(lists.join(many, "key", "left").withColumn("crowded", F.col("crowded") | F.coalesce("many", F.lit(False))).drop("many"), "index-lists")
+        many = lists.groupBy("key").agg((F.count("*") > S.TITLE_CROWD).alias("many")).filter("many")
+        lists = lists.join(many, "key", "left").withColumn("crowded", F.col("crowded") | F.coalesce("many", F.lit(False))).drop("many")
         first = materialize(self._first(gen, names[0], lists.select("h"), without), "index-first")
         of_pairs = first.select(F.col("h").alias("ha"), "hist_id", "of")
 
