@@ -6,8 +6,10 @@ from difflib import SequenceMatcher
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.functions import html
 from tidemark.operators import history_index, similar
 from tidemark.operators.history_index import HistoryIndex
+from tidemark.plans import queries
 from tidemark.plans import run as P
 from tidemark.sources import store as S
 from tidemark.streaming import incremental as X
@@ -154,3 +156,10 @@ def test_stream_with_an_index(spark, tmp_path):
     X.start_incremental(stream, pages, rules, path, f"file://{tmp_path}/mark", params, index_path=index).awaitTermination()
     assert sorted(r["source_url"] for r in S.read_history(spark, path).collect()) == [f"http://a.com/{i}" for i in (0, 1, 3)]
     assert sorted((r["id"], r["batch_id"]) for r in HistoryIndex(spark, index)._read(0, "urls").collect()) == sorted((r["id"], r["batch_id"]) for r in S.read_history(spark, path).collect())
+
+
+def test_query_equals_the_search_in_all_pages(spark):
+    d = "/root/testdata/sf0.001"
+    made = spark.read.parquet(f"{d}/pages.parquet").select(F.col("page_id"), F.col("page_id").cast("string").alias("id"), "url", html.page_title("html", F.lit("")).alias("title"), html.block_text("html").alias("text"))
+    want = similar.exists_duplicate(made.filter("page_id % 2 = 1"), made.filter("page_id % 2 = 0").select("id", "title", F.col("url").alias("source_url"), F.col("text").alias("extracted_text")))
+    assert found(queries.QUERIES["x1_history_index"](spark, d)) == found(want)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates, html, text, urls
-from ..operators import drafts, hits, resolve, rules, similar
+from ..operators import drafts, history_index, hits, resolve, rules, similar
 from ..runtime import materialize, new_path, table
 from ..sources import store
 from ..streaming import incremental
@@ -683,6 +683,19 @@ def _(spark, d):
     return store.read_history(spark, out).select("id", "title", "source_url", "batch_id")
 
 
+@query("x1_history_index")
+def _(spark, d):
+    """Pages of odd ids against a history of the others, which came in two batches and is known by its index; ids are strings, as the history's are."""
+    root = new_path(spark, "x1-index")
+    made = _pages(spark, d).select(F.col("page_id"), F.col("page_id").cast("string").alias("id"), "url", html.page_title("html", F.lit("")).alias("title"), html.block_text("html").alias("text"))
+    made = materialize(made, "x1-pages")
+    old = made.filter("page_id % 2 = 0").select("id", "title", F.col("url").alias("source_url"), F.col("text").alias("extracted_text"), F.when(F.col("page_id") % 4 == 0, 0).otherwise(1).cast("long").alias("batch_id"))
+    index = history_index.HistoryIndex(spark, root)
+    for batch in (0, 1):
+        index.sync(old.filter(F.col("batch_id") <= batch))
+    return index.lookup(made.filter("page_id % 2 = 1").select("id", "url", "title", "text"), old)
+
+
 @query("x2_dedupe_stream", "SELECT DISTINCT 'http://u.example/' || user_id AS canonical_url FROM events")
 def _(spark, d):
     """Events as arrivals, the user's page as URL, a delay longer than the table: each URL arrives once."""
