@@ -1,4 +1,4 @@
-"""What the articles of the history are found by, kept beside the history: a batch is compared with the history without reading its texts.
+"""What the articles of the history are found by, kept beside the history: a batch is compared with candidates, not with all its texts.
 
 Each article leaves a hash of its URL, title and body, and the keys that these are found by. Keys grow as the history does: a key that holds enough texts takes no more, later
 texts go under longer ones (titles: one run more, bodies: a longer run). What is stored never moves, so a batch only adds its part. A search looks under all keys, short and long, that
@@ -256,7 +256,7 @@ class HistoryIndex:
         return asked.join(best, "hb").select("new_id", "matched_id")
 
     def lookup(self, new: DataFrame, history: DataFrame, without: int | None = None) -> DataFrame:
-        """As :func:`similar.exists_duplicate`, from the index; of ``history`` only the candidates' texts are read. Rows of batch ``without`` do not count.
+        """As :func:`similar.exists_duplicate`, from the index; of ``history`` only the candidates' texts are used, and the partitions that hold them scanned. Rows of batch ``without`` do not count.
 
         Titles lose no pair at ratio 0.9; bodies are found as :func:`similar.body_keys` finds them. Null and empty texts match nothing.
         """

@@ -25,7 +25,7 @@ def start_incremental(hits: DataFrame, pages: DataFrame, rules: DataFrame, histo
     What a batch writes besides goes at its end; ``on_stats`` has to read what it keeps. A batch that is tried again does not see its own first try: it reads the history without its batch id and then replaces that
     partition.
 
-    With ``index_path`` the history is not read but for candidates: what its articles are found by is kept there, batch by batch (:class:`HistoryIndex`). Batches that the index
+    With ``index_path`` of the history's texts only those of candidates are compared: what its articles are found by is kept there, batch by batch (:class:`HistoryIndex`). Batches that the index
     lacks are added first, an index that is not there is made; a batch that is tried again replaces its part of both.
     """
 
