@@ -1,4 +1,5 @@
 import random
+import re
 import time
 
 import numpy as np
@@ -40,6 +41,12 @@ CASES = {
     "page header": (f'<div class="site-header"><h2>Site</h2><p>{P}</p></div><div id="main"><h1>T</h1><p>{P}</p><p>{P}</p></div>', ["T", P1, P1]),
     "standfirst": (f"<article><header><h1>T</h1><p>{P * 2}</p><p>By X</p></header><p>{P * 2}</p></article>", ["T", (P * 2).strip(), (P * 2).strip()]),
     "unknown declarations": (f"<![foo[ x><p>{P}</p><![ x]><!x><!><p>{P}</p><![if !IE]><p>{P}</p><![endif]>", [P1] * 3),
+    "unmarked comments": (f"<body><div><div><h1>T</h1><p>{P * 2}</p><p>{P * 2}</p></div><div><h3>3 comments</h3><div><p>{P}</p></div><div><p>{P * 2}</p><p>{P}</p></div></div></div></body>", ["T", (P * 2).strip(), (P * 2).strip()]),
+    "comments in the article": (f"<article><h1>Comments</h1><p>{P}</p><h2>Comments (2)</h2><p>{P}</p><h3>x</h3><p>{P}</p><h2>Sources</h2><p>end</p></article>", ["Comments", P1, "Sources", "end"]),
+    "poem": ("<body><h1>Poem</h1><p>Short lines</p><p>of a poem</p><p>end here</p><p>Copyright 2024 The Press, all rights reserved</p></body>", ["Poem", "Short lines", "of a poem", "end here"]),
+    "inline": (f"<article><p>{P}<label>a label</label>, <math><mi>x</mi></math> and <button>a button</button></p><button>Share</button></article>", [P + "a label, x and a button"]),
+    "own links": (f"<body><div><a href=/>Home</a> <a href=/n>News</a></div><div><h1>T</h1><p>{P * 3}</p><ul><li><a href=1>{P1}</a></li><li><a href=2>Two</a></li></ul><p>{P * 3}</p></div></body>", ["T", (P * 3).strip(), P1, "Two", (P * 3).strip()]),
+    "nothing but a footer": (f"<footer><p>{P}</p></footer>", []),
     "text": ("just  text", ["just text"]),
     "markup only": ("<p></p><br>", []),
 }
@@ -75,6 +82,23 @@ def test_the_clusters_decide(monkeypatch):
     assert H.smooth(ratio)[5] > H.threshold(H.smooth(ratio)) and ratio[5] < H.threshold(ratio)
 
 
+def plain(html):
+    """The page without the names of its parts."""
+    html = re.sub(r"<(/?)(article|main|nav|footer|header|aside)\b", r"<\1div", html or "")
+    return re.sub(r'\s(class|id|role)=("[^"]*"|\S+?(?=[\s>]))', "", html)
+
+
+def test_the_clusters_decide_on_given_pages(spark, monkeypatch):
+    """On the pages as they are and without names: most texts change when every line counts as content."""
+    pages = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect()]
+    want = [H.main_text(h) for h in pages]
+    assert sum(H.main_text(plain(h)) == w for h, w in zip(pages, want, strict=True)) >= 0.95 * len(pages)
+    with monkeypatch.context() as m:
+        m.setattr(H, "threshold", lambda x: float(x.min()) - 1)
+        for given in (pages, map(plain, pages)):
+            assert sum(H.main_text(h) == w for h, w in zip(given, want, strict=True)) <= 0.05 * len(pages)
+
+
 @pytest.mark.parametrize("html", ["<div>" * 60_000 + "x" + "</div>" * 60_000, "<p><b>" * 30_000, "<div>" * 30_000 + "</span></p>" * 30_000, "".join(f"<div><p>part {i}</p>" for i in range(20_000))])
 def test_deep_and_malformed_pages_take_linear_time(html):
     began = time.time()

@@ -3,14 +3,15 @@
 1. The standard library's streaming parser turns a page into lines (one a block of text), each with its characters, its tags, its linked
    characters and the container it stands in.
 2. The ratio of unlinked characters to tags is smoothed over neighbouring lines; lines above a threshold between the two clusters of
-   ratios are content.
+   ratios are content. Characters of what the page itself calls no article (below) count as linked ones do: as no text.
 3. Content characters are added up along the container tree, and the region is found from the top: a container gives way to
    the one inside it that holds nearly all of its content, unless it has content lines of its own.
-4. Of the region, lines go that stand before or after all content in a container without content, and containers that are link lists.
+4. Of the region, lines go that stand before or after all content in a container without content, link lists without content (those between content lines of the region itself stay), what follows a heading
+   such as "3 comments" in its container, and a copyright line at the end.
 
-What a page says about itself is a hint on top: elements such as ``nav`` or ``form`` and hidden ones are never read, an ``article``
-counts more in step 3 and is not trimmed in step 4, and containers whose class, id or role consists of boilerplate words only count nothing and go,
-unless they hold the content of the page. Parsing and choosing take time in proportion to the page, however deep it nests.
+What a page says about itself is evidence on top: forms, scripts and hidden elements are never read, an ``article`` counts more in step 2 and is not
+trimmed in step 4, and the text of ``nav``, ``footer``, ``aside``, of the page's header and of containers whose class, id or role consists of boilerplate words only
+counts nothing in step 2 (unless these hold the content of the page), so that it falls below the threshold. Parsing and choosing take time in proportion to the page, however deep it nests.
 
 Defined cases: null and empty html give an empty text; text outside any element counts; unclosed elements end with their
 parent; unknown declarations and marked sections are comments; white space (that of ``str.split``, no-break space too) becomes one space; every row is
@@ -31,7 +32,9 @@ from pyspark.sql import DataFrame
 from ..functions.html import LenientParser
 
 #: Elements whose text is never shown, or is no text of an article.
-SKIP = frozenset("script style noscript template head title svg math iframe object canvas audio video map select option button textarea input label nav footer aside form menu dialog datalist fieldset".split())
+SKIP = frozenset("script style noscript template head title svg iframe object canvas audio video map select option button textarea input form menu dialog datalist fieldset".split())
+#: Elements whose text counts nothing.
+ASIDE = frozenset("nav footer aside".split())
 #: Elements without an end tag.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that start and end a line.
@@ -41,6 +44,7 @@ REGION = frozenset("html body main article section div td center table ul ol dl
 #: Containers that step 4 trims; lists and tables are part of the text around them.
 PLAIN = frozenset("html body section div td center header".split())
 LISTS = frozenset("ul ol dl table div section".split())
+ITEMS = frozenset(("ul", "ol", "dl"))
 NAMED = frozenset(("article", "main"))
 #: An open element of these is closed by the start of a key element.
 CLOSES = {
@@ -69,19 +73,22 @@ LAYOUT = frozenset(
 )
 #: Last words that settle it whatever stands before them.
 FINAL = frozenset("sidebar comments navbar breadcrumb breadcrumbs disqus".split())
+#: Headings of reader comments, and lines that end a page.
+_COMMENT_HEAD = re.compile(r"(?:\d+|no|all|leave an?|post an?|reader)?\s*(?:reader )?(?:comments?|repl(?:y|ies)|responses|kommentare?|commentaires?|comentarios?)(?:\s*\(?\d+\)?)?:?", re.I)
+_COPYRIGHT = re.compile(r"(?:©|\(c\)|copyright\b)(?=.*\b(?:19|20)\d\d\b|.*\brights reserved\b).{0,200}", re.I)
 _REPLIES = frozenset("comment comments commentlist respond replies reply disqus".split())
 _HEADER = frozenset(("header", "masthead", "banner"))
 #: Words of the article's own header.
 _OWN = frozenset("post posts article articles entry content author".split())
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
-NOTHING, BOILER, COMMENTS, HEADER = range(4)
+NOTHING, BOILER, COMMENTS, HEADER, BESIDE = range(5)
 
 SIGMA = 1.0
 #: Share of its content at which a container gives way to one inside it.
-DOMINANT = 0.85
+DOMINANT = 0.98
 #: Containers of one line each (adverts, credits) do not stand in the way of one of several lines with so much more text.
 LOOSE = 0.5
-#: How much more the content of an article or main element counts.
+#: How much more the text of an article or main element counts in the ratio.
 FAVOUR = 3.0
 #: Share of a page's content from which a hint is taken to be about the layout.
 LAYOUT_SHARE = 0.9
@@ -156,7 +163,10 @@ class _Lines(LenientParser):
         self.tags += 1
         if tag in VOID:
             return
-        skip, said = (True, NOTHING) if tag in SKIP else self._says(tag, attrs)
+        # A button in a paragraph is a word of it.
+        skip, said = (True, NOTHING) if tag in SKIP and not (tag == "button" and self.open[-1]["p"]) else self._says(tag, attrs)
+        if tag in ASIDE:
+            said = BESIDE
         header = tag == "header" or said == HEADER
         around = -1
         if tag in REGION or said:
@@ -245,15 +255,62 @@ def _rolled(parent: list[int], own: np.ndarray) -> np.ndarray:
     return np.array(total)
 
 
-def content_lines(lines: list[Line], named: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
+def content_lines(lines: list[Line], named: np.ndarray, void: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     """Whether each line's smoothed text-to-tag ratio is in the upper cluster; ``named``: lines of an article get a higher one, and those of its
-    header their own, as what is around them is of another kind."""
-    ratio = np.log1p(np.array([len(x[0]) - x[2] for x in lines], float) / np.array([1 + x[1] for x in lines], float))
-    level = np.where([x[5] for x in lines], ratio, smooth(ratio, sigma)) + named * math.log(FAVOUR)
+    header their own, as what is around them is of another kind; ``void``: lines whose text counts nothing, which are not smoothed over either."""
+    free = np.array([len(x[0]) - x[2] for x in lines], float) * ~void
+    ratio = np.log1p(free / np.array([1 + x[1] for x in lines], float))
+    level = ratio.copy()
+    if not void.all():
+        level[~void] = smooth(ratio[~void], sigma)
+    level = np.where([x[5] for x in lines], ratio, level) + named * ~void * math.log(FAVOUR)
     content = level > threshold(level)
     return content if content.any() else level >= level.max()
 
 
+def void_lines(page: _Lines, lines: list[Line]) -> np.ndarray:
+    """Lines of what the page calls no article. Hints of classes, ids and roles hold, unless all articles of the page stand inside what they mark, or it has no
+    article and nearly all its text is there."""
+    n_regions, parent = len(page.kind), page.parent
+    at = np.array([x[3] for x in lines], int)
+    beside = [False] * n_regions
+    for r in range(1, n_regions):
+        beside[r] = beside[parent[r]] or page.hints[r] == BESIDE
+    aside = np.array(beside)[at] | np.array([x[5] and not page.named[x[3]] for x in lines])
+    free = np.array([len(x[0]) - x[2] for x in lines], float) * ~aside
+    text = _rolled(parent, np.bincount(at, weights=free, minlength=n_regions))
+    articles = _rolled(parent, np.array([k in NAMED and h == NOTHING for k, h in zip(page.kind, page.hints, strict=True)], float))
+    out = [False] * n_regions
+    for r in range(1, n_regions):
+        said = page.hints[r] if page.hints[r] in (BOILER, COMMENTS) else NOTHING
+        layout = articles[r] == articles[0] if articles[0] else said == BOILER and text[r] >= LAYOUT_SHARE * text[0]
+        out[r] = out[parent[r]] or (said != NOTHING and not layout)
+    return aside | np.array(out)[at]
+
+
+def comment_lines(page: _Lines, lines: list[Line], shown: np.ndarray) -> np.ndarray:
+    """Lines from a heading of reader comments on, to the end of the container that it opens or to a heading as high; the first heading of a page is none."""
+    found = np.zeros(len(lines), bool)
+    inside = np.bincount([x[3] for x in lines], minlength=len(page.kind))
+    inside = _rolled(page.parent, inside)
+    seen, level, held = False, 0, frozenset()
+    for i, x in enumerate(lines):
+        if level and (not (r := x[3]) in held or 0 < x[4] <= level):
+            level = 0
+        if not level and seen and x[4] and _COMMENT_HEAD.fullmatch(x[0]):
+            top = x[3]
+            while top > 0 and inside[top] == 1:
+                top = page.parent[top]
+            held = {top}
+            for r in range(top + 1, len(page.kind)):
+                if page.parent[r] in held:
+                    held.add(r)
+            level = x[4]
+        found[i] = level > 0
+        seen = seen or bool(shown[i])
+    return found
+
+
 def main_text(html: str | None, sigma: float = SIGMA) -> str:
     """The article of a page, blocks joined by two newlines."""
     if not html:
@@ -262,14 +319,20 @@ def main_text(html: str | None, sigma: float = SIGMA) -> str:
     page.feed(html)
     page.close()
     page.flush()
-    # Of an article's header the headings and what is content by its ratio stay; of the page's header nothing.
-    lines = [x for x in page.lines if not x[5] or page.named[x[3]]]
+    lines = page.lines
     if not lines:
         return ""
-    in_article = np.array(page.named)
-    content = content_lines(lines, in_article[[x[3] for x in lines]], sigma)
-    some = [i for i, x in enumerate(lines) if content[i] or x[4] or not x[5]]
+    void, in_article = void_lines(page, lines), np.array(page.named)
+    if void.all():
+        return ""
+    content = content_lines(lines, in_article[[x[3] for x in lines]], void, sigma)
+    shown = content | ~void
+    shown &= ~comment_lines(page, lines, shown)
+    # Of an article's header the headings and what is content by its ratio stay.
+    some = [i for i, x in enumerate(lines) if shown[i] and (content[i] or x[4] or not x[5])]
     lines, content = [lines[i] for i in some], content[some]
+    if not lines:
+        return ""
     chosen = choose(page, lines, content)
     return "\n\n".join(lines[i][0] for i in np.flatnonzero(chosen))
 
@@ -289,25 +352,15 @@ def choose(page: _Lines, lines: list[Line], content: np.ndarray) -> np.ndarray:
     def rolled(values: np.ndarray) -> np.ndarray:
         return _rolled(parent, own(values))
 
-    # Hints hold, unless all articles of the page stand inside what they mark, or it has no article and nearly all its text is there.
     free = chars - linked
-    text = rolled(free)
     articles = _rolled(parent, np.array([k in NAMED and h == NOTHING for k, h in zip(kind, page.hints, strict=True)], float))
-    out = [False] * n_regions
-    for r in range(1, n_regions):
-        said = page.hints[r] if page.hints[r] in (BOILER, COMMENTS) else NOTHING
-        layout = articles[r] == articles[0] if articles[0] else said == BOILER and text[r] >= LAYOUT_SHARE * text[0]
-        out[r] = out[parent[r]] or (said != NOTHING and not layout)
-    shown = ~np.array(out)[at]
-    if not shown.any():
-        return shown
-    # From the top to the container that holds the content. What a line weighs grows with its logarithm, so that lines count more than their lengths.
-    weight = np.log1p(free) * content * shown * np.where(named, FAVOUR, 1.0)
+    # From the top to the container that holds the content. What a line weighs grows with its logarithm, so that lines count more than their lengths, and each counts.
+    weight = (1 + np.log1p(free)) * content
     whole, direct = rolled(weight), own(weight)
-    n_lines, size = rolled(shown * 1.0), rolled(free * shown)
+    n_lines, size = rolled(np.ones(len(lines))), rolled(free)
     single = (n_lines == 1)[at]
-    loose, loose_size = rolled(weight * single), rolled(free * shown * single)
-    titles = (level == 1) * (linked <= 0.5 * chars) * shown
+    loose, loose_size = rolled(weight * single), rolled(free * single)
+    titles = (level == 1) * (linked <= 0.5 * chars)
     n_titles = rolled(titles)
     heaviest = [-1] * n_regions
     for r in range(1, n_regions):
@@ -326,22 +379,33 @@ def choose(page: _Lines, lines: list[Line], content: np.ndarray) -> np.ndarray:
     # Below it, link lists go, and plain containers at the edges that have no content, or little beside the region's own and at most half their lines.
     under, menu, bare = [False] * n_regions, [False] * n_regions, [False] * n_regions
     under[root] = True
-    n_linked, n_chars, filled = rolled(linked * shown), rolled(chars * shown), rolled(content * shown * 1.0)
-    mine = float((free * content * shown)[at == root].sum())
+    n_linked, n_chars, filled = rolled(linked), rolled(chars), rolled(content * 1.0)
+    mine = float((free * content)[at == root].sum())
+    # A list between content lines of the region's own is a part of its text, whatever it links to.
+    around = np.flatnonzero(content & (at == root))
+    first, last = {}, {}
+    for i, r in enumerate(at.tolist()):
+        first.setdefault(r, i)
+        last[r] = i
     for r in range(root + 1, n_regions):
         p = parent[r]
         under[r] = under[p]
         if under[r] and not page.named[r]:
-            menu[r] = menu[p] or (kind[r] in LISTS and n_lines[r] >= 2 and n_linked[r] > 0.5 * n_chars[r])
+            within = kind[r] in ITEMS and p == root and r in first and len(around) and around[0] < first[r] and around[-1] > last[r]
+            menu[r] = menu[p] or (kind[r] in LISTS and not within and n_lines[r] >= 2 and n_linked[r] > 0.5 * n_chars[r] and filled[r] < 0.5 * n_lines[r])
             bare[r] = bare[p] or (kind[r] in PLAIN and (not filled[r] or (min(filled[r], n_lines[r] - 1) <= 0.5 * n_lines[r] and size[r] <= LOOSE * mine)))
-    chosen = shown & np.array(under)[at] & ~np.array(menu)[at]
-    bare_line = np.array(bare)[at] | (~named & (linked > 0.5 * chars))
+    chosen = np.array(under)[at] & ~np.array(menu)[at]
+    bare_line = np.array(bare)[at] | (~named & ~content & (linked > 0.5 * chars))
     spots = np.flatnonzero(content & chosen & ~bare_line)
     if len(spots):
         place = np.arange(len(lines))
         top = min(level[chosen & (level > 0)], default=0)
         title = (place < spots[0]) & (level > 0) & (level == top)
         chosen &= ~(((place < spots[0]) | (place > spots[-1])) & bare_line & ~title)
+    for i in np.flatnonzero(chosen)[::-1]:
+        if named[i] or not _COPYRIGHT.fullmatch(lines[i][0]):
+            break
+        chosen[i] = False
     return chosen
 
 
