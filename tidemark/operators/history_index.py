@@ -28,6 +28,7 @@ _SCHEMAS = {
     "title_keys": "key long, h long, n int, spots int, crowded boolean, batch_id long",
     "body_keys": "key long, h long, n int, spots int, crowded boolean, batch_id long",
     "title_marks": "key long, batch_id long",
+    "body_marks": "key long, level int, batch_id long",
     "title_runs": "token long, freq long",
     "ready": "n long",
 }
@@ -129,19 +130,19 @@ class HistoryIndex:
             level = S.title_refined(level.join(more, "key"), depth).select("h", "n", "ws", "p", "at", "key")
         else:
             probes.append(level.select("h", "n", "key"))
-        return reduce(DataFrame.unionByName, probes).distinct().withColumn("spots", F.lit(1))
+        return reduce(DataFrame.unionByName, probes).distinct().withColumn("spots", F.lit(1)).withColumn("alike", F.lit(True))
 
     @staticmethod
     def _body_spots(texts: DataFrame) -> DataFrame:
         return materialize(texts.select("h", "n", "s").mapInArrow(S._spots, "h long, n int, spots int, g array<long>"), "index-spots")
 
-    def _body_entries(self, gen: int, texts: DataFrame, without: int) -> DataFrame:
+    def _body_entries(self, gen: int, texts: DataFrame, without: int) -> tuple[DataFrame, DataFrame]:
         """Keys that new bodies are stored by: at each place the shortest run that not too many texts have, and the least of those that are crowded at their
-        longest, as in :func:`similar.body_keys`."""
+        longest, as in :func:`similar.body_keys`; and the crowded runs of the middle and the longest length ``(key, level)``, by which a search tells what is like many."""
         if not texts.limit(1).count():
-            return self._read(None, "body_keys").drop("batch_id")
+            return self._read(None, "body_keys").drop("batch_id"), self._read(None, "body_marks").drop("batch_id")
         stored = self._read(gen, "body_keys", without)
-        open_, done, often = self._body_spots(texts), [], None
+        open_, done, marks, often = self._body_spots(texts), [], [], None
         for level in range(len(S.LENGTHS)):
             keyed = open_.withColumn("key", F.get("g", F.lit(level)))
             hot = self._counts(stored, keyed.select("h", "key").distinct()).filter(F.col("many") > S.LIMIT).select("key")
@@ -149,12 +150,23 @@ class HistoryIndex:
             open_ = materialize(keyed.join(hot, "key", "left_semi"), "index-open")
             if level == S.MIDDLE:
                 often = open_.groupBy("h").agg(F.count("*").alias("middle"))
+            if level in (S.MIDDLE, len(S.LENGTHS) - 1):
+                marks.append(hot.withColumn("level", F.lit(level)))
         alike = S.alike_texts(open_.select("h", "n", "spots", "key").distinct(), often)
         crowded = alike.select(F.explode("keys").alias("key"), "h", "n", "spots", F.lit(True).alias("crowded"))
-        return reduce(DataFrame.unionByName, done).distinct().withColumn("crowded", F.lit(False)).unionByName(crowded)
-
-    def _body_probes(self, texts: DataFrame) -> DataFrame:
-        return self._body_spots(texts).select("h", "n", "spots", F.explode("g").alias("key")).distinct()
+        return reduce(DataFrame.unionByName, done).distinct().withColumn("crowded", F.lit(False)).unionByName(crowded), reduce(DataFrame.unionByName, marks)
+
+    def _body_probes(self, gen: int | None, texts: DataFrame, without: int | None) -> DataFrame:
+        """``(h, n, spots, key, alike)``: all runs of a text; ``alike`` if as a whole it is like many of the history, as those under crowded keys are."""
+        spots, last = self._body_spots(texts), len(S.LENGTHS) - 1
+        places = spots.select("h", "n", "spots", F.explode(F.array(*[F.struct(F.lit(x).alias("level"), F.get("g", F.lit(x)).alias("key")) for x in (S.MIDDLE, last)])).alias("x"))
+        places = materialize(places.select("h", "n", "spots", "x.*"), "index-places")
+        marks = materialize(self._under(self._read(gen, "body_marks", without).drop("batch_id"), places).distinct(), "index-body-marks")
+        marked = materialize(places.join(marks, ["key", "level"], "left_semi"), "index-marked")
+        often = marked.filter(F.col("level") == S.MIDDLE).groupBy("h").agg(F.count("*").alias("middle"))
+        alike = S.alike_texts(marked.filter(F.col("level") == last).select("h", "n", "spots", "key").distinct(), often)
+        probes = spots.select("h", "n", "spots", F.explode("g").alias("key")).distinct()
+        return probes.join(alike.select("h", F.lit(True).alias("alike")), "h", "left").withColumn("alike", F.coalesce("alike", F.lit(False)))
 
     # --- what changes the index
 
@@ -175,8 +187,9 @@ class HistoryIndex:
         new = lambda name, kind: S._distinct_texts(keyed.select(F.col(kind).alias("s"))).join(self._read(gen, name, batch_id).select("h"), "h", "left_anti")
         keys, marks = self._title_entries(gen, materialize(new("titles", "t"), "index-new"), batch_id)
         keys, marks = materialize(keys, "index-entries"), materialize(marks, "index-marks")
-        bodies = materialize(self._body_entries(gen, materialize(new("bodies", "b"), "index-new"), batch_id), "index-entries")
-        for name, part in (("title_keys", keys), ("title_marks", marks), ("body_keys", bodies)):
+        bodies, hot = self._body_entries(gen, materialize(new("bodies", "b"), "index-new"), batch_id)
+        bodies, hot = materialize(bodies, "index-entries"), materialize(hot, "index-body-marks")
+        for name, part in (("title_keys", keys), ("title_marks", marks), ("body_keys", bodies), ("body_marks", hot)):
             self._write(gen, name, part, batch_id)
         for name, kind in (("titles", "t"), ("bodies", "b"), ("urls", "u")):
             some = F.col(kind).isNotNull() if kind == "u" else F.length(kind) > 0
@@ -231,7 +244,7 @@ class HistoryIndex:
         texts = S._distinct_texts(asked.select("s"))
         if not texts.limit(1).count():
             return asked.select("new_id", F.lit(None).cast("string").alias("matched_id"))
-        probes = self._title_probes(gen, texts, without) if names[0] == "titles" else self._body_probes(texts)
+        probes = self._title_probes(gen, texts, without) if names[0] == "titles" else self._body_probes(gen, texts, without)
         probes = materialize(probes, "index-probes")
         lists = materialize(self._under(self._read(gen, names[1], without).drop("batch_id"), probes), "index-lists")
         many = lists.groupBy("key").agg((F.count("*") > S.TITLE_CROWD).alias("many")).filter("many")
@@ -250,7 +263,7 @@ class HistoryIndex:
         # Crowded keys, by length as well: met in the order of ids until a text's first match is certain.
         hot = lists.filter("crowded").join(first, "h").select(F.col("h").alias("ha"), "hist_id", "key", S._band(F.col("n")).alias("band"))
         bands = F.explode(F.array(*[S._band(F.col("n")) + i for i in (-1, 0, 1)])).alias("band")
-        asking = probes.join(lists.filter("crowded").select("key").distinct(), "key", "left_semi").select(F.col("h").alias("hb"), "key", bands)
+        asking = probes.filter("alike").join(lists.filter("crowded").select("key").distinct(), "key", "left_semi").select(F.col("h").alias("hb"), "key", bands)
         banded = F.xxhash64("key", "band").alias("key")
         best = S.first_matches(asking.select("hb", banded), hot.select("ha", "hist_id", banded), test, materialize(known, "index-known"))
         return asked.join(best, "hb").select("new_id", "matched_id")
