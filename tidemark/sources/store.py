@@ -19,24 +19,24 @@ ARTICLES = T.StructType(
 )
 
 
-def read_feed(spark: SparkSession, path: str, max_results: int) -> DataFrame:
+def read_feed(spark: SparkSession, path: str, max_results: int, unclosed: bool = True) -> DataFrame:
     """``item`` elements of XML feeds, wherever they stand (inside a channel or beside it), as hits ``(file, pos, title, url, snippet, published_at)``, at
-    most ``max_results`` a file. An item is a row from the start; ``pos`` is its place in its file.
+    most ``max_results`` a file. An item is a row from the start; ``pos`` is its place in its file. ``unclosed`` as in :func:`unescape_html`.
     """
     items = spark.read.format("xml").option("rowTag", "item").schema(ITEM).load(path)
     place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"))
     items = items.select(F.col("_metadata.file_path").alias("file"), place.alias("__at"), *ITEM.names)
     items = items.withColumn("pos", F.row_number().over(Window.partitionBy("file").orderBy("__at")) - 1)
     full = require(items, ["title", "link"])
-    hits = full.select("file", "pos", feed_title("title", "description").alias("title"), strip("link").alias("url"), normalize_snippet("description").alias("snippet"), parse_pubdate("pubDate").alias("published_at"))
+    hits = full.select("file", "pos", feed_title("title", "description", unclosed=unclosed).alias("title"), strip("link").alias("url"), normalize_snippet("description", unclosed).alias("snippet"), parse_pubdate("pubDate").alias("published_at"))
     first = hits.withColumn("__rn", F.row_number().over(Window.partitionBy("file").orderBy("pos"))).filter(F.col("__rn") <= max_results).drop("__rn")
     return dedupe_hits(first, ["file"], ["pos"], max_results)
 
 
-def read_results(df: DataFrame, as_of: Column) -> DataFrame:
+def read_results(df: DataFrame, as_of: Column, unclosed: bool = True) -> DataFrame:
     """Search results ``(title, href, body, ...)`` as hits stamped ``as_of``; rows without title or URL, and blocked hosts, go."""
     other = [c for c in df.columns if c not in ("title", "href", "body")]
-    hits = df.select(*other, normalize_title("title").alias("title"), strip(F.coalesce("href", F.lit(""))).alias("url"), normalize_snippet("body").alias("snippet"), as_of.alias("published_at"))
+    hits = df.select(*other, normalize_title("title").alias("title"), strip(F.coalesce("href", F.lit(""))).alias("url"), normalize_snippet("body", unclosed).alias("snippet"), as_of.alias("published_at"))
     return host_blocklist(require(hits, ["title", "url"]))
 
 
