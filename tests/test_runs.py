@@ -184,6 +184,16 @@ def test_first_in_order_replaces_rows_until_the_watermark_passes(spark, tmp_path
     assert sorted((r["canonical_url"], r["pos"]) for r in got) == [("http://a.x", 2), ("http://a.x", 7), ("http://b.x", 1), ("http://c.x", 9), ("http://d.x", 1)]
 
 
+def test_first_in_order_calls_python_by_groups(spark, tmp_path):
+    """Keys of one group keep their own rows and times."""
+    at = lambda day, hour: datetime(2024, 1, day, hour, tzinfo=timezone.utc)
+    schema = "url string, published_at timestamp, pos int"
+    first, second = ([(f"http://h.x/{i}", at(1, h), (i * 7 + h) % 10) for i in range(40)] for h in (10, 12))
+    stream = batches(spark, tmp_path, schema, first, second, [("http://end.x", at(9, 1), 0)])
+    got = emitted(spark, tmp_path, X.first_in_order(stream, ["pos"], groups=2), schema + ", canonical_url string")
+    assert sorted((r["url"], r["pos"]) for r in got) == sorted((a[0], min(a[2], b[2])) for a, b in zip(first, second, strict=True))
+
+
 def test_slots_of_any_spacing_on_a_stream(spark, tmp_path):
     at = lambda day, hour: datetime(2024, 1, day, hour, tzinfo=timezone.utc)
     stream = batches(

@@ -53,44 +53,43 @@ def dedupe_stream(df: DataFrame, key: Column | str = "url", ts: str = "published
     return df.withColumn("canonical_url", url).withWatermark(ts, delay).dropDuplicatesWithinWatermark(["canonical_url"])
 
 
-def first_in_order(df: DataFrame, order: Sequence[str], key: str = "url", ts: str = "published_at", delay: str = "14 hours") -> DataFrame:
+def first_in_order(df: DataFrame, order: Sequence[str], key: str = "url", ts: str = "published_at", delay: str = "14 hours", groups: int = 1024) -> DataFrame:
     """Of each canonical URL in the stream the row that stands first in ``order``, not the first to arrive; with ``canonical_url``.
 
     A key keeps its best row so far; an earlier one replaces it, until the watermark has passed the key's first time by ``delay``. Then the row is emitted and
     the key forgotten. Rows older than the watermark are late and go. Append mode.
+
+    Keys are dealt to ``groups`` by hash and share a state there, so Python is called for groups, not for keys; a group has to fit a task, raise it with many millions of open keys.
     """
     keyed = df.withColumn("canonical_url", canonical_url(key)).filter(F.col(ts).isNotNull())
     names, out = keyed.columns, keyed.schema
     wait = int(pd.Timedelta(delay).total_seconds() * 1000)
-
-    def best(_: tuple[str], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            (row, _) = state.get
-            state.remove()
-            yield pd.DataFrame([pickle.loads(row)], columns=names)
-            return
-        now, until = (pickle.loads(state.get[0]), state.get[1]) if state.exists else (None, None)
-        if until is not None and until <= state.getCurrentWatermarkMs():
-            yield pd.DataFrame([now], columns=names)  # it has expired before these rows came
-            now = until = None
+    ranks = [names.index(c) for c in order]
+
+    def best(_: tuple[int], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        mark = state.getCurrentWatermarkMs()
+        held = pickle.loads(state.get[0]) if state.exists else {}
+        done = [url for url, (_, until) in held.items() if until <= mark]  # expired before these rows came
+        if done:
+            yield pd.DataFrame([held.pop(url)[0] for url in done], columns=names)
         for frame in frames:
-            frame = frame[frame[ts].map(lambda t: t.timestamp() * 1000) >= state.getCurrentWatermarkMs()]
+            frame = frame[frame["__ms"] >= mark]
             if frame.empty:
                 continue
-            top = frame.sort_values(list(order), kind="stable").iloc[0]
-            if now is None or tuple(top[c] for c in order) < tuple(now[names.index(c)] for c in order):
-                now = tuple(top[c] for c in names)
-            first = int(frame[ts].min().timestamp() * 1000) + wait
-            until = first if until is None else min(until, first)
-        if now is None:
-            if state.exists:
-                state.remove()
-            return
-        state.update((pickle.dumps(now), until))
-        state.setTimeoutTimestamp(max(until, state.getCurrentWatermarkMs() + 1))
-
-    grouped = keyed.withWatermark(ts, delay).groupBy("canonical_url")
-    return grouped.applyInPandasWithState(best, out, "row binary, until long", "append", GroupStateTimeout.EventTimeTimeout)
+            frame = frame.assign(__ms=frame.groupby("canonical_url", dropna=False)["__ms"].transform("min") + wait)
+            top = frame.sort_values(list(order), kind="stable").drop_duplicates("canonical_url")
+            for url, until, row in zip(top["canonical_url"], top["__ms"].tolist(), zip(*(top[c].tolist() for c in names), strict=True), strict=True):
+                now, end = held.get(url, (None, until))
+                better = now is None or tuple(row[i] for i in ranks) < tuple(now[i] for i in ranks)
+                held[url] = (row if better else now, min(end, until))
+        if held:
+            state.update((pickle.dumps(held),))
+            state.setTimeoutTimestamp(max(min(until for _, until in held.values()), mark + 1))
+        elif state.exists:
+            state.remove()
+
+    marked = keyed.withColumn("__ms", F.unix_millis(F.col(ts).cast("timestamp"))).withColumn("__group", F.pmod(F.xxhash64("canonical_url"), F.lit(groups)))
+    return marked.withWatermark(ts, delay).groupBy("__group").applyInPandasWithState(best, out, "held binary", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def slot_of(ts: Column | str, hours: Sequence[int] = (8, 20), zone: str = "UTC") -> Column:
