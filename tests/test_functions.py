@@ -170,3 +170,10 @@ def test_decode_bytes(spark):
     rows = [("中文网页".encode("gb18030"), None, "text/html; charset=gb2312"), ("中文网页".encode(), "utf-8", None), (b"", None, None), (None, None, None), ("中文網頁".encode("big5"), "no-such-charset", "text/html; charset=big5")]
     df = spark.createDataFrame(rows, "b binary, e string, c string").select(html.decode_bytes("b", "e", "c").alias("v"))
     assert [r["v"] for r in df.collect()] == ["中文网页", "中文网页", "", "", "中文網頁"]
+
+
+def test_decode_bytes_keeps_utf8_with_letters_that_count_as_garbled(spark):
+    said = "Èou sur enai, oiê âï âï. Les éeux ç"
+    rows = [(said.encode(), "utf-8", "text/html"), (said.encode(), None, None), (said.encode(), "iso-8859-1", None)]
+    df = spark.createDataFrame(rows, "b binary, e string, c string").select(html.decode_bytes("b", "e", "c").alias("v"))
+    assert [r["v"] for r in df.collect()] == [said, said, said]
