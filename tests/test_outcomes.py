@@ -219,3 +219,42 @@ def test_rules(spark):
     rows = [(1, "Red sky", "", "http://x/"), (2, "red and BLUE", "", "http://x/"), (3, "", "GREEN", "http://a.bad.example/"), (4, None, None, None)]
     got = {r["id"]: r["rule_ids"] for r in rules.rule_filter(spark.createDataFrame(rows, "id long, title string, text string, url string"), table).collect()}
     assert got == {1: [], 2: ["p"], 3: ["h", "w"], 4: []}
+
+
+def test_short_titles_meet_in_blocks_without_keys(spark, monkeypatch):
+    """Titles of few syllables, which share most of their runs: several blocks, pairs of one side only, no keys, and the result of all pairs."""
+    rnd = random.Random(21)
+    monkeypatch.setattr(similar, "MIN_BLOCK", 40)
+    monkeypatch.setattr(similar, "title_keys", None)
+    base = ["".join(rnd.choice(("tion", "ment", "elle", "que", "les", "en")) for _ in range(rnd.randrange(1, 14))) for _ in range(60)]
+    hist = [(i, mutate(s, rnd, rnd.randrange(5))) for i, s in enumerate(base)]
+    new = [(i, mutate(s, rnd, rnd.randrange(5))) for i, s in enumerate(base)] + [(60, base[3]), (61, "")]
+    a, b = (spark.createDataFrame(x, "id long, title string") for x in (new, hist))
+    want = {}
+    for i, t in new:
+        for j, h in hist:
+            if t and h and SequenceMatcher(None, h, t).ratio() >= 0.9:
+                want.setdefault(i, j)
+    assert {r["new_id"]: r["matched_id"] for r in similar.similar_titles(a, b).collect()} == want and len(want) > 20
+    one, two = (x.select(F.col("title").alias("s")) for x in (a, b))
+    close = {(r["sa"], r["sb"]) for r in similar.gram_candidates(two, one).collect()}
+    assert {(h, t) for _, h in hist for _, t in new if t and h and SequenceMatcher(None, h, t).ratio() >= 0.9} <= close
+    assert similar.overlapping_strings(one, two).count() > 20
+
+
+def test_jaccard_of_sets_below_and_above_the_bound_of_blocks(spark, monkeypatch):
+    monkeypatch.setattr(similar, "BRIEF", 40)
+    rnd = random.Random(22)
+    base = ["".join(rnd.choice("abcdefghijklmnop") for _ in range(rnd.choice((5, 8, 30, 41, 46, 50, 90)))) for _ in range(60)]
+    hist = [(i, mutate(s, rnd, rnd.randrange(3))) for i, s in enumerate(base)]
+    new = [(i, mutate(s, rnd, rnd.randrange(3))) for i, s in enumerate(base)]
+    runs = lambda s: {s[i : i + 2] for i in range(len(s) - 1)} or {s}
+    want = {}
+    for i, t in new:
+        for j, h in hist:
+            if t and h and len(runs(t) & runs(h)) / len(runs(t) | runs(h)) >= 0.8:
+                want.setdefault(i, j)
+    products, true = [], similar.block_pairs
+    monkeypatch.setattr(similar, "block_pairs", lambda *x: products.append(1) or true(*x))
+    got = {r["new_id"]: r["matched_id"] for r in similar.similar_titles(*(spark.createDataFrame(x, "id long, title string") for x in (new, hist)), 0.8, mode="jaccard").collect()}
+    assert got == want and len(want) > 20 and products
