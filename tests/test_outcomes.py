@@ -258,3 +258,40 @@ def test_jaccard_of_sets_below_and_above_the_bound_of_blocks(spark, monkeypatch)
     monkeypatch.setattr(similar, "block_pairs", lambda *x: products.append(1) or true(*x))
     got = {r["new_id"]: r["matched_id"] for r in similar.similar_titles(*(spark.createDataFrame(x, "id long, title string") for x in (new, hist)), 0.8, mode="jaccard").collect()}
     assert got == want and len(want) > 20 and products
+
+
+def test_short_titles_of_a_run_meet_in_blocks_without_keys(spark, monkeypatch):
+    """Titles of few syllables, up to and beyond a word of bits, and a group of near copies: the loop's outcome, few pairs that are not similar, few comparisons a text."""
+    rnd = random.Random(31)
+    for name, value in (("MIN_BLOCK", 40), ("FIRST", 2), ("GROWTH", 2), ("title_keys", None)):
+        monkeypatch.setattr(similar, name, value)
+    base = ["".join(rnd.choice(("tion", "ment", "elle", "que", "les", "en")) for _ in range(rnd.choice((3, 5, 8, 14, 24)))) for _ in range(30)]
+    titles = [mutate(rnd.choice(base), rnd, rnd.randrange(4)) + "source" for _ in range(90)] + [f"thesamearticleofthesamedayno{i:03d}" for i in range(80)]
+    df = spark.createDataFrame([(i, f"u{i}", t, "") for i, t in enumerate(titles)], "id long, url string, title string, text string")
+    rows = [(i, i, rnd.random() < 0.9, False) for i in range(len(titles))]
+    ratio = lambda i, j: SequenceMatcher(None, titles[i], titles[j]).ratio() >= 0.9 or titles[i] == titles[j]
+    edges = [(i, j) for j in range(len(titles)) for i in range(j) if ratio(i, j)]
+    same = similar.Duplicates(df)
+    got = same.resolve(spark.createDataFrame(rows, "id long, ord long, eligible boolean, in_history boolean")).collect()
+    assert ({r["id"] for r in got if r["kept"]}, {r["id"] for r in got if r["is_dup"]}) == greedy(rows, edges)
+    assert len({len(t) > similar.WORD for t in titles}) == 2 and same.near[0].tested.count() < 80 * 79 / 4
+
+
+def test_common_subsequence_bounds_the_ratio():
+    rnd = random.Random(32)
+
+    def apart(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for j, y in enumerate(b):
+                new.append(row[j] + 1 if x == y else max(row[j + 1], new[-1]))
+            row = new
+        return len(a) + len(b) - 2 * row[-1]
+
+    for k in range(60):
+        a = "".join(rnd.choice("abcdefgh中é𝒳") for _ in range(rnd.choice((0, 1, 20, 70, 250))))
+        b = mutate(a, rnd, rnd.randrange(1 + len(a) // 4)) if a else "x"
+        b = b if k % 5 else b[len(b) // 3 :] + b[: len(b) // 3]
+        d = apart(a, b)
+        assert [similar._within(a, b, m) for m in (d - 1, d, d + 1) if m >= 0] == [m >= d for m in (d - 1, d, d + 1) if m >= 0]
