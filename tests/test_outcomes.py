@@ -295,3 +295,26 @@ def test_common_subsequence_bounds_the_ratio():
         b = b if k % 5 else b[len(b) // 3 :] + b[: len(b) // 3]
         d = apart(a, b)
         assert [similar._within(a, b, m) for m in (d - 1, d, d + 1) if m >= 0] == [m >= d for m in (d - 1, d, d + 1) if m >= 0]
+
+
+def test_jaccard_of_large_sets_meets_in_blocks_and_is_tested_in_rounds(spark, monkeypatch):
+    """Long texts of few syllables, all about the bound, and a group of near copies: the result of all pairs; runs are not shuffled, members of the group are tested a few times each."""
+    monkeypatch.setattr(similar, "MIN_BLOCK", 40)
+    monkeypatch.setattr(similar, "FIRST", 2)
+    rnd = random.Random(23)
+    base = ["".join(rnd.choice(("tion", "ment", "elle", "que", "les", "en", "a", "o", "ss")) for _ in range(rnd.choice((90, 200, 400)))) for _ in range(30)]
+    hist = [(i, mutate(s, rnd, rnd.randrange(25))) for i, s in enumerate(base)] + [(100 + i, mutate(base[0], rnd, 2)) for i in range(60)]
+    new = [(i, mutate(s, rnd, rnd.randrange(25))) for i, s in enumerate(base)] + [(100 + i, mutate(base[0], rnd, 2)) for i in range(60)]
+    runs = lambda s: {s[i : i + 5] for i in range(len(s) - 4)}
+    sets = [(i, runs(h)) for i, h in hist]
+    want = {}
+    for i, t in new:
+        t = runs(t)
+        for j, h in sets:
+            if len(t & h) / len(t | h) >= 0.8:
+                want.setdefault(i, (j, round(len(t & h) / len(t | h), 9)))
+    made, true = [], similar._jaccard_tested
+    monkeypatch.setattr(similar, "_jaccard_tested", lambda pairs, *more: (made.append(pairs.count()), true(pairs, *more))[1])
+    got = {r["new_id"]: (r["matched_id"], round(r["ratio"], 9)) for r in similar.similar_bodies(*(spark.createDataFrame(x, "id long, text string") for x in (new, hist)), 0.8, mode="jaccard").collect()}
+    assert got == want and 60 < len(want) < 90
+    assert sum(made) < 61 * 61 / 4 and not hasattr(similar, "_prefix_pairs")
