@@ -318,3 +318,37 @@ def test_jaccard_of_large_sets_meets_in_blocks_and_is_tested_in_rounds(spark, mo
     got = {r["new_id"]: (r["matched_id"], round(r["ratio"], 9)) for r in similar.similar_bodies(*(spark.createDataFrame(x, "id long, text string") for x in (new, hist)), 0.8, mode="jaccard").collect()}
     assert got == want and 60 < len(want) < 90
     assert sum(made) < 61 * 61 / 4 and not hasattr(similar, "_prefix_pairs")
+
+
+def test_block_ratio_is_the_library_s():
+    rnd = random.Random(21)
+    for n in (1, 30, 190, 200, 210, 500, 900):
+        for letters in ("ab", "etaoinshrdluxqzk", "etaoinshrdlu" * 9 + "xqzk", "".join(map(chr, range(0x4E00, 0x4E00 + 900)))):
+            for _ in range(6):
+                a = "".join(rnd.choice(letters) for _ in range(n))
+                b = mutate(a, rnd, rnd.randrange(n // 5 + 1)) or "x"
+                true = SequenceMatcher(None, a, b).ratio()
+                assert similar.block_ratio(a, b, 0.0) == true
+                assert similar.block_ratio(a, b, 0.9) == true if true >= 0.9 else similar.block_ratio(a, b, 0.9) < 0.9
+
+
+def test_bodies_that_share_a_passage_are_not_compared_and_no_similar_pair_is_lost(spark):
+    """What meets under crowded keys: texts with one passage in common are told from similar ones, up to the ratio's bound, by the runs they show."""
+    rnd = random.Random(22)
+    for write in scripts(rnd):
+        passage, texts, near = write(60), [], set()
+        for size in (70, 300, 1200, 2800):
+            for kind in range(4):
+                base = passage + write(size)
+                n = int(len(base) * 0.095)
+                spots = set(rnd.sample(range(len(base)), n))
+                edit = {0: lambda c, w=write: w(1), 1: lambda c, w=write: c + w(1), 2: lambda c: "", 3: lambda c, w=write: rnd.choice(["", c + w(1)])}[kind]
+                near.add((len(texts), len(texts) + 1))
+                texts += [base, "".join(edit(c) if i in spots else c for i, c in enumerate(base))]
+        texts += [passage + write(2500) for _ in range(20)]
+        rows = spark.createDataFrame([(i, s, len(s)) for i, s in enumerate(texts)], "h long, s string, n int")
+        every = rows.select(F.col("h").alias("ha")).crossJoin(rows.select(F.col("h").alias("hb"))).filter("ha < hb")
+        got = {(r["ha"], r["hb"]) for r in similar.likely_pairs(every, similar.shown_runs(rows)).collect()}
+        assert near <= got
+        if ord(passage[0]) >= 0x4E00:  # the other writers have a few hundred words, which long texts share
+            assert not any(len(texts[a]) > 1000 < len(texts[b]) for a, b in got - near)
