@@ -352,3 +352,42 @@ def test_bodies_that_share_a_passage_are_not_compared_and_no_similar_pair_is_los
         assert near <= got
         if ord(passage[0]) >= 0x4E00:  # the other writers have a few hundred words, which long texts share
             assert not any(len(texts[a]) > 1000 < len(texts[b]) for a, b in got - near)
+
+
+def test_what_blocks_can_cover_loses_no_ratio_and_leaves_few_near_copies(spark):
+    """Near copies of common letters fall below the ratio, as blocks begin at rare characters only: these are told without the ratio, those that reach it are kept."""
+    rnd = random.Random(31)
+    words = ["".join(rnd.choice("etaoinshr") for _ in range(rnd.randrange(2, 9))) for _ in range(400)]
+    for rare in (0.01, 0.05, 0.3):
+        base = "".join(rnd.choice(words) if rnd.random() > rare else rnd.choice("xqzkjv") for _ in range(300))
+        for edits in (2, 10, 20, 40, 80):
+            for _ in range(6):
+                a, b = mutate(base, rnd, edits), mutate(base, rnd, edits)
+                a, b = rnd.choice([(a, b), (a[60:], b), (a, b[60:]), (a, a[:500] + b[500:])])
+                for threshold in (0.5, 0.8, 0.9):
+                    assert similar._covered(a, b, threshold) or SequenceMatcher(None, a, b).ratio() < threshold
+    near = [mutate("".join(rnd.choice(words) for _ in range(300)) + "q", rnd, 80) for _ in range(1)]
+    near += [mutate(near[0], rnd, 80) for _ in range(40)]
+    assert not any(similar._covered(a, b, 0.9) for a in near for b in near if a != b) and similar._within(near[0], near[1], len(near[0]) // 5)
+
+
+def test_pairs_of_crowded_keys_are_bounded_where_they_meet(spark, monkeypatch):
+    """Copies about the ratio and texts with a passage in common, in three scripts and many sizes, under one key and in several tasks: no pair that reaches the ratio is lost, a passage alone does not pass."""
+    monkeypatch.setattr(similar, "MAX_ASKING", 7)
+    rnd = random.Random(32)
+    for write in scripts(rnd):
+        passage, texts = write(60), ["", "ab", "abc"]
+        for size in (3, 20, 70, 198, 210, 300, 1200, 2800):
+            base = passage + write(size)
+            for rate in (0.01, 0.03, 0.06, 0.2):
+                texts.append("".join(rnd.choice(["", c + write(1), write(1)]) if rnd.random() < rate else c for c in base))
+        single = len(texts)
+        texts += [passage + "".join(rnd.sample(write(900), 900)) for _ in range(12)]
+        rows = spark.createDataFrame([(i, s, len(s)) for i, s in enumerate(texts)], "h long, s string, n int")
+        sides = [rows.select(F.col("h").alias(x), F.explode(F.array(F.lit(5).cast("long"), F.lit(6).cast("long"))).alias("key")) for x in ("ha", "hb")]
+        met = similar.bounded_pairs(*sides, similar.text_bounds(rows), 0.9).collect()
+        got = {(r["ha"], r["hb"]) for r in met}
+        true = {(i, j) for i, a in enumerate(texts) for j, b in enumerate(texts) if i != j and a and b and SequenceMatcher(None, a, b).ratio() >= 0.9}
+        assert true <= got and len(got) == len(met) and len(true) > 10
+        if ord(passage[0]) < 0x4E00:  # Chinese has a character in each place that blocks can begin with
+            assert not any(i >= single and j >= single for i, j in got)
