@@ -391,3 +391,27 @@ def test_pairs_of_crowded_keys_are_bounded_where_they_meet(spark, monkeypatch):
         assert true <= got and len(got) == len(met) and len(true) > 10
         if ord(passage[0]) < 0x4E00:  # Chinese has a character in each place that blocks can begin with
             assert not any(i >= single and j >= single for i, j in got)
+
+
+def test_bodies_are_compared_whole(spark):
+    """Texts that begin alike and go on differently are not similar, by either measure, and near copies of many lengths are found, as by brute force; an article's duplicates are told by its beginning."""
+    rnd = random.Random(33)
+    start, hist, new = chinese(rnd, 3_000), [], []
+    for n in (2_400, 2_900, 3_100, 5_900, 6_100, 7_400, 12_500):
+        base = chinese(rnd, n)
+        hist.append((len(hist), base))
+        made = [mutate(base, rnd, n // k) for k in (30, 50, 70)] + [base[: int(0.83 * n)], base[: int(0.79 * n)]]
+        new += [(100 + len(new) + i, t) for i, t in enumerate(made)]
+    hist.append((50, start + chinese(rnd, 4_000)))
+    new.append((999, start + chinese(rnd, 4_000)))
+    frames = [spark.createDataFrame(x, "id long, text string") for x in (new, hist)]
+    runs = lambda s: {s[i : i + 5] for i in range(len(s) - 4)}
+    share = lambda a, b: len(a & b) / len(a | b)
+    want = {(i, j) for i, t in new for j, h in hist if share(runs(t), runs(h)) >= 0.8}
+    got = similar.similar_bodies(*frames, 0.8, mode="jaccard").collect()
+    assert {(r["new_id"], r["matched_id"]) for r in got} == want and len(got) == len(want) and 10 < len(want) < len(new) - 5
+    want = {(i, j) for i, t in new for j, h in hist if 0.8 < len(t) / len(h) < 1.25 and SequenceMatcher(None, h, t).ratio() >= 0.9}
+    assert {(r["new_id"], r["matched_id"]) for r in similar.similar_bodies(*frames).collect()} == want and (999, 50) not in want and len(want) > 5
+    known = spark.createDataFrame([(i, "h", f"h{i}", t) for i, t in hist], "id long, source_url string, title string, extracted_text string")
+    asked = spark.createDataFrame([(999, "n", "n", new[-1][1])], "id long, url string, title string, text string")
+    assert similar.exists_duplicate(asked, known).first()["matched_id"] == 50
