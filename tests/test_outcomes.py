@@ -415,3 +415,18 @@ def test_bodies_are_compared_whole(spark):
     known = spark.createDataFrame([(i, "h", f"h{i}", t) for i, t in hist], "id long, source_url string, title string, extracted_text string")
     asked = spark.createDataFrame([(999, "n", "n", new[-1][1])], "id long, url string, title string, text string")
     assert similar.exists_duplicate(asked, known).first()["matched_id"] == 50
+
+
+def test_blocks_multiply_like_lengths_only(monkeypatch):
+    """A block's strips meet the lengths that can be similar to theirs, middle ones by half the counters; the pairs are those of brute force."""
+    monkeypatch.setattr(similar, "STRIP", 16)
+    rnd, made, true = random.Random(34), [], similar.np.hstack
+    monkeypatch.setattr(similar.np, "hstack", lambda parts: (made.append(parts[0].shape), true(parts))[1])
+    sets = [sorted(rnd.sample(range(3000), n)) for n in (3, 6, 10, 14, 20, 30, 47, 60, 90, 140) for _ in range(16)]
+    sets += [sorted(set(x[: len(x) - 1]) | {3001}) for x in sets]
+    table = similar.pa.table({"h": list(range(len(sets))), "n": [float(len(x)) for x in sets], "side": similar.pa.array([3] * len(sets), similar.pa.int32()), "g": similar.pa.array([[t % similar.COUNTERS for t in x] for x in sets], similar.pa.list_(similar.pa.int32()))})
+    got = {tuple(r.values()) for r in similar._products(4 / 9, 0.0, 0.8, False)(table, table).to_pylist()}
+    share = lambda a, b: len(a & b) / len(a | b)
+    want = {(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets) if i != j and share(set(a), set(b)) >= 0.8}
+    assert want <= got and len(got) < 2 * len(want) and len(want) >= 200
+    assert sum(made[k][0] * made[k + 1][0] for k in range(0, len(made), 2)) < len(sets) ** 2 / 3 and {k[1] for k in made} == {similar.COUNTERS, similar.COUNTERS // 2}
